@@ -5,11 +5,13 @@ from __future__ import annotations
 from .bpe_codec import op10_bpe_codec
 from .sstable import op5_sorted_tables
 from .token_count import op1_token_counts
+from .warc import op4_warc_revisits
 
 
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
+        "op4_warc_revisits": op4_warc_revisits,
         "op5_sorted_tables": op5_sorted_tables,
         "op10_bpe_codec": op10_bpe_codec,
     }
