@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_codec import op10_bpe_codec
+from .jpeg import op8_jpeg_media
 from .sstable import op5_sorted_tables
 from .token_count import op1_token_counts
 from .warc import op4_warc_revisits
@@ -13,6 +14,7 @@ def queries():
         "op1_token_counts": op1_token_counts,
         "op4_warc_revisits": op4_warc_revisits,
         "op5_sorted_tables": op5_sorted_tables,
+        "op8_jpeg_media": op8_jpeg_media,
         "op10_bpe_codec": op10_bpe_codec,
     }
 
