@@ -6,12 +6,15 @@ from .bpe_codec import op10_bpe_codec
 from .jpeg import op8_jpeg_media
 from .sstable import op5_sorted_tables
 from .token_count import op1_token_counts
+from .url_filter import op2_url_reputation
+from .url_filter import oracle as op2_sql
 from .warc import op4_warc_revisits
 
 
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_url_reputation": op2_url_reputation,
         "op4_warc_revisits": op4_warc_revisits,
         "op5_sorted_tables": op5_sorted_tables,
         "op8_jpeg_media": op8_jpeg_media,
@@ -20,4 +23,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op2_url_reputation": op2_sql()}
