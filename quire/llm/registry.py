@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_codec import op10_bpe_codec
 from .jpeg import op8_jpeg_media
+from .language_id import op7_language_id
 from .sstable import op5_sorted_tables
 from .token_count import op1_token_counts
 from .url_filter import op2_url_reputation
@@ -17,6 +18,7 @@ def queries():
         "op2_url_reputation": op2_url_reputation,
         "op4_warc_revisits": op4_warc_revisits,
         "op5_sorted_tables": op5_sorted_tables,
+        "op7_language_id": op7_language_id,
         "op8_jpeg_media": op8_jpeg_media,
         "op10_bpe_codec": op10_bpe_codec,
     }
