@@ -12,21 +12,25 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from heapq import heappop, heappush
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Characters on which Python's Unicode tables are checked (in the tests, one by one) to agree with
-#: the library's, and which no normalisation step joins with a neighbour. Texts with any other
+#: Ranges of characters on which Python's and Arrow's Unicode tables are checked (in the tests, one by
+#: one) to agree with the library's, and which NFC leaves alone wherever they stand. Texts with any other
 #: character are split by the library's own normaliser and pre-tokenizer.
-_SAFE = (
-    "\\x00-\\u012f\\u0131-\\u02ff\\u0370-\\u03a2\\u03a4-\\u0482\\u048a-\\u052f"
-    "\\u1e00-\\u1fff\\u2000-\\u206f\\u20a0-\\u20bf\\u2100-\\u218b\\u2190-\\u23ff\\u2500-\\u27bf"
-    "\\u3000-\\u3029\\u3030-\\u3096\\u309b-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fef\\uac00-\\ud7a3\\uff01-\\uff5e"
-)
-_UNSAFE = re.compile(f"[^{_SAFE}]")
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9\x1c-\x1f]+|[\x1c-\x1f]+")
+SAFE_RANGES = (
+    (0x0000, 0x001B), (0x0020, 0x012F), (0x0131, 0x02FF), (0x0370, 0x0373), (0x0375, 0x037D), (0x037F, 0x0386), (0x0388, 0x03A2),
+    (0x03A4, 0x0482), (0x048A, 0x052F), (0x1E00, 0x1EFF), (0x2002, 0x206F), (0x20A0, 0x20BF), (0x2100, 0x2125), (0x212C, 0x218B),
+    (0x2190, 0x2328), (0x232B, 0x23FF), (0x2500, 0x27BF), (0x3000, 0x3029), (0x3030, 0x3096), (0x309B, 0x30FF), (0x3400, 0x4DBF),
+    (0x4E00, 0x9FEF), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E),
+)
+_UNSAFE = re.compile("[^" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in SAFE_RANGES) + "]")
+_UNSAFE_RE2 = "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in SAFE_RANGES) + "]"
+_ASCII = re.compile(r"[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -66,9 +70,20 @@ class WordBpe:
             self.right.append(vocab[b])
             self.result.append(vocab[a + b])
             self.ranks[vocab[a] << 20 | vocab[b]] = rank
+        self._inner_ids, self._final_ids = np.array(self.inner, np.int64), np.array(self.final, np.int64)
+        self._first_ranks = self._byte_pairs()
         self._bytes = {c: b for b, c in enumerate(letters)}
         self.vocab_strings = list(vocab)
 
+    def _byte_pairs(self) -> np.ndarray:
+        """Ranks of all pairs of symbols that stand for bytes (-1: none)."""
+        n = 1 + max(*self.inner, *self.final)
+        table = np.full((n, n), -1, np.int32)
+        for rank, (a, b) in enumerate(zip(self.left, self.right, strict=True)):
+            if a < n and b < n:
+                table[a, b] = rank
+        return table
+
     def symbols(self, word: str) -> list[int]:
         raw = word.encode()
         inner = self.inner
@@ -108,7 +123,7 @@ class WordBpe:
                 proved.add(word)
         return frozenset(proved)
 
-    def merge_block(self, words: list[str]) -> list[list[int]]:
+    def merge_block(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Merge many words together through an index from each pair to all its positions.
 
         All words lie in one linked row of symbols. A pair is known by its rank;
@@ -116,34 +131,30 @@ class WordBpe:
         ascending order. A merge puts the two pairs it makes into the lists of
         their ranks; entries whose pair is gone are skipped when met. If a merge
         makes a pair of lower rank, the rest of the list waits, so each word
-        sees the same order as if it were merged alone.
+        sees the same order as if it were merged alone. Returns the number of ids
+        of each word and all ids in the words' order.
         """
-        sym: list[int] = []
-        starts: list[int] = []
-        for w in words:
-            starts.append(len(sym))
-            sym += self.symbols(w)
-        n = len(sym)
-        starts.append(n)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s in starts[:-1]:
-            if s:
-                after[s - 1] = -1
-            before[s] = -1
-        if n:
-            after[n - 1] = -1
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        starts = np.cumsum(size) - size
+        row = np.frombuffer(b"".join(raw), np.uint8)
+        n = len(row)
+        if not n:
+            return size, np.zeros(0, np.int32)
+        first = self._inner_ids[row]
+        last = starts + size - 1
+        first[last] = self._final_ids[row[last]]
+        follow, back = np.arange(1, n + 1), np.arange(-1, n - 1)
+        follow[last] = back[starts] = -1
+        sym, after, before = first.tolist(), follow.tolist(), back.tolist()
         ranks, left, right, result = self.ranks, self.left, self.right, self.result
-        places: dict[int, list[int]] = {}
         rank_of = ranks.get
-        for p in range(n):
-            q = after[p]
-            if q >= 0:
-                r = rank_of(sym[p] << 20 | sym[q])
-                if r is not None:
-                    if r in places:
-                        places[r].append(p)
-                    else:
-                        places[r] = [p]
+        pair = self._first_ranks[first[:-1], first[1:]]
+        pair[follow[:-1] < 0] = -1
+        at = np.flatnonzero(pair >= 0)
+        at = at[np.argsort(pair[at], kind="stable")]
+        found, cut = np.unique(pair[at], return_index=True)
+        places: dict[int, list[int]] = {r: p.tolist() for r, p in zip(found.tolist(), np.split(at, cut[1:]), strict=True)} if len(at) else {}
         active = sorted(places)
         while active:
             rank = heappop(active)
@@ -183,12 +194,9 @@ class WordBpe:
                     places[rank] = here[i + 1 :]
                     heappush(active, rank)
                     break
-        return [[x for x in sym[s:e] if x >= 0] for s, e in zip(starts, starts[1:], strict=False)]
-
-    def decode(self, ids) -> str:
-        """Token strings joined by a space: the file names no decoder. Ids out of range are left out."""
-        tokens, n = self.tokens, len(self.tokens)
-        return " ".join([tokens[i] for i in ids if 0 <= i < n and tokens[i]])
+        end = np.array(sym, np.int32)
+        alive = end >= 0
+        return np.add.reduceat(alive, starts, dtype=np.int64), end[alive]
 
 
 class PreTokenizer:
@@ -203,10 +211,8 @@ class PreTokenizer:
         self._raw, self._source, self._library = raw, pattern, None
 
     def _segment(self, text: str) -> list[str]:
-        if text.isascii():
-            return _ASCII.findall(text.lower())
         if not _UNSAFE.search(text):
-            return self._pattern.findall(unicodedata.normalize("NFC", text).lower())
+            return self.parts(text.lower())
         if self._library is None:
             from tokenizers import Regex, Tokenizer, pre_tokenizers
 
@@ -225,17 +231,70 @@ class PreTokenizer:
                 out += self._segment(part)
         return out
 
+    def parts(self, unit: str) -> list[str]:
+        """Words of one piece of a plain text."""
+        return _ASCII.findall(unit) if unit.isascii() else self._pattern.findall(unit)
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], set[str]]:
+        """Offsets of documents, places of their pieces, the distinct pieces, and which of these are single words.
+
+        Nulls count as empty. Of plain texts, only the distinct pieces leave Arrow.
+        """
+        texts = texts.fill_null("")
+        odd = odd_texts(texts)
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(pc.invert(odd))))
+        coded = lists.flatten().dictionary_encode()
+        offsets, places, units = lists.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        offsets -= offsets[0]
+        if len(lists) == len(texts):
+            return offsets, places, units, set()
+        place: dict[str, int] = {}
+        sizes, more = [], []
+        for t in texts.filter(odd).to_pylist():
+            words = self.words(t)
+            sizes.append(len(words))
+            more += [place.setdefault(w, len(place)) for w in words]
+        # documents of both kinds back into their order
+        order = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        size = np.concatenate([np.diff(offsets), np.array(sizes, np.int64)])
+        begin = (np.cumsum(size) - size)[order]
+        size = size[order]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        places = np.concatenate([places, np.array(more, np.int64) + len(units)])
+        places = places[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])]
+        return offsets, places, units + list(place), set(place)
+
+
+def odd_texts(texts: pa.Array) -> pa.Array:
+    """Which texts need the library's own normaliser and pre-tokenizer."""
+    return pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, _UNSAFE_RE2))
+
+
+def gather(parts: list[bytes], item: int, places: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Put together what each piece stands for (bytes of items): offsets of documents in items, and all items as bytes."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // item
+    begin = np.cumsum(size) - size
+    table = np.frombuffer(b"".join(parts), np.dtype(f"<u{item}"))
+    width = size[places]
+    stop = np.cumsum(width)
+    total = int(stop[-1]) if len(stop) else 0
+    out = table[np.repeat(begin[places] - stop + width, width) + np.arange(total)] if total else table[:0]
+    return np.concatenate([[0], stop])[offsets], out
+
 
 class WordCache:
     """Two generations of a dictionary: memory stays under twice ``limit`` entries whatever the corpus."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 250_000):
         self.limit, self.young, self.old = limit, {}, {}
 
-    def missing(self, words) -> list[str]:
-        """Words of the set not known yet; known ones are made young so that they stay for this block."""
+    def turn(self) -> None:
+        """Between blocks: let the older half go once the younger is full."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
+
+    def missing(self, words) -> list[str]:
+        """Words of the set not known yet; known ones are made young so that they stay for this block."""
         young, old, out = self.young, self.old, []
         for w in words:
             if w not in young:

@@ -14,10 +14,11 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PreTokenizer, WordBpe, WordCache
+from .bpe import PreTokenizer, WordBpe, WordCache, gather
 from .common import table, text_blocks
 
 _WORKER: dict = {}
@@ -30,20 +31,34 @@ def _state(key, shared):
     return _WORKER
 
 
-def encode_block(texts: list, pre: PreTokenizer, model: WordBpe, cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and all token ids of a block of texts."""
-    per_doc = [pre.words(t) if t else () for t in texts]
-    distinct = set(chain.from_iterable(per_doc))
-    for w in distinct & pre.special:
-        cache.young[w] = (model.special[w],)
-    unknown = cache.missing(distinct)
-    for w, ids in zip(unknown, model.merge_block(unknown), strict=True):
-        cache.young[w] = tuple(ids)
-    of = cache.young.__getitem__
-    ids = [list(chain.from_iterable(map(of, words))) for words in per_doc]
-    offsets = np.zeros(len(ids) + 1, np.int64)
-    np.cumsum([len(x) for x in ids], out=offsets[1:])
-    return offsets, np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1])
+def encode_block(texts: pa.Array, pre: PreTokenizer, model: WordBpe, cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and all token ids of a block of texts. The cache holds each word's ids as int32 bytes."""
+    cache.turn()
+    offsets, places, units, single = pre.block(texts)
+    for w in pre.special & single:
+        cache.young[w] = np.int32(model.special[w]).tobytes()
+    known, unknown = cache.young, cache.missing(units)
+    parts_of = {u: [u] if u in single else pre.parts(u) for u in unknown}
+    words = cache.missing(set(chain.from_iterable(parts_of.values())))
+    counts, ids = model.merge_block(words)
+    ends, raw = (np.cumsum(counts) * 4).tolist(), ids.tobytes()
+    for w, s, e in zip(words, [0, *ends], ends, strict=False):
+        known[w] = raw[s:e]
+    own = {u: known[u] if u in known else b"".join([known[w] for w in parts]) for u, parts in parts_of.items()}
+    offsets, ids = gather([own[u] if u in own else known[u] for u in units], 4, places, offsets)
+    return offsets, ids.astype(np.int32)
+
+
+def decode_block(lists: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """Token strings of each list joined by a space: the file names no decoder."""
+    ids, row = lists.flatten(), pc.list_parent_indices(lists)
+    known = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(tokens))).fill_null(False)
+    words = tokens.take(pc.if_else(known, ids, pa.scalar(None, ids.type)))
+    if words.null_count:
+        keep = words.is_valid()
+        words, row = words.filter(keep), row.filter(keep)
+    offsets = np.searchsorted(row.to_numpy(), np.arange(len(lists) + 1))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), " ")
 
 
 def _load(df: DataFrame, tokenizer_path: str):
@@ -65,11 +80,9 @@ def encode(df: DataFrame, text_col: str = "text", *, tokenizer_path: str, out: s
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = _state(key, shared)
         for texts in batches:
-            parts = []
-            for block in text_blocks(texts):
-                offsets, ids = encode_block(block.to_pylist(), s["pre"], s["model"], s["cache"])
-                parts.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            for block in text_blocks(texts, rows=2000, max_bytes=8 << 20):
+                offsets, ids = encode_block(block, s["pre"], s["model"], s["cache"])
+                yield pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
 
     return df.withColumn(out, run(F.col(text_col)))
 
@@ -83,16 +96,10 @@ def decode(df: DataFrame, ids_col: str = "ids", *, tokenizer_path: str, out: str
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _state(key, shared)["model"]
+        tokens = pa.array([t or None for t in _state(key, shared)["model"].tokens])
         for lists in batches:
-            out = []
-            for x in lists:
-                ids = x.values
-                if ids is None:
-                    out.append("")
-                    continue
-                out.append(model.decode(ids.drop_null().to_numpy().tolist()))
-            yield pa.array(out, pa.string())
+            for at in range(0, len(lists), 1000):
+                yield decode_block(lists.slice(at, 1000), tokens)
 
     return df.withColumn(out, run(F.col(ids_col)))
 

@@ -28,16 +28,18 @@ import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _UNSAFE, PreTokenizer, WordCache
+from .bpe import PreTokenizer, WordCache, gather, odd_texts
 from .common import materialize, open_read, open_write, table, text_blocks, work_path
 
 MAGIC = b"QSST0001"
@@ -87,12 +89,11 @@ class TableWriter:
         self.at, self.entries, self.ids = 0, 0, 0
         self.block, self.last, self.index, self.hashes = bytearray(), b"", [], []
 
-    def add(self, key: bytes, ids: np.ndarray) -> None:
+    def add(self, key: bytes, value: bytes) -> None:
         shared = 0
         if self.block:
             while shared < len(key) and shared < len(self.last) and key[shared] == self.last[shared]:
                 shared += 1
-        value = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
         for n in (shared, len(key) - shared, len(value)):
             _put_varint(self.block, n)
         self.block += key[shared:]
@@ -100,7 +101,7 @@ class TableWriter:
         self.last = key
         self.hashes.append(key)
         self.entries += 1
-        self.ids += len(ids)
+        self.ids += len(value) // self.width
         if len(self.block) >= BLOCK_BYTES:
             self._end_block()
 
@@ -201,38 +202,53 @@ class TableReader:
 
 
 class LibraryEncoder:
-    """Ids as the tokenizers library gives them; it encodes each distinct word once while the worker remembers it.
+    """Ids as the tokenizers library gives them; it encodes each distinct piece once while the worker remembers it.
 
-    Texts with characters or special strings whose treatment reaches across
-    words go to the library as a whole.
+    White space parts words, so texts are split at it, and the library encodes
+    the words of each new piece, many at a time; a word's ids end with its one
+    token that carries the word end. Texts with characters or special strings
+    whose treatment reaches further go to the library as a whole.
     """
 
     def __init__(self, raw: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(raw)
         self.library.no_truncation()
         self.library.no_padding()
         self.pre, self.cache = PreTokenizer(raw), WordCache()
+        self.by_word = Tokenizer(self.library.model)
+        self.by_word.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, vocab = self.library.model.end_of_word_suffix, self.library.get_vocab()
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
 
-    def block(self, texts: list) -> list[np.ndarray]:
-        whole = {i for i, t in enumerate(texts) if t and ("<|" in t or (not t.isascii() and _UNSAFE.search(t)))}
-        per_doc = [() if not t or i in whole else self.pre.words(t) for i, t in enumerate(texts)]
-        missing = self.cache.missing(set().union(*per_doc))
-        of = self.cache.young
-        for at in range(0, len(missing), 10_000):
-            some = missing[at : at + 10_000]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                of[w] = np.array(e.ids, np.uint32).tobytes()
-        out = []
-        for i, words in enumerate(per_doc):
-            if i in whole:
-                out.append(np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32))
-            else:
-                out.append(np.frombuffer(b"".join(map(of.__getitem__, words)), np.uint32))
-        return out
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def block(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: none) in the width of the file."""
+        self.cache.turn()
+        texts = texts.fill_null("")
+        odd = odd_texts(texts)
+        whole = iter([self.pack(self.library.encode(t, add_special_tokens=False).ids) for t in texts.filter(odd).to_pylist()])
+        offsets, places, units, _ = self.pre.block(texts.filter(pc.invert(odd)))
+        parts_of = {u: self.pre.parts(u) for u in self.cache.missing(units)}
+        known, words = self.cache.young, self.cache.missing(set(chain.from_iterable(parts_of.values())))
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(self.by_word.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            raw = ids.tobytes()
+            for w, s, e in zip(some, [0, *ends], ends, strict=False):
+                known[w] = raw[s:e]
+        own = {u: known[u] if u in known else b"".join([known[w] for w in parts]) for u, parts in parts_of.items()}
+        offsets, ids = gather([own[u] if u in own else known[u] for u in units], self.width, places, offsets)
+        raw, cut = ids.tobytes(), (offsets * self.width).tolist()
+        plain = iter([raw[s:e] for s, e in zip(cut, cut[1:], strict=False)])
+        return [next(whole) if x else next(plain) for x in odd.to_pylist()]
 
 
 _WORKER: dict = {}
@@ -274,13 +290,13 @@ def write_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         try:
             for batch in batches:
                 keys, at = batch.column(0).to_pylist(), 0
-                for block in text_blocks(batch.column(1)):
-                    for ids in encoder.block(block.to_pylist()):
+                for block in text_blocks(batch.column(1), rows=2000, max_bytes=8 << 20):
+                    for value in encoder.block(block):
                         if writer is None:
                             target = f"{path}/part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.sst"
                             out = open_write(target)
                             writer, first = TableWriter(out.__enter__(), encoder.width), key_of(keys[at])
-                        writer.add(key_of(keys[at]), np.append(ids, np.uint32(end_id)))
+                        writer.add(key_of(keys[at]), value + encoder.pack([end_id]))
                         at += 1
                         if writer.at >= SHARD_BYTES:
                             end()

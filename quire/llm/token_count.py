@@ -8,9 +8,9 @@ distinct word once while the worker remembers it.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,13 +53,25 @@ def count_tokens(df: DataFrame, text_col: str = "text", *, tokenizer_path: str,
         for texts in batches:
             counts = []
             for block in text_blocks(texts):
-                per_doc = [Counter(pre.words(t)) if t else () for t in block.to_pylist()]
-                rest = set().union(*per_doc) - whole - pre.special
-                for w in cache.missing(rest):
-                    cache.young[w] = len(merge(w))
+                cache.turn()
+                offsets, places, units, single = pre.block(block)
+                unknown = cache.missing(u for u in units if u not in whole)
                 of = cache.young
-                counts += [sum([k * of[w] if w in rest else k for w, k in c.items()]) if c else 0 for c in per_doc]
-            yield pa.array(counts, pa.int64())
+                for unit in unknown:
+                    n = 0
+                    for word in (unit,) if unit in single else pre.parts(unit):
+                        if word in whole or word in pre.special:
+                            n += 1
+                        else:
+                            k = of.get(word)
+                            if k is None:
+                                k = of[word] = len(merge(word))
+                            n += k
+                    of[unit] = n
+                n = np.fromiter((1 if u in whole else of[u] for u in units), np.int64, len(units))
+                sums = np.concatenate([[0], np.cumsum(n[places])])[offsets]
+                counts.append(np.diff(sums))
+            yield pa.array(np.concatenate(counts) if counts else [], pa.int64())
 
     return df.withColumn(out, count(F.col(text_col)))
 
