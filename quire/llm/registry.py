@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe_codec import op10_bpe_codec
+from .decontaminate import op9_decontamination
 from .jpeg import op8_jpeg_media
 from .language_id import op7_language_id
 from .sstable import op5_sorted_tables
 from .token_count import op1_token_counts
+from .toxicity import op3_toxicity_neighbours
 from .url_filter import op2_url_reputation
 from .url_filter import oracle as op2_sql
 from .warc import op4_warc_revisits
@@ -16,10 +18,12 @@ def queries():
     return {
         "op1_token_counts": op1_token_counts,
         "op2_url_reputation": op2_url_reputation,
+        "op3_toxicity_neighbours": op3_toxicity_neighbours,
         "op4_warc_revisits": op4_warc_revisits,
         "op5_sorted_tables": op5_sorted_tables,
         "op7_language_id": op7_language_id,
         "op8_jpeg_media": op8_jpeg_media,
+        "op9_decontamination": op9_decontamination,
         "op10_bpe_codec": op10_bpe_codec,
     }
 
