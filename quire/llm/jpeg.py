@@ -405,7 +405,8 @@ def store_media(df: DataFrame, text_col: str = "text", out: str = "media") -> Da
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([encode_samples(padded((t or "").encode())) for t in texts.to_pylist()], pa.binary())
+            for block in text_blocks(texts, rows=1000, max_bytes=4 << 20):
+                yield pa.array([encode_samples(padded((t or "").encode())) for t in block.to_pylist()], pa.binary())
 
     return df.withColumn(out, run(F.col(text_col)))
 
@@ -421,13 +422,13 @@ def read_media(df: DataFrame, media_col: str = "media", out: str = "image") -> D
     @F.arrow_udf("payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, dims string, hash string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for media in batches:
-            rows = []
-            for block in text_blocks(media, rows=1000, max_bytes=8 << 20):
+            for block in text_blocks(media, rows=500, max_bytes=2 << 20):
+                rows = []
                 for d in describe(block.to_pylist()):
                     p = d and d["payload"]
                     has = p is not None
                     rows.append({"payload_bytes": len(p) if has else None, "payload_sha256": hashlib.sha256(p).hexdigest() if has else None, "tail_crc32": zlib.crc32(p[-32:]) if has else None, "dims": d and d["dims"], "hash": d and d["hash"]})
-            yield pa.array(rows, kind)
+                yield pa.array(rows, kind)
 
     return df.withColumn(out, run(F.col(media_col)))
 
