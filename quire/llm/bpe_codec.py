@@ -27,7 +27,7 @@ _WORKER: dict = {}
 def _state(key, shared):
     if _WORKER.get("key") != key:
         raw, model = shared.value
-        _WORKER.update(key=key, pre=PreTokenizer(raw), model=model, cache=WordCache())
+        _WORKER.update(key=key, pre=PreTokenizer(raw), model=model, cache=WordCache(120_000))
     return _WORKER
 
 
@@ -80,7 +80,7 @@ def encode(df: DataFrame, text_col: str = "text", *, tokenizer_path: str, out: s
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = _state(key, shared)
         for texts in batches:
-            for block in text_blocks(texts, rows=2000, max_bytes=8 << 20):
+            for block in text_blocks(texts, rows=1000, max_bytes=4 << 20):
                 offsets, ids = encode_block(block, s["pre"], s["model"], s["cache"])
                 yield pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
 

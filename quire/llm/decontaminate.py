@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_blocks
+from .common import spare_name, table, text_blocks
 
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Bytes of benchmark text in one broadcast, about.
@@ -219,5 +219,5 @@ def op9_decontamination(spark, sf_dir):
 
 def drop_contaminated(spark, docs, sf_dir):
     """Pipeline stage: drop documents that cover a benchmark item."""
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark"), out="_hits")
-    return hits.where(F.size("_hits") == 0).drop("_hits")
+    own = spare_name(docs, "hits")
+    return contaminated(docs, table(spark, sf_dir, "benchmark"), out=own).where(F.size(own) == 0).drop(own)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_blocks
+from .common import spare_name, table, text_blocks
 
 PROFILE = 300
 #: Labelled documents per language that a profile is learned from, about; and languages at most.
@@ -174,5 +174,6 @@ def keep_known_languages(spark, docs, sf_dir):
     """Pipeline stage: drop documents without letters and those far from every profile."""
     out = held_out(F.col("doc_id"), 4, 2)
     profiles = learn_profiles(docs.where(~out & F.col("doc_id").isNotNull()))
-    found = identify(docs, profiles, out="_language")
-    return found.where((F.col("_language.lang") != UNKNOWN) & (F.col("_language.distance") <= MAX_DISTANCE)).drop("_language")
+    own = spare_name(docs, "language")
+    found = identify(docs, profiles, out=own)
+    return found.where((F.col(f"{own}.lang") != UNKNOWN) & (F.col(f"{own}.distance") <= MAX_DISTANCE)).drop(own)

@@ -6,6 +6,7 @@ from .bpe_codec import op10_bpe_codec
 from .decontaminate import op9_decontamination
 from .jpeg import op8_jpeg_media
 from .language_id import op7_language_id
+from .near_duplicates import op6_near_duplicates
 from .sstable import op5_sorted_tables
 from .token_count import op1_token_counts
 from .toxicity import op3_toxicity_neighbours
@@ -21,6 +22,7 @@ def queries():
         "op3_toxicity_neighbours": op3_toxicity_neighbours,
         "op4_warc_revisits": op4_warc_revisits,
         "op5_sorted_tables": op5_sorted_tables,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_language_id": op7_language_id,
         "op8_jpeg_media": op8_jpeg_media,
         "op9_decontamination": op9_decontamination,

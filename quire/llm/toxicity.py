@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, split_units, table, text_blocks
+from .common import materialize, spare_name, split_units, table, text_blocks
 from .language_id import held_out
 
 #: Labelled documents in the index, about; terms; neighbours; examples for calibration; examples in a block.
@@ -258,5 +258,5 @@ def op3_toxicity_neighbours(spark, sf_dir):
 
 def drop_toxic(spark, docs, sf_dir):
     """Pipeline stage: drop documents whose score reaches ``REJECT``."""
-    scored = score(docs, _trained(spark, docs, sf_dir), out="_toxicity")
-    return scored.where(F.col("_toxicity.score") < REJECT).drop("_toxicity")
+    own = spare_name(docs, "toxicity")
+    return score(docs, _trained(spark, docs, sf_dir), out=own).where(F.col(f"{own}.score") < REJECT).drop(own)

@@ -42,7 +42,7 @@ def _domain(host: Column, two_label: tuple[str, ...]) -> Column:
 
 
 def _concentration(groups: DataFrame, prior: str) -> float:
-    """Moment estimate of a beta-binomial's concentration around given prior means (weights: group sizes)."""
+    """Moment estimate of a beta-binomial's concentration around given prior means (weights: group sizes); a prior weighs one page at least."""
     p, m = F.col("k") / F.col("n"), F.col(prior)
     rows = groups.where("n > 0")
     n = rows.agg(F.sum("n")).first()[0]
@@ -53,7 +53,7 @@ def _concentration(groups: DataFrame, prior: str) -> float:
     s, within, between = rows.agg(F.sum(w * (p - m) * (p - m)), F.sum(spread / F.col("n")), F.sum(spread - spread / F.col("n"))).first()
     if not between or between <= 0:
         return 10.0
-    share = min(max((s - within) / between, 1e-3), 0.9)
+    share = min(max((s - within) / between, 1e-3), 0.5)
     return 1 / share - 1
 
 
@@ -131,7 +131,7 @@ def _level(name: str, groups: str, prior: str) -> str:
          sum(m * (1 - m) * w * (1 - w) - m * (1 - m) * w * (1 - w) / n) as between
   from (select n, n / total::double as w, k / n::double as p, {prior} as m from {groups}, {name}_sum where n > 0)),
 {name}_c as (select case when between is null or between <= 0 then 10.0
-  else 1 / least(greatest((s - within) / between, 1e-3), 0.9) - 1 end as c from {name}_moments)"""
+  else 1 / least(greatest((s - within) / between, 1e-3), 0.5) - 1 end as c from {name}_moments)"""
 
 
 def oracle() -> str:
