@@ -235,8 +235,12 @@ class LibraryEncoder:
         odd = odd_texts(texts)
         whole = iter([self.pack(self.library.encode(t, add_special_tokens=False).ids) for t in texts.filter(odd).to_pylist()])
         offsets, places, units, _ = self.pre.block(texts.filter(pc.invert(odd)))
-        parts_of = {u: self.pre.parts(u) for u in self.cache.missing(units)}
-        known, words = self.cache.young, self.cache.missing(set(chain.from_iterable(parts_of.values())))
+        unknown = self.cache.missing(units)
+        words = {u for u in unknown if u.isalpha()}  # letters only: one word
+        parts_of = {u: self.pre.parts(u) for u in unknown if u not in words}
+        known = self.cache.young
+        words.update(self.cache.missing(set(chain.from_iterable(parts_of.values())) - words))
+        words = list(words)
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
             ids = np.array(self.by_word.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
@@ -290,7 +294,7 @@ def write_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         try:
             for batch in batches:
                 keys, at = batch.column(0).to_pylist(), 0
-                for block in text_blocks(batch.column(1), rows=2000, max_bytes=8 << 20):
+                for block in text_blocks(batch.column(1), rows=4000, max_bytes=16 << 20):
                     for value in encoder.block(block):
                         if writer is None:
                             target = f"{path}/part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.sst"
