@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, work_path  # noqa: F401  (for the operators)
+
 #: Rows up to which a lookup side is broadcast; it is counted first.
 BROADCAST_ROWS = 20_000
 
-_OWN_DIRS: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,30 +27,6 @@ def spare_name(df: DataFrame, base: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), an own one."""
-    conf = spark.sparkContext.getConf()
-    configured = conf.get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
-    return _OWN_DIRS[app]
-
-
-def work_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back. Survives the loss of executors."""
-    spark = df.sparkSession
-    path = work_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", rows: int | None = None) -> DataFrame:
     """Join ``left`` with ``right``, whose keys are unique and which is already materialised.
 
