@@ -153,8 +153,9 @@ def reason(ops, place, flag):
 def with_position(chapters: DataFrame, book: str = "book_id", index: str = "chapter_idx") -> DataFrame:
     """Adds n_chapters and position.
 
-    The count comes from an aggregate that is joined back, not from a window,
-    so a book with very many chapters is never one task.
+    The count comes from an aggregate that is joined back, not from a window:
+    Spark broadcasts the counts while they are small, and then chapters are
+    neither shuffled nor sorted, however many a single book has.
     """
     total = chapters.groupBy(book).agg(F.count("*").alias("n_chapters"))
     joined = chapters.join(total.withColumnRenamed(book, "_book"), F.col(book).eqNullSafe(F.col("_book"))).drop("_book")

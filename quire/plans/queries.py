@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -105,13 +106,7 @@ def reason_counts(spark, sf_dir):
 def chapter_numbers(spark, sf_dir):
     docs = X.t(spark, sf_dir, "documents")
     blanked = docs.select(F.col("source").alias("book_id"), "doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit(" \n\t")).otherwise(F.col("text")).alias("content"))
-    return C.drop_blank(blanked).select("book_id", "doc_id", F.row_number().over(_by("book_id", "doc_id")).alias("number_in_book"))
-
-
-def _by(key, order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
+    return C.drop_blank(blanked).select("book_id", "doc_id", F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id")).alias("number_in_book"))
 
 
 @query(_DONE + """, passed as (select book_id, row_number() over (partition by book_id order by chapter_idx) - 1 as index, title, content from classified where filter_reason is null)
@@ -147,7 +142,11 @@ def title_sources(spark, sf_dir):
     return rows.select("id", chapter_title(F.col("html"), F.col("v"), F.col("path"), F.col("id")).alias("title"))
 
 
-@query(f"select page_id, {decode_named(SqlOps, SqlOps.trim(SqlOps.replace(SqlOps.replace(Sql('coalesce(' + SqlOps.extract(Sql('html'), P.HEADING, 1, True) + chr(44) + chr(39) * 2 + ')'), '<[^>]+>', ' '), chr(92) + 's+', ' ')))} as heading from pages")
+_RAW_HEADING = SqlOps.coalesce(SqlOps.extract(Sql("html"), P.HEADING, 1, True), "")
+_BARE_HEADING = SqlOps.trim(SqlOps.replace(SqlOps.replace(_RAW_HEADING, "<[^>]+>", " "), r"\s+", " "))
+
+
+@query(f"select page_id, {decode_named(SqlOps, _BARE_HEADING)} as heading from pages")
 def page_headings(spark, sf_dir):
     raw = F.coalesce(S.extract(F.col("html"), P.HEADING, 1, True), F.lit(""))
     return X.t(spark, sf_dir, "pages").select("page_id", clean_title(raw).alias("heading"))
@@ -198,10 +197,14 @@ def compare_keys(spark, sf_dir):
     return X.t(spark, sf_dir, "documents").select("doc_id", _digest(compare_key(S, F.col("text"))).alias("digest"))
 
 
-_LINE = SqlOps.trim(Sql("l"))
+_POOL = X._list(X.TITLES)
+_OWN = f"{_POOL}[doc_id % {len(X.TITLES)} + 1]"
+_FIRST_LINE = SqlOps.trim(SqlOps.first(SqlOps.split(Sql("text"), "\n")))
+_ECHO_ROWS = f"select doc_id, {_OWN} as title, case when doc_id % 3 = 0 then {_OWN} when doc_id % 3 = 1 then {_POOL}[doc_id % 7 + 1] else {_FIRST_LINE} end as line from documents"
+_VARIANTS = ", ".join(f"{v} as v{k}" for k, v in enumerate(E.title_variants(SqlOps, Sql("title"))))
 
 
-@query(f"select doc_id, {E.is_title_echo(SqlOps, Sql('line'), [Sql(f'v{k}') for k in range(4)])} as is_echo from (select doc_id, line, {', '.join(f'{v} as v{k}' for k, v in enumerate(E.title_variants(SqlOps, Sql('title'))))} from (select doc_id, {X._list(X.TITLES)}[doc_id % {len(X.TITLES)} + 1] as title, case when doc_id % 3 = 0 then {X._list(X.TITLES)}[doc_id % {len(X.TITLES)} + 1] when doc_id % 3 = 1 then {X._list(X.TITLES)}[doc_id % 7 + 1] else {SqlOps.trim(SqlOps.first(SqlOps.split(Sql('text'), chr(10))))} end as line from documents))")
+@query(f"select doc_id, {E.is_title_echo(SqlOps, Sql('line'), [Sql(f'v{k}') for k in range(4)])} as is_echo from (select doc_id, line, {_VARIANTS} from ({_ECHO_ROWS}))")
 def echo_lines(spark, sf_dir):
     pool = F.array(*[F.lit(x) for x in X.TITLES])
     own = F.element_at(pool, (F.col("doc_id") % len(X.TITLES) + 1).cast("int"))
@@ -357,8 +360,6 @@ def folder_counts(spark, sf_dir):
 
 @query(f"select id, name, row_number() over (order by name nulls last, id) as place from ({X.FOLDERS_SQL})")
 def folder_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     return K.folder_listing(X.folders(spark, sf_dir)).select("id", "name", F.row_number().over(Window.orderBy(F.asc_nulls_last("name"), "id")).alias("place"))
 
 
@@ -465,11 +466,11 @@ def json_rows(spark, sf_dir):
 select conv_id, md5(coalesce(joined, flat)) as digest from b""")
 def export_selection(spark, sf_dir):
     talks = X.t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
-    whole = F.to_json(F.struct(F.array_join("texts", " ").alias("translated"), F.transform("texts", lambda x: F.struct(F.lit("t").alias("title"), x.alias("content"))).alias("chapters")))
-    bare = F.to_json(F.struct(F.array_join("texts", " ").alias("x")))
-    bodies = talks.withColumn("body", F.when(F.col("conv_id") % 3 != 0, F.parse_json(whole)).when(F.col("conv_id") % 2 == 0, F.parse_json(F.expr("substring(" + "to_json(struct(array_join(texts, ' ') as x))" + ", 6, length(to_json(struct(array_join(texts, ' ') as x))) - 6)"))).otherwise(F.parse_json(F.to_json(F.struct(F.array_join("texts", " ").alias("translated"))))))
-    del bare
-    return E.export_content(bodies, "body").select("conv_id", _digest(F.col("text")).alias("digest"))
+    flat = F.array_join("texts", " ").alias("translated")
+    chapters = F.transform("texts", lambda x: F.struct(F.lit("t").alias("title"), x.alias("content"))).alias("chapters")
+    bare = F.regexp_extract(F.to_json(F.struct(flat)), r'(?s)^\{"translated":(.*)\}$', 1)  # a JSON string alone
+    body = F.when(F.col("conv_id") % 3 != 0, F.to_json(F.struct(flat, chapters))).when(F.col("conv_id") % 2 == 0, bare).otherwise(F.to_json(F.struct(flat)))
+    return E.export_content(talks.select("conv_id", F.parse_json(body).alias("body")), "body").select("conv_id", _digest(F.col("text")).alias("digest"))
 
 
 @query()

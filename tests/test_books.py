@@ -13,7 +13,7 @@ from quire.operators import catalog as K
 from quire.operators import chapters as C
 from quire.operators import export as E
 from quire.operators import translation as T
-from quire.sources.containers import chapter_files, read_books, read_epub, read_mobi
+from quire.sources.containers import read_books, read_epub, read_mobi
 
 
 def epub(files, order, *, opf="OEBPS/content.opf", container=True, extra="", meta="<dc:title>Bücher &amp; mehr</dc:title><dc:creator>A</dc:creator><dc:language>de</dc:language>"):
