@@ -283,24 +283,47 @@ def gather(parts: list[bytes], item: int, places: np.ndarray, offsets: np.ndarra
 
 
 class WordCache:
-    """Two generations of a dictionary: memory stays under twice ``limit`` entries whatever the corpus."""
+    """Two generations of a dictionary: memory stays under twice ``limit`` entries, and one block's words, whatever the corpus."""
 
     def __init__(self, limit: int = 250_000):
         self.limit, self.young, self.old = limit, {}, {}
 
-    def turn(self) -> None:
-        """Between blocks: let the older half go once the younger is full."""
+    def values(self, units: list[str], single: set[str], parts, encode, join) -> list:
+        """What each of the distinct pieces stands for.
+
+        ``encode`` gives the values of words not known yet, many at a time. A
+        piece that is no word itself is cut by ``parts``, and ``join`` puts its
+        words' values together. Only words are remembered.
+        """
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-
-    def missing(self, words) -> list[str]:
-        """Words of the set not known yet; known ones are made young so that they stay for this block."""
-        young, old, out = self.young, self.old, []
-        for w in words:
-            if w not in young:
-                v = old.get(w)
-                if v is None:
-                    out.append(w)
+        known, old = self.young, self.old.get
+        out = list(map(known.get, units))
+        words: dict[str, None] = {}
+        later, cut = [], []
+        for i, v in enumerate(out):
+            if v is None:
+                u = units[i]
+                v = old(u)
+                if v is not None:
+                    out[i] = known[u] = v
+                elif u.isalpha() or u in single:  # letters only: one word
+                    words[u] = None
+                    later.append(i)
                 else:
-                    young[w] = v
+                    pieces = parts(u)
+                    cut.append((i, pieces))
+                    for w in pieces:
+                        if w not in known and w not in words:
+                            v = old(w)
+                            if v is None:
+                                words[w] = None
+                            else:
+                                known[w] = v
+        new = list(words)
+        known.update(zip(new, encode(new), strict=True))
+        for i in later:
+            out[i] = known[units[i]]
+        for i, pieces in cut:
+            out[i] = join([known[w] for w in pieces])
         return out

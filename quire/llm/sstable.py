@@ -28,7 +28,6 @@ import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -228,28 +227,23 @@ class LibraryEncoder:
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(self.by_word.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            raw = ids.tobytes()
+            out += [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+        return out
+
     def block(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (null: none) in the width of the file."""
-        self.cache.turn()
         texts = texts.fill_null("")
         odd = odd_texts(texts)
         whole = iter([self.pack(self.library.encode(t, add_special_tokens=False).ids) for t in texts.filter(odd).to_pylist()])
         offsets, places, units, _ = self.pre.block(texts.filter(pc.invert(odd)))
-        unknown = self.cache.missing(units)
-        words = {u for u in unknown if u.isalpha()}  # letters only: one word
-        parts_of = {u: self.pre.parts(u) for u in unknown if u not in words}
-        known = self.cache.young
-        words.update(self.cache.missing(set(chain.from_iterable(parts_of.values())) - words))
-        words = list(words)
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids = np.array(self.by_word.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
-            raw = ids.tobytes()
-            for w, s, e in zip(some, [0, *ends], ends, strict=False):
-                known[w] = raw[s:e]
-        own = {u: known[u] if u in known else b"".join([known[w] for w in parts]) for u, parts in parts_of.items()}
-        offsets, ids = gather([own[u] if u in own else known[u] for u in units], self.width, places, offsets)
+        offsets, ids = gather(self.cache.values(units, set(), self.pre.parts, self._words, b"".join), self.width, places, offsets)
         raw, cut = ids.tobytes(), (offsets * self.width).tolist()
         plain = iter([raw[s:e] for s, e in zip(cut, cut[1:], strict=False)])
         return [next(whole) if x else next(plain) for x in odd.to_pylist()]

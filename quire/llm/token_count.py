@@ -49,28 +49,18 @@ def count_tokens(df: DataFrame, text_col: str = "text", *, tokenizer_path: str,
     @F.arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = _state(key, shared)
-        pre, merge, whole, cache = s["pre"], s["model"].merge_word, s["whole"], s["cache"]
+        pre, merge, cache = s["pre"], s["model"].merge_word, s["cache"]
+        direct = s["whole"] | pre.special
+
+        def lengths(words):
+            return [1 if w in direct else len(merge(w)) for w in words]
+
         for texts in batches:
             counts = []
             for block in text_blocks(texts):
-                cache.turn()
                 offsets, places, units, single = pre.block(block)
-                unknown = cache.missing(u for u in units if u not in whole)
-                of = cache.young
-                for unit in unknown:
-                    n = 0
-                    for word in (unit,) if unit in single else pre.parts(unit):
-                        if word in whole or word in pre.special:
-                            n += 1
-                        else:
-                            k = of.get(word)
-                            if k is None:
-                                k = of[word] = len(merge(word))
-                            n += k
-                    of[unit] = n
-                n = np.fromiter((1 if u in whole else of[u] for u in units), np.int64, len(units))
-                sums = np.concatenate([[0], np.cumsum(n[places])])[offsets]
-                counts.append(np.diff(sums))
+                n = np.array(cache.values(units, single, pre.parts, lengths, sum), np.int64)
+                counts.append(np.diff(np.concatenate([[0], np.cumsum(n[places])])[offsets]))
             yield pa.array(np.concatenate(counts) if counts else [], pa.int64())
 
     return df.withColumn(out, count(F.col(text_col)))

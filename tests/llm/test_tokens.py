@@ -6,13 +6,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from quire.llm import sstable
 from quire.llm.bpe import WordBpe, WordCache
-from quire.llm.bpe_codec import decode, op10_bpe_codec
+from quire.llm.bpe_codec import decode, encode, op10_bpe_codec, round_trip
 from quire.llm.sstable import op5_sorted_tables
 from quire.llm.token_count import op1_token_counts
 
@@ -46,6 +45,13 @@ def test_codec(spark, odd_dir, documents, library):
     assert Counter(map(tuple, op10_bpe_codec(spark, odd_dir).collect())) == want
 
 
+def test_round_trip_is_encode_then_decode(spark, odd_dir):
+    df = spark.read.parquet(f"{odd_dir}/documents.parquet").select("doc_id", "text")
+    one = round_trip(df, tokenizer_path=PATH).select("doc_id", "coded.ids", "coded.decoded")
+    two = decode(encode(df, tokenizer_path=PATH), tokenizer_path=PATH).select("doc_id", "ids", "decoded")
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def test_decode_skips_what_is_no_id(spark):
     df = spark.createDataFrame([([320, -1, None, 999999, 49407],), (None,), ([],)], "ids array<int>")
     assert [r.decoded for r in decode(df, tokenizer_path=PATH).collect()] == ["a</w> <|endoftext|>", "", ""]
@@ -113,13 +119,19 @@ def test_pair_index_equals_word_by_word(model):
     assert [x.tolist() for x in model.merge_block([])] == [[], []]
 
 
-def test_cache_is_bounded():
-    cache = WordCache(limit=10)
+def test_cache_is_bounded_and_right():
+    cache, asked = WordCache(limit=10), []
+
+    def encode(words):
+        asked.extend(words)
+        return [w.encode() for w in words]
+
     for at in range(0, 1000, 5):
-        cache.turn()
-        for w in cache.missing(map(str, range(at, at + 5))):
-            cache.young[w] = 1
-    assert len(cache.young) + len(cache.old) <= 32
+        units = [f"w{'x' * (k % 7)}{chr(97 + k % 26)}" for k in range(at, at + 5)] + [f"a,{at % 3}", "same"]
+        units = list(dict.fromkeys(units))
+        got = cache.values(units, set(), lambda u: u.replace(",", " , ").split(), encode, b"".join)
+        assert got == [u.encode() for u in units]
+    assert len(cache.young) + len(cache.old) <= 40 and asked.count("same") == 1
 
 
 def test_empty_tables(spark, empty_dir):
