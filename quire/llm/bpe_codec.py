@@ -9,7 +9,6 @@ touches (``WordBpe.merge_block``). Decoding joins token strings.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -33,19 +32,17 @@ def _state(key, shared):
 
 def encode_block(texts: pa.Array, pre: PreTokenizer, model: WordBpe, cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and all token ids of a block of texts. The cache holds each word's ids as int32 bytes."""
-    cache.turn()
+
+    def encode(words):
+        special = {w: np.int32(model.special[w]).tobytes() for w in words if w in pre.special}
+        plain = [w for w in words if w not in special]
+        counts, ids = model.merge_block(plain)
+        ends, raw = (np.cumsum(counts) * 4).tolist(), ids.tobytes()
+        done = dict(zip(plain, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+        return [done[w] if w in done else special[w] for w in words]
+
     offsets, places, units, single = pre.block(texts)
-    for w in pre.special & single:
-        cache.young[w] = np.int32(model.special[w]).tobytes()
-    known, unknown = cache.young, cache.missing(units)
-    parts_of = {u: [u] if u in single else pre.parts(u) for u in unknown}
-    words = cache.missing(set(chain.from_iterable(parts_of.values())))
-    counts, ids = model.merge_block(words)
-    ends, raw = (np.cumsum(counts) * 4).tolist(), ids.tobytes()
-    for w, s, e in zip(words, [0, *ends], ends, strict=False):
-        known[w] = raw[s:e]
-    own = {u: known[u] if u in known else b"".join([known[w] for w in parts]) for u, parts in parts_of.items()}
-    offsets, ids = gather([own[u] if u in own else known[u] for u in units], 4, places, offsets)
+    offsets, ids = gather(cache.values(units, single, pre.parts, encode, b"".join), 4, places, offsets)
     return offsets, ids.astype(np.int32)
 
 
@@ -104,14 +101,34 @@ def decode(df: DataFrame, ids_col: str = "ids", *, tokenizer_path: str, out: str
     return df.withColumn(out, run(F.col(ids_col)))
 
 
+def round_trip(df: DataFrame, text_col: str = "text", *, tokenizer_path: str, out: str = "coded") -> DataFrame:
+    """Append ``out``: struct of ids and the text decoded from them, in one Python worker per task.
+
+    Same results as ``encode`` followed by ``decode``.
+    """
+    key, shared = _load(df, tokenizer_path)
+    kind = [pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())]
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        s = _state(key, shared)
+        tokens = pa.array([t or None for t in s["model"].tokens])
+        for texts in batches:
+            for block in text_blocks(texts, rows=1000, max_bytes=4 << 20):
+                offsets, ids = encode_block(block, s["pre"], s["model"], s["cache"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                yield pa.StructArray.from_arrays([lists, decode_block(lists, tokens)], fields=kind)
+
+    return df.withColumn(out, run(F.col(text_col)))
+
+
 def op10_bpe_codec(spark, sf_dir):
     """Contract: doc_id, n_tokens and the digests of the ids and of the decoded text of every document."""
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, tokenizer_path=path), tokenizer_path=path)
-    return coded.select(
+    return round_trip(docs, tokenizer_path=path).select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.size("coded.ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("coded.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("coded.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
