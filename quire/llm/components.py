@@ -15,8 +15,11 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     then its parent's parent; ends when a round changes nothing. Minima are
     taken map-side before the shuffle and looked up through a join that can
     split hot vertices, so a star of any size is no single task. ``start``
-    (v, p) may give parents already known; its vertices are kept.
+    (v, p) may give components already known: they count as edges too, so that
+    a new edge at any of its vertices moves the whole component.
     """
+    if start is not None:
+        edges = edges.select("a", "b").union(start.select(F.col("v").alias("a"), F.col("p").alias("b")))
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, "edges")
     vertices = both.select(F.col("a").alias("v"), F.col("a").alias("p"))

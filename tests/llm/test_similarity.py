@@ -118,6 +118,12 @@ def test_graph_components(spark, edges):
     assert got == want
 
 
+def test_components_merge_through_any_vertex(spark):
+    first = components(spark.createDataFrame([(10, 11), (10, 12), (20, 21), (20, 22), (30, 31)], "a long, b long"))
+    second = components(spark.createDataFrame([(12, 22), (21, 31), (40, 41)], "a long, b long"), first)
+    assert {r.v: r.p for r in second.collect()} == {**{v: 10 for v in (10, 11, 12, 20, 21, 22, 30, 31)}, 40: 40, 41: 40}
+
+
 # ------------------------------------------------------------------ decontamination
 
 
