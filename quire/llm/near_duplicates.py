@@ -221,7 +221,7 @@ def duplicate_classes(docs: DataFrame, text_col: str = "text", id_col: str = "do
     copies = materialize(copies, "copies")
     n_copies = copies.count()
     keys = ["n", "f1", "f2"]
-    members = lookup_join(signed.select("id", *keys), copies, keys, rows=n_copies).select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    members = lookup_join(signed.select("id", *keys), copies, keys, rows=n_copies).select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     members = materialize(members, "members")
     singles = lookup_join(full, copies, keys, rows=n_copies).where("rep is null or rep = id").select("id", F.explode("bands").alias("key"))
     singles = materialize(singles, "bands")
@@ -275,7 +275,10 @@ def op6_near_duplicates(spark, sf_dir):
 
 
 def keep_one_of_each(spark, docs, sf_dir):
-    """Pipeline stage: of each group of near-duplicates the document with the smallest doc_id stays."""
-    gone = duplicate_classes(docs).where("not kept").select("doc_id")
-    gone = materialize(gone.distinct(), "duplicates")
+    """Pipeline stage: of each group of near-duplicates the document with the smallest doc_id stays.
+
+    Rows that share a doc_id stay or go together; they stay if one of them does.
+    """
+    gone = duplicate_classes(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("any_kept"))
+    gone = materialize(gone.where("not any_kept").select("doc_id"), "duplicates")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

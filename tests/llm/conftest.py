@@ -34,6 +34,7 @@ def odd_dir(tmp_path_factory):
     for k, t in enumerate(ODD_TEXTS):
         rows.append({"doc_id": 100_000 + k, "text": t, "lang": None if k % 2 else "en", "source": None, "n_chars": None, "ids": None, "language": None, "toxicity": 0.5, "hits": None})
     rows.append({**rows[0], "doc_id": None})
+    rows.append({**rows[0], "doc_id": 99_999})
     rows.append(dict(rows[1]))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("ids", pa.string()), ("language", pa.int64()), ("toxicity", pa.float64()), ("hits", pa.list_(pa.int64()))])
     pq.write_table(pa.Table.from_pylist(rows, schema), at / "documents.parquet")
