@@ -64,6 +64,10 @@ def any_of(patterns) -> str:
 class SparkOps:
     """Expressions as Spark columns."""
 
+    @staticmethod
+    def name(column: str):
+        return F.col(column)
+
     @staticmethod
     def lit(value):
         return F.lit(value)
@@ -172,7 +176,7 @@ class SparkOps:
         out = F.when(*pairs[0])
         for c, v in pairs[1:]:
             out = out.when(c, v)
-        return out if otherwise is None else out.otherwise(otherwise)
+        return out if otherwise is None else out.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
 
 
 class Sql(str):
@@ -222,6 +226,10 @@ class SqlOps:
 
     names = 0
 
+    @staticmethod
+    def name(column: str) -> Sql:
+        return Sql(column)
+
     @staticmethod
     def lit(value) -> Sql:
         if isinstance(value, Sql):

@@ -47,27 +47,42 @@ def _share(ops, lines, test):
     return ops.ratio(ops.size(ops.keep(lines, test)), ops.size(lines))
 
 
-def predicates(ops, title, content, mode="compat"):
-    """Named conditions on a chapter (``title`` trimmed): the content rules and what guards them."""
-    body, low, low_title = ops.trim(content), ops.lower(content), ops.lower(title)
-    n, lines = ops.length(body), lines_of(ops, body)
-    count = ops.size(lines)
+#: A text without any of these has no line of a book list.
+_BOOK_TEXT = r"isbn|€|\$|\d{3}-\d|erh|ersch|avail|taschenbuch|hardcover|paperback|e-?book|h.rbuch|audiobook|auch"
+
+
+def prepared(ops, content) -> dict:
+    """What several predicates read, as columns of their own: each is computed once. Lines only of short contents."""
+    body = ops.trim(content)
+    return {"c_body": body, "c_low": ops.lower(content)}
+
+
+def measured(ops) -> dict:
+    """Second stage of ``prepared``: length and lines of the trimmed content."""
+    body = ops.name("c_body")
+    return {"c_n": ops.length(body), "c_lines": lines_of(ops, ops.cases([(ops.length(body) <= 5000, body)], ""))}
+
+
+def predicates(ops, title, mode="compat"):
+    """Named conditions on a chapter with prepared columns (``title`` trimmed): the content rules and what guards them."""
+    body, low, n, lines = (ops.name(c) for c in ("c_body", "c_low", "c_n", "c_lines"))
+    low_title, count = ops.lower(title), ops.size(lines)
     toc = _share(ops, lines, lambda x: ops.match(x, P.TOC_LINES, True)) > 0.4
     short_form = (_share(ops, lines, lambda x: ops.length(x) < 60) > 0.7) & (_share(ops, lines, lambda x: ops.match(x, P.SENTENCE_BREAK) | (ops.length(x) > 120)) < 0.1)
     cased = _share(ops, lines, lambda x: ops.match(x, P.TITLE_CASE_LINE) & (ops.length(x) < 80)) > 0.5
     plain = lines_of(ops, low)
     book_line = lambda x: either([*[ops.contains(x, w) for w in P.BOOK_LINE_PARTS], ops.match(x, P.BOOK_LINES, True)])
     opening, thanks = ops.head(low, 500), ops.head(low, 800)
-    first = ops.first(ops.keep(ops.split(body, r"\n+"), lambda x: ops.trim(x) != ""))
-    dedicated = ops.match(ops.lower(ops.coalesce(first, "" if ops is SqlOps else F.lit(""))), P.DEDICATION_LINES, True)
+    first = ops.coalesce(ops.first(lines), "" if ops is SqlOps else F.lit(""))
+    dedicated = ops.match(ops.lower(first), P.DEDICATION_LINES, True)
     if mode == "fixed":
-        dedicated = dedicated | ops.match(ops.coalesce(first, "" if ops is SqlOps else F.lit("")), P.DEDICATION_NAME_LINE)
+        dedicated = dedicated | ops.match(first, P.DEDICATION_NAME_LINE)
     return {
         "is_toc": (n >= 50) & (n <= 3000) & (count >= 3) & (_share(ops, lines, lambda x: ops.length(x) < 80) > 0.6) & toc,
         "is_promo": (n <= 3000) & (count_true(ops, [ops.match(low, p, True) for p in P.PROMO_SIGNALS]) >= 2),
         "is_author_list": (n >= 100) & (n < 5000) & (count >= 5) & short_form & (cased | ops.match(low_title, P.BY_SOMEONE)),
         "is_short_rights": (n < 200) & either([ops.contains(low, w) for w in P.SHORT_RIGHTS_PHRASES]),
-        "is_book_list": (ops.size(plain) >= 3) & (_share(ops, plain, book_line) > 0.3),
+        "is_book_list": ops.match(low, _BOOK_TEXT) & (ops.size(plain) >= 3) & (_share(ops, plain, book_line) > 0.3),
         "is_preview": either([*[ops.contains(opening, w) for w in P.PREVIEW_PHRASES], ops.match(opening, P.FIRST_CHAPTER, True)]),
         "is_rights": (n < 1500) & (count_true(ops, [ops.match(low, p) for p in P.RIGHTS_SIGNALS]) >= 2),
         "is_dedication": (n <= 500) & (count <= 10) & dedicated,
@@ -173,16 +188,30 @@ def classify(chapters: DataFrame, *, title: str = "title", content: str = "conte
     names = chapters.columns
     rows = chapters.withColumns({"_t": S.trim(F.coalesce(title, F.lit(""))), "_c": F.coalesce(content, F.lit(""))})
     rows = rows.withColumns(title_predicates(S, F.col("_t"), mode))
-    rows = rows.withColumns(predicates(S, F.col("_t"), F.col("_c"), mode)).withColumn("many_chapters", F.col("n_chapters") > 5)
+    rows = with_predicates(rows, F.col("_t"), F.col("_c"), mode).withColumn("many_chapters", F.col("n_chapters") > 5)
     return rows.select(*[c for c in names if c != "filter_reason"], reason(S, F.col("position"), F.col).alias("filter_reason"))
 
 
+def with_predicates(rows: DataFrame, title: Column, content: Column, mode: str = "compat") -> DataFrame:
+    """Adds the prepared columns and one boolean column per content predicate."""
+    return rows.withColumns(prepared(S, content)).withColumns(measured(S)).withColumns(predicates(S, title, mode))
+
+
+def predicates_sql(rows: str, title: str, content: str, mode: str = "compat") -> str:
+    """The same over a query, as SQL."""
+    from ..functions.dialect import Sql
+
+    stages = [prepared(SqlOps, Sql(content)), measured(SqlOps), predicates(SqlOps, Sql(title), mode)]
+    for stage in stages:
+        rows = f"select *, {', '.join(f'{v} as {k}' for k, v in stage.items())} from ({rows})"
+    return rows
+
+
 def classify_sql(chapters: str, mode: str = "compat") -> str:
     """The same as SQL over a query with book_id, chapter_idx, title, content."""
     from ..functions.dialect import Sql
 
-    flags = title_predicates(SqlOps, Sql("t"), mode) | predicates(SqlOps, Sql("t"), Sql("c"), mode)
-    columns = ",\n    ".join(f"{v} as {k}" for k, v in flags.items())
+    titles = ",\n    ".join(f"{v} as {k}" for k, v in title_predicates(SqlOps, Sql("t"), mode).items())
     return f"""
 with chapters as ({chapters}),
 placed as (
@@ -190,8 +219,8 @@ placed as (
     when chapter_idx >= n_chapters - greatest(2, ceil(n_chapters * 0.15)) then 'end' else 'middle' end as position
   from (select *, count(*) over (partition by book_id) as n_chapters from chapters)),
 ready as (select *, {SqlOps.trim(SqlOps.coalesce(Sql("title"), ""))} as t, coalesce(content, '') as c, n_chapters > 5 as many_chapters from placed),
-flagged as (select book_id, chapter_idx, title, content, n_chapters, position, many_chapters,
-    {columns}
-  from ready),
+flagged as (select *,
+    {titles}
+  from ({predicates_sql("select * from ready", "t", "c", mode)})),
 classified as (select book_id, chapter_idx, title, content, n_chapters, position, {reason(SqlOps, Sql("position"), Sql)} as filter_reason from flagged)
 """

@@ -13,7 +13,7 @@ from ..operators import catalog as K
 from ..operators import chapters as C
 from ..operators import export as E
 from ..operators import translation as T
-from ..operators.classify import classify_sql, predicates, skip_reason, with_position
+from ..operators.classify import classify_sql, predicates, predicates_sql, skip_reason, with_position, with_predicates
 from . import fixtures as X
 
 S = SparkOps
@@ -59,13 +59,13 @@ def golden_rules(spark, sf_dir):
     return C.filter_chapters(X.golden(spark)).select("book_id", "chapter_idx", "position", "filter_reason")
 
 
-_FLAGS = predicates(SqlOps, Sql("''"), Sql("text"))
+_FLAGS = list(predicates(SqlOps, Sql("''")))
 
 
-@query(f"select doc_id, {', '.join(f'{v} as {k}' for k, v in _FLAGS.items())} from documents")
+@query(f"select doc_id, {', '.join(_FLAGS)} from ({predicates_sql('select doc_id, text from documents', chr(39) * 2, 'text')})")
 def content_predicates(spark, sf_dir):
     docs = X.t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.withColumns(predicates(S, F.lit(""), F.col("text"))).select("doc_id", *_FLAGS)
+    return with_predicates(docs, F.lit(""), F.col("text")).select("doc_id", *_FLAGS)
 
 
 @query(
