@@ -1,16 +1,19 @@
 """Toxicity by nearest labelled examples.
 
-Examples and documents are TF-IDF vectors over the terms that tell the classes
-apart best. The examples lie in an inverted index cut into blocks; each term
-knows its largest weight in each block. A query takes blocks in the order of
-their upper bounds and stops when no further block can hold a nearer example,
-so its neighbours are those of a full comparison. Votes weighted by similarity
-give a score, calibrated on examples left out one by one, and the nearest
-examples are the evidence.
+Examples and documents are TF-IDF vectors over all their words. The examples
+lie in an inverted index cut into blocks of alike ones: postings for most words,
+one matrix a block for the few hundred words that stand in most texts, and each
+word's largest weight in each block. A batch of queries visits, each, the block
+of its greatest upper bound and then those that may still hold a nearer example,
+so its neighbours are those of a full comparison. Single precision only names
+candidates; cosines are exact. Votes weighted by similarity give a score,
+calibrated on examples left out one by one, and the nearest examples are the
+evidence.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -22,12 +25,12 @@ from pyspark.sql import functions as F
 from .common import materialize, spare_name, split_units, table, text_blocks
 from .language_id import held_out
 
-#: Labelled documents in the index, about; terms; neighbours; examples for calibration; examples in a block.
-MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, CALIBRATION, BLOCK = 20_000, 512, 25, 4000, 64
-#: A term is kept if its likelihood ratio between the classes reaches this.
-MIN_RATIO = 30.0
-#: And if at least this share of the distinct toxic examples has it, so that one family of near copies makes no term.
-MIN_SHARE = 0.02
+#: Labelled documents in the index, about; neighbours; examples for calibration; examples in a block.
+MAX_EXAMPLES, NEIGHBOURS, CALIBRATION, BLOCK = 20_000, 25, 4000, 1024
+#: Words kept as matrices, those in most examples; the others are postings. Only speed depends on it.
+FREQUENT = 512
+#: Queries in a batch; more than single precision may lose of a cosine.
+BATCH, SLACK = 64, 1e-4
 #: Documents scored this or higher are dropped by the pipeline.
 REJECT = 0.5
 
@@ -35,10 +38,16 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def term_counts(texts: pa.Array, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, terms and counts of a block of whole texts, ordered by row, then term."""
+    """Rows, terms and counts of a block of whole texts, ordered by row, then term. Words beyond ``terms`` get numbers from ``len(terms)`` on."""
     offsets, places, units = split_units(texts)
-    get = terms.get
-    own = [[t for t in map(get, _WORD.findall(u)) if t is not None] for u in units]
+    other: dict[str, int] = {}
+    known, first = terms.get, len(terms)
+
+    def number(word):
+        at = known(word)
+        return other.setdefault(word, first + len(other)) if at is None else at
+
+    own = [[number(w) for w in _WORD.findall(u)] for u in units]
     size = np.fromiter(map(len, own), np.int64, len(own))
     flat = np.array([t for x in own for t in x], np.int64)
     begin = np.cumsum(size) - size
@@ -48,88 +57,192 @@ def term_counts(texts: pa.Array, terms: dict[str, int]) -> tuple[np.ndarray, np.
     stop = np.cumsum(width)
     total = int(stop[-1]) if len(stop) else 0
     term = flat[np.repeat(begin[places[at]] - stop + width, width) + np.arange(total)] if total else np.zeros(0, np.int64)
-    keys, counts = np.unique(np.repeat(row, width) * max(len(terms), 1) + term, return_counts=True)
-    return keys // max(len(terms), 1), keys % max(len(terms), 1), counts
+    span = max(first + len(other), 1)
+    keys, counts = np.unique(np.repeat(row, width) * span + term, return_counts=True)
+    return keys // span, keys % span, counts
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``begin[0], begin[0] + 1, ...`` (``size[0]`` of them), then those from ``begin[1]``, and so on."""
+    stop = np.cumsum(size)
+    return np.repeat(begin - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)
 
 
 class Index:
-    """Block-max inverted index of the examples and what turns neighbours into scores. Bounded by the constants above."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, list, list]], k: int = NEIGHBOURS, block: int = BLOCK):
-        self.terms, self.idf, self.k, self.block = {t: i for i, t in enumerate(terms)}, idf, k, block
-        vectors = [(self.weigh(np.array(t, np.int64), np.array(c, np.float64)), np.array(t, np.int64), i, y) for i, y, t, c in examples]
-        empty = [y for w, _, _, y in vectors if not len(w)]
-        full = [v for v in vectors if len(v[0])]
-        self.base = (sum(y for *_, y in vectors) + 1) / (len(vectors) + 2)
+    """Block-max inverted index of the examples and what turns neighbours into scores. Bounded by the examples.
+
+    ``idf`` is that of ``terms``; ``unseen`` that of a word in no example, which
+    counts in the length of a document's vector only.
+    """
+
+    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple], k: int = NEIGHBOURS, block: int = BLOCK, unseen: float = 1.0, frequent: int = FREQUENT):
+        self.terms, self.idf, self.k, self.block, self.unseen = {t: i for i, t in enumerate(terms)}, idf, k, block, unseen
+        vectors = [(i, y, np.asarray(t, np.int32), np.asarray(c, np.float64)) for i, y, t, c in examples]
+        empty = [y for _, y, t, _ in vectors if not len(t)]
+        full = [v for v in vectors if len(v[2])]
+        self.base = (sum(v[1] for v in vectors) + 1) / (len(vectors) + 2)
         self.blank = (sum(empty) + self.base) / (len(empty) + 1)
-        # alike examples next to each other keep the blocks' bounds tight
-        full.sort(key=lambda v: (int(v[1][v[0].argmax()]), len(v[1]), v[1].tolist(), v[2] is None, v[2] or 0))
-        self.ids, self.labels = [v[2] for v in full], np.array([v[3] for v in full], np.float64)
-        n = -(-len(full) // block)
-        self.most = np.zeros((len(terms), n))
-        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in range(n):
-            part = full[b * block : (b + 1) * block]
-            local = np.unique(np.concatenate([v[1] for v in part]))
-            dense = np.zeros((len(local), len(part)))
-            for j, (w, t, _, _) in enumerate(part):
-                dense[np.searchsorted(local, t), j] = w
-            self.most[local, b] = dense.max(axis=1)
-            self.blocks.append((local, dense))
+        # an order that does not depend on the tables' order, then alike examples next to each other, which keeps bounds tight
+        full.sort(key=lambda v: (v[0] is None, v[0] or 0, len(v[2]), v[2].tobytes(), v[3].tobytes()))
+        seen = np.bincount(np.concatenate([v[2] for v in full]), minlength=len(terms)) if full else np.zeros(len(terms), np.int64)
+        self.often = np.sort(np.argsort(-seen, kind="stable")[:frequent])
+        full = [full[p] for p in self._alike(full)]
+        self.ids, self.labels = [v[0] for v in full], np.array([v[1] for v in full], np.float64)
+        self.begin = np.cumsum([0, *(len(v[2]) for v in full)])
+        self.words = np.concatenate([v[2] for v in full]) if full else np.zeros(0, np.int32)
+        self.weights = np.concatenate([self.weigh(v[2], v[3]) for v in full]) if full else np.zeros(0)
         self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        self._derive()
+
+    def _alike(self, full: list[tuple], groups: int = 16) -> np.ndarray:
+        """Order of the examples by rough groups (spherical k-means on the frequent words), near groups next to each other."""
+        slot = np.full(len(self.terms), -1, np.int32)
+        slot[self.often] = np.arange(len(self.often))
+        rows = np.zeros((len(full), len(self.often)), np.float32)
+        for p, (_, _, t, c) in enumerate(full):
+            at = slot[t]
+            rows[p, at[at >= 0]] = self.weigh(t, c)[at >= 0]
+        rows /= np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-9)
+        centers = rows[:: max(1, -(-len(full) // groups))].copy()
+        own = np.zeros(len(full), np.int64)
+        for _ in range(6 if len(full) else 0):
+            own = (rows @ centers.T).argmax(axis=1)
+            for g in range(len(centers)):
+                if (own == g).any():
+                    centers[g] = rows[own == g].sum(axis=0)
+                    centers[g] /= max(float(np.sqrt((centers[g] ** 2).sum())), 1e-9)
+        near, left, place = centers @ centers.T, list(range(1, len(centers))), np.zeros(max(len(centers), 1), np.int64)
+        at = 0
+        for n in range(1, len(centers)):
+            at = max(left, key=lambda g: near[at, g])
+            left.remove(at)
+            place[at] = n
+        return np.argsort(place[own], kind="stable")
+
+    def _derive(self) -> None:
+        """Postings, matrices and bounds, from the examples' vectors."""
+        n, block = len(self.ids), self.block
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begin))
+        self.slot = np.full(len(self.terms), -1, np.int32)
+        self.slot[self.often] = np.arange(len(self.often))
+        slot = self.slot[self.words]
+        rare = np.flatnonzero(slot < 0)
+        rare = rare[np.argsort(self.words[rare], kind="stable")]
+        self.posted = np.concatenate([[0], np.cumsum(np.bincount(self.words[rare], minlength=len(self.terms)))])
+        self.post_at, self.post_weight = owner[rare], self.weights[rare].astype(np.float32)
+        self.blocks, often = [], np.flatnonzero(slot >= 0)
+        self.most = np.zeros((len(self.often), -(-n // block)), np.float32)
+        cut = np.searchsorted(owner[often], np.arange(0, n + block, block))
+        for b in range(self.most.shape[1]):
+            at = often[cut[b] : cut[b + 1]]
+            dense = np.zeros((len(self.often), block), np.float32)
+            dense[slot[at], owner[at] - b * block] = self.weights[at]
+            self.most[:, b] = dense.max(axis=1)
+            self.blocks.append(dense)
+        self._query = np.zeros(len(self.terms))
         self._known: dict[bytes, tuple] = {}
 
-    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms] if len(terms) else np.zeros(0)
-        return w / np.sqrt((w * w).sum()) if len(w) else w
+    def __getstate__(self) -> dict:
+        derived = ("slot", "posted", "post_at", "post_weight", "blocks", "most", "_query", "_known")
+        return {k: v for k, v in self.__dict__.items() if k not in derived}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._derive()
+
+    def weigh(self, terms: np.ndarray, counts: np.ndarray, others: np.ndarray | tuple = ()) -> np.ndarray:
+        """Weights of ``terms`` in a vector of length 1 that also has words of no example, ``others`` times each."""
+        if not len(terms):
+            return np.zeros(0)
+        w = (1 + np.log(counts)) * self.idf[terms]
+        rest = (1 + np.log(np.asarray(others, np.float64))) * self.unseen
+        return w / np.sqrt((w * w).sum() + (rest * rest).sum())
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of greatest cosine (above 0) and their cosines; of equal ones those first in the index."""
-        bound = weights @ self.most[terms]
-        sims, places, least = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            local, dense = self.blocks[b]
-            at = np.minimum(np.searchsorted(local, terms), len(local) - 1)
-            has = local[at] == terms
-            found = weights[has] @ dense[at[has]]
-            sims = np.concatenate([sims, found])
-            places = np.concatenate([places, np.arange(len(found)) + b * self.block])
+        return self.nearest_of_each([(terms, weights)], k)[0]
+
+    def nearest_of_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, block, blocks = len(self.ids), self.block, len(self.blocks)
+        rough = np.zeros((len(queries), blocks * block), np.float32)
+        often = np.zeros((len(queries), len(self.often)), np.float32)
+        for q, (terms, weights) in enumerate(queries):
+            slot = self.slot[terms]
+            often[q, slot[slot >= 0]] = weights[slot >= 0]
+            rare = terms[slot < 0]
+            begin, size = self.posted[rare], self.posted[rare + 1] - self.posted[rare]
+            at = _ranges(begin, size)
+            if len(at):
+                rough[q, :n] = np.bincount(self.post_at[at], self.post_weight[at] * np.repeat(weights[slot < 0].astype(np.float32), size), n)
+        bound = rough.reshape(len(queries), blocks, block).max(axis=2) + often @ self.most
+        best, least, seen = bound.argmax(axis=1), np.zeros(len(queries), np.float32), np.zeros(bound.shape, bool)
+        for first in (True, False):
+            for b in range(blocks):
+                at = np.flatnonzero(best == b if first else ~seen[:, b] & (bound[:, b] > 0) & (bound[:, b] >= least - SLACK))
+                if len(at):
+                    found = rough[at, b * block : (b + 1) * block] + often[at] @ self.blocks[b]
+                    rough[at, b * block : (b + 1) * block], seen[at, b] = found, True
+                    if k <= block:  # what k examples of one block reach
+                        least[at] = np.maximum(least[at], np.partition(found, block - k, axis=1)[:, block - k])
+        out = []
+        for q, (terms, weights) in enumerate(queries):
+            visited = np.flatnonzero(seen[q])
+            found = rough[q].reshape(blocks, block)[visited].ravel()
+            enough = np.partition(found, len(found) - k)[len(found) - k] - SLACK if len(found) > k else 0.0
+            at = np.flatnonzero((found > 0) & (found >= enough))
+            places = visited[at // block] * block + at % block
+            self._query[terms] = weights
+            begin, size = self.begin[places], self.begin[places + 1] - self.begin[places]
+            own = _ranges(begin, size)
+            sims = np.add.reduceat(self._query[self.words[own]] * self.weights[own], np.cumsum(size) - size) if len(places) else np.zeros(0)
+            self._query[terms] = 0.0
             order = np.lexsort((places, -np.round(sims, 9)))[:k]
-            sims, places = sims[order], places[order]
-            if len(sims) == k:
-                least = sims[-1]
-        return places[sims > 0], sims[sims > 0]
+            places, sims = places[order], sims[order]
+            out.append((places[sims > 0], sims[sims > 0]))
+        return out
 
     def vote(self, places: np.ndarray, sims: np.ndarray) -> float:
         w = sims * sims
         return float((w @ self.labels[places] + self.base) / (w.sum() + 1))
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple]]:
-        """Calibrated score and the three nearest examples (identifier, cosine, label)."""
-        if not len(terms) or not self.blocks:
-            return self.blank, []
-        key = terms.tobytes() + counts.tobytes()
-        if key not in self._known:
-            if len(self._known) > 50_000:
-                self._known.clear()
-            places, sims = self.nearest(terms, self.weigh(terms, counts), self.k)
-            score = float(np.interp(self.vote(places, sims), *self.curve))
-            self._known[key] = (score, [(self.ids[p], float(s), int(self.labels[p])) for p, s in zip(places[:3].tolist(), sims[:3], strict=True)])
-        return self._known[key]
+        """Calibrated score and the three nearest examples (identifier, cosine, label). Terms from ``len(self.terms)`` on are in no example."""
+        return self.score_each([(terms, counts)])[0]
+
+    def score_each(self, documents: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple]]]:
+        if len(self._known) > 20_000:
+            self._known.clear()
+        keys, new = [], {}
+        for terms, counts in documents:
+            inside = terms < len(self.terms)
+            if not self.ids or not inside.any():
+                keys.append(None)
+                continue
+            others = np.sort(counts[~inside])
+            key = hashlib.blake2b(b"".join(x.astype(np.int64).tobytes() for x in (np.array([inside.sum()]), terms[inside], counts[inside], others)), digest_size=16).digest()
+            keys.append(key)
+            if key not in self._known and key not in new:
+                new[key] = (terms[inside], self.weigh(terms[inside], counts[inside], others))
+        names = list(new)
+        for at in range(0, len(names), BATCH):
+            part = names[at : at + BATCH]
+            for key, (places, sims) in zip(part, self.nearest_of_each([new[x] for x in part], self.k), strict=True):
+                score = float(np.interp(self.vote(places, sims), *self.curve))
+                self._known[key] = (score, [(self.ids[p], float(s), int(self.labels[p])) for p, s in zip(places[:3].tolist(), sims[:3], strict=True)])
+        return [(self.blank, []) if key is None else self._known[key] for key in keys]
 
     def calibrate(self, limit: int = CALIBRATION) -> None:
         """Fit a rising curve from votes to label rates on evenly spread examples, each left out of its own vote."""
         n = len(self.ids)
         votes, labels = [], []
-        for p in range(0, n, max(1, -(-n // limit))):
-            local, dense = self.blocks[p // self.block]
-            own = dense[:, p % self.block]
-            places, sims = self.nearest(local[own > 0], own[own > 0], self.k + 1)
-            others = places != p
-            votes.append(self.vote(places[others][: self.k], sims[others][: self.k]))
-            labels.append(self.labels[p])
+        chosen = range(0, n, max(1, -(-n // limit)))
+        for at in range(0, len(chosen), BATCH):
+            part = chosen[at : at + BATCH]
+            own = [slice(self.begin[p], self.begin[p + 1]) for p in part]
+            for p, (places, sims) in zip(part, self.nearest_of_each([(self.words[x], self.weights[x]) for x in own], self.k + 1), strict=True):
+                others = places != p
+                votes.append(self.vote(places[others][: self.k], sims[others][: self.k]))
+                labels.append(self.labels[p])
         if len(set(labels)) < 2:
             return
         # pool adjacent violators, with one pseudo-observation of the plain vote at each step's ends
@@ -145,12 +258,14 @@ class Index:
         self.curve = (x, np.maximum.accumulate(y))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, neighbours: int = NEIGHBOURS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS) -> Index:
     """Build the index from ``labels`` (doc_id, toxic 0/1) and ``docs``.
 
     About ``max_examples`` labelled documents are examples, chosen by a hash of
     the identifier; of repeated labels the higher counts, null labels and
-    identifiers are left out. Document frequencies come from all documents.
+    identifiers are left out. All words of the examples are in the index;
+    their document frequencies come from all documents. A word of no example
+    weighs as one of a single document.
     Without labels the index is empty and every score is 0.5.
     """
     spark = docs.sparkSession
@@ -161,56 +276,46 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     sample = materialize(rows.join(F.broadcast(chosen), "i").where("t is not null"), "examples")
 
-    def spread(batches):
+    def words(batches):
+        seen: set[str] = set()
         for batch in batches:
-            held: dict[str, list[int]] = {}
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in set(_WORD.findall(t.lower())):
-                    held.setdefault(w, [0, 0])[y] += 1
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x[1] for x in held.values()], pa.int64()), pa.array([x[0] for x in held.values()], pa.int64())], names=["term", "a", "b"])
-
-    once = sample.groupBy(F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"), F.max("y").alias("y")).select("t", "y")
-    once = materialize(once, "distinct-examples")
-    sizes = {r["y"]: r["count"] for r in once.groupBy("y").count().collect()}
-    na, nb = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    if not na or not nb:
-        return Index([], np.zeros(0), [(r["i"], r["y"], [], []) for r in sample.select("i", "y").collect()], neighbours)
-    counted = once.mapInArrow(spread, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    a, b = F.col("a"), F.col("b")
-
-    def part(seen, n):
-        expected = (a + b) * (n / (na + nb))
-        inside = F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-        rest, e = F.lit(n) - seen, F.lit(n) - expected
-        return inside + F.when((rest > 0) & (e > 0), rest * F.log(rest / e)).otherwise(0.0)
-
-    best = counted.withColumn("g", 2 * (part(a, na) + part(b, nb))).where((F.col("g") >= MIN_RATIO) & (a / na > b / nb) & (a >= MIN_SHARE * na)).orderBy(F.desc("g"), "term").limit(max_terms)
-    terms = sorted(r["term"] for r in best.select("term").collect())
+            for texts in text_blocks(batch.column(0)):
+                for unit in split_units(texts)[2]:
+                    seen.update(_WORD.findall(unit))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["term"])
+
+    # the words of the bounded examples
+    terms = sorted(sample.select("t").mapInArrow(words, "term string").distinct().toArrow().column(0).to_pylist())
     places = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def frequency(batches):
-        seen, n = np.zeros(max(len(places.value), 1), np.int64), 0
+        size = len(places.value)
+        seen, n = np.zeros(size, np.int64), 0
         for batch in batches:
             for texts in text_blocks(batch.column(0)):
-                seen += np.bincount(term_counts(texts, places.value)[1], minlength=len(seen))
+                term = term_counts(texts, places.value)[1]
+                seen += np.bincount(term[term < size], minlength=size)
                 n += len(texts)
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n, *seen[at].tolist()], pa.int64())], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[n], seen[at]]))], names=["term", "n"])
 
-    found = dict(rows.select("t").mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-    df = np.array([found.get(i, 0) for i in range(len(terms))], np.float64)
-    idf = np.log((1 + found.get(-1, 0)) / (1 + df)) + 1
+    found = rows.select("t").mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = found.column(0).to_numpy(), found.column(1).to_numpy()
+    df = np.zeros(len(terms))
+    df[at[at >= 0]] = n[at >= 0]
+    total = int(n[at < 0].sum())
+    idf = np.log((1 + total) / (1 + df)) + 1
 
     def vectors(batches):
         for batch in batches:
             row, term, n = term_counts(batch.column(2), places.value)
-            cut = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (term, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *lists], names=["i", "y", "terms", "counts"])
+            cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            packed = [pa.array([x[s:e].astype(np.int32).tobytes() for s, e in zip(cut, cut[1:], strict=False)], pa.binary()) for x in (term, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *packed], names=["i", "y", "terms", "counts"])
 
-    examples = sample.select(F.col("i").cast("bigint").alias("i"), "y", "t").mapInArrow(vectors, "i long, y long, terms array<long>, counts array<long>").collect()
-    index = Index(terms, idf, [tuple(r) for r in examples], neighbours)
+    packed = sample.select(F.col("i").cast("bigint").alias("i"), "y", "t").mapInArrow(vectors, "i long, y long, terms binary, counts binary").toArrow()
+    examples = [(i, y, np.frombuffer(t, np.int32), np.frombuffer(c, np.int32)) for i, y, t, c in zip(*(x.to_pylist() for x in packed.columns), strict=True)]
+    index = Index(terms, idf, examples, neighbours, unseen=float(np.log((1 + total) / 2) + 1) if total else 1.0)
     index.calibrate()
     return index
 
@@ -221,8 +326,8 @@ _KIND = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("d
 def score(docs: DataFrame, index: Index, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """Append ``out``: struct of score (0 to 1) and evidence (nearest examples: doc_id, similarity, label).
 
-    Null, empty and all other texts without a known term get the rate of
-    examples without one, and no evidence. Equal texts get equal scores. Other
+    Null, empty and all other texts that share no word with any example get the
+    rate of examples without words, and no evidence. Equal texts get equal scores. Other
     columns pass unchanged. No shuffle; the broadcast holds the bounded index.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -234,10 +339,8 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", out: str = "tox
             for block in text_blocks(texts):
                 row, term, n = term_counts(block, own.terms)
                 cut = np.searchsorted(row, np.arange(len(block) + 1))
-                rows = []
-                for s, e in zip(cut, cut[1:], strict=False):
-                    value, near = own.score(term[s:e], n[s:e])
-                    rows.append({"score": value, "evidence": [{"doc_id": i, "similarity": x, "label": y} for i, x, y in near]})
+                found = own.score_each([(term[s:e], n[s:e]) for s, e in zip(cut, cut[1:], strict=False)])
+                rows = [{"score": value, "evidence": [{"doc_id": i, "similarity": x, "label": y} for i, x, y in near]} for value, near in found]
                 yield pa.array(rows, _KIND)
 
     return docs.withColumn(out, run(F.col(text_col)))
