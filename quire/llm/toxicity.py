@@ -62,6 +62,13 @@ def term_counts(texts: pa.Array, terms: dict[str, int]) -> tuple[np.ndarray, np.
     return keys // span, keys % span, counts
 
 
+def ordered(votes: np.ndarray, labels: np.ndarray) -> float:
+    """Share of the pairs of a toxic and a clean example in which the toxic one has the higher vote; equal votes count half."""
+    own = np.unique(np.round(votes, 12), return_inverse=True)[1]
+    toxic, clean = np.bincount(own, labels), np.bincount(own, 1 - labels)
+    return float((toxic * (np.cumsum(clean) - clean / 2)).sum() / (toxic.sum() * clean.sum()))
+
+
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """``begin[0], begin[0] + 1, ...`` (``size[0]`` of them), then those from ``begin[1]``, and so on."""
     stop = np.cumsum(size)
@@ -91,7 +98,7 @@ class Index:
         self.begin = np.cumsum([0, *(len(v[2]) for v in full)])
         self.words = np.concatenate([v[2] for v in full]) if full else np.zeros(0, np.int32)
         self.weights = np.concatenate([self.weigh(v[2], v[3]) for v in full]) if full else np.zeros(0)
-        self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        self.curve, self.weighing = (np.array([0.0, 1.0]), np.array([0.0, 1.0])), (k, 2)
         self._derive()
 
     def _alike(self, full: list[tuple], groups: int = 16) -> np.ndarray:
@@ -202,8 +209,10 @@ class Index:
         return out
 
     def vote(self, places: np.ndarray, sims: np.ndarray) -> float:
-        w = sims * sims
-        return float((w @ self.labels[places] + self.base) / (w.sum() + 1))
+        """Share of toxic labels among the neighbours that vote, nearer ones weighing more, and one vote of the base rate."""
+        voters, power = self.weighing
+        w = (sims[:voters] / max(float(sims[0]), 1e-12)) ** power if len(sims) else sims
+        return float((w @ self.labels[places[:voters]] + self.base) / (w.sum() + 1))
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple]]:
         """Calibrated score and the three nearest examples (identifier, cosine, label). Terms from ``len(self.terms)`` on are in no example."""
@@ -232,19 +241,24 @@ class Index:
         return [(self.blank, []) if key is None else self._known[key] for key in keys]
 
     def calibrate(self, limit: int = CALIBRATION) -> None:
-        """Fit a rising curve from votes to label rates on evenly spread examples, each left out of its own vote."""
+        """Choose how neighbours weigh and fit a rising curve from votes to label rates, on evenly spread examples left out of their own votes."""
         n = len(self.ids)
-        votes, labels = [], []
+        near, labels = [], []
         chosen = range(0, n, max(1, -(-n // limit)))
         for at in range(0, len(chosen), BATCH):
             part = chosen[at : at + BATCH]
             own = [slice(self.begin[p], self.begin[p + 1]) for p in part]
             for p, (places, sims) in zip(part, self.nearest_of_each([(self.words[x], self.weights[x]) for x in own], self.k + 1), strict=True):
                 others = places != p
-                votes.append(self.vote(places[others][: self.k], sims[others][: self.k]))
+                near.append((places[others][: self.k], sims[others][: self.k]))
                 labels.append(self.labels[p])
         if len(set(labels)) < 2:
             return
+        trials = []
+        for self.weighing in [(k, power) for k in sorted({min(k, self.k) for k in (5, 10, self.k)}) for power in (1, 2, 4, 8)]:
+            votes = [self.vote(*x) for x in near]
+            trials.append((ordered(np.array(votes), np.array(labels)), self.weighing, votes))
+        _, self.weighing, votes = max(trials, key=lambda x: x[0])
         # pool adjacent violators, with one pseudo-observation of the plain vote at each step's ends
         order = np.argsort(votes, kind="stable")
         steps: list[list[float]] = []
@@ -253,8 +267,9 @@ class Index:
             while len(steps) > 1 and steps[-2][0] / steps[-2][1] >= steps[-1][0] / steps[-1][1]:
                 y2, n2, v2 = steps.pop()
                 steps[-1] = [steps[-1][0] + y2, steps[-1][1] + n2, steps[-1][2] + v2]
-        x = np.array([v / n for _, n, v in steps])
-        y = np.array([(y + v / n) / (n + 1) for y, n, v in steps])
+        # beyond the highest and lowest votes seen, towards agreement of all neighbours
+        x = np.array([0.0, *(v / n for _, n, v in steps), 1.0])
+        y = np.array([0.0, *((y + v / n) / (n + 1) for y, n, v in steps), 1.0])
         self.curve = (x, np.maximum.accumulate(y))
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pyarrow.parquet as pq
 
+import corpus_pipeline
 from quire.llm import toxicity as T
 
 
@@ -36,3 +37,20 @@ def test_cosines_of_whole_texts(spark, sf_dir):
         own = vector(counts[r.doc_id])
         best = sorted((s for s in (sum(x * e.get(w, 0.0) for w, x in own.items()) for e in examples) if s > 1e-9), reverse=True)[:3]
         assert all(abs(e.similarity - x) < 1e-6 for e, x in zip(r.toxicity.evidence, best, strict=True)), r.doc_id
+
+
+def test_few_labels_still_vote(spark, sf_dir):
+    """Sixty-odd distinct examples, ten of them toxic."""
+    planted = [(10**9, "you pathetic idiot " * 3), (10**9 + 1, "the and of clown that is a moron and a clown there")]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    both = docs.union(spark.createDataFrame(planted, "doc_id long, text string"))
+    kept = {r.doc_id for r in T.drop_toxic(spark, both, sf_dir).collect()}
+    assert not kept & {i for i, _ in planted} and len(kept) > 0.9 * docs.count()
+
+
+def test_pipeline_drops_the_planted_row(spark, odd_dir):
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    (_, language), (_, toxic) = corpus_pipeline.STAGES[:2]
+    known = language(spark, docs, odd_dir)
+    planted = "text like 'you pathetic idiot%'"
+    assert known.where(planted).count() == 1 and toxic(spark, known, odd_dir).where(planted).count() == 0
