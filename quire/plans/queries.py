@@ -185,6 +185,19 @@ def export_text(spark, sf_dir):
     return X.t(spark, sf_dir, "documents").select("doc_id", _digest(normalize_for_export(F.col("text"), letter_spacing=False)).alias("digest"))
 
 
+@query()
+def normalized_documents(spark, sf_dir):
+    """The whole chain of ``normalize_text``, letter spacing too, for which the oracle has no expression; tested against a plain version."""
+    docs = X.t(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("v"))
+    return docs.select("doc_id", _digest(F.col("v")).alias("digest"), F.length("v").alias("n"))
+
+
+@query()
+def exported_documents(spark, sf_dir):
+    """The whole chain of ``export_text``; tested against a plain version."""
+    return X.t(spark, sf_dir, "documents").select("doc_id", _digest(normalize_for_export(F.col("text"))).alias("digest"))
+
+
 @query()
 def letter_spacing(spark, sf_dir):
     """No lookahead in the oracle's expressions; tested against an expression-based form."""
