@@ -117,7 +117,9 @@ def wrap(text: str, size: int) -> list[str]:
 
 def layout(title: str, author: str, chapters: list[tuple[str, str]]) -> list[list[tuple[float, str, str]]]:
     """Pages of (height from the top, kind, line): a title page, then each chapter on a new page."""
-    pages = [[(HEIGHT / 3, "title", x) for x in wrap(title[:500], 24)[:1]] + [(HEIGHT / 3 + 16, "author", x) for x in wrap(author[:200], 14)[:1]]]
+    titles, authors = wrap(title[:500], 24), wrap(author[:200], 14)
+    below = HEIGHT / 3 + 16 + (len(titles) - 1) * SIZES["title"][1]
+    pages = [[(HEIGHT / 3 + k * SIZES["title"][1], "title", x) for k, x in enumerate(titles)] + [(below + k * SIZES["author"][1], "author", x) for k, x in enumerate(authors)]]
     for head, content in chapters:
         y, page = float(MARGIN), []
         pages.append(page)
