@@ -110,7 +110,7 @@ def text_blocks(texts, rows: int = 4000, max_bytes: int = 16 << 20) -> Iterator:
         at += take
 
 
-def split_units(texts) -> tuple:
+def arrow_units(texts) -> tuple:
     """Lower-cased pieces between white space, inside Arrow: offsets of documents, places of their pieces, distinct pieces. Nulls count as empty."""
     import numpy as np
     import pyarrow.compute as pc
@@ -118,4 +118,10 @@ def split_units(texts) -> tuple:
     lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
     coded = lists.flatten().dictionary_encode()
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    return offsets - offsets[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    return offsets - offsets[0], coded.indices.to_numpy(), coded.dictionary
+
+
+def split_units(texts) -> tuple:
+    """As ``arrow_units``, the distinct pieces as a list."""
+    offsets, places, units = arrow_units(texts)
+    return offsets, places, units.to_pylist()

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spare_name, split_units, table, text_blocks
+from .common import arrow_units, materialize, spare_name, split_units, table, text_blocks
 from .language_id import held_out
 
 #: Labelled documents in the index, about; neighbours; examples for calibration; examples in a block.
@@ -30,35 +31,48 @@ MAX_EXAMPLES, NEIGHBOURS, CALIBRATION, BLOCK = 20_000, 25, 4000, 1024
 #: Words kept as matrices, those in most examples; the others are postings. Only speed depends on it.
 FREQUENT = 512
 #: Queries in a batch; more than single precision may lose of a cosine.
-BATCH, SLACK = 64, 1e-4
+BATCH, SLACK = 256, 1e-4
 #: Documents scored this or higher are dropped by the pipeline.
 REJECT = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def term_counts(texts: pa.Array, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, terms and counts of a block of whole texts, ordered by row, then term. Words beyond ``terms`` get numbers from ``len(terms)`` on."""
-    offsets, places, units = split_units(texts)
-    other: dict[str, int] = {}
-    known, first = terms.get, len(terms)
+#: Trimmed from pieces before they are looked up; none of it can be part of a word.
+_AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 
-    def number(word):
-        at = known(word)
-        return other.setdefault(word, first + len(other)) if at is None else at
 
-    own = [[number(w) for w in _WORD.findall(u)] for u in units]
-    size = np.fromiter(map(len, own), np.int64, len(own))
-    flat = np.array([t for x in own for t in x], np.int64)
+def term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, terms and counts of a block of whole texts, ordered by row, then term. Words beyond ``terms`` get numbers from ``len(terms)`` on.
+
+    A piece between white space that, without the ASCII signs around it, is one
+    of ``terms`` is that word and never leaves Arrow; only the others are cut
+    into words here.
+    """
+    offsets, places, units = arrow_units(texts)
+    first = len(terms)
+    own = pc.index_in(units, value_set=terms)
+    missing = own.is_null()
+    trimmed = pc.utf8_trim(units.filter(missing), _AROUND)
+    found = pc.index_in(trimmed, value_set=terms)
+    words = [_WORD.findall(u) for u in trimmed.filter(found.is_null()).to_pylist()]
+    coded = pa.array([w for x in words for w in x], pa.string()).dictionary_encode()
+    number = pc.index_in(coded.dictionary, value_set=terms).to_numpy(zero_copy_only=False)
+    number = np.where(np.isnan(number), first + np.arange(len(number)), number).astype(np.int64)
+    # per piece: its number of words and where they begin in ``flat``
+    size, left = np.ones(len(units), np.int64), np.flatnonzero(missing.to_numpy(zero_copy_only=False))
+    unknown = found.is_null().to_numpy(zero_copy_only=False)
+    size[left[unknown]] = np.fromiter(map(len, words), np.int64, len(words))
     begin = np.cumsum(size) - size
+    flat = np.empty(int(size.sum()), np.int64)
+    flat[begin[~missing.to_numpy(zero_copy_only=False)]] = own.drop_null().to_numpy()
+    flat[begin[left[~unknown]]] = found.drop_null().to_numpy()
+    flat[_ranges(begin[left[unknown]], size[left[unknown]])] = number[coded.indices.to_numpy()]
     at = np.flatnonzero(size[places])
     row = np.searchsorted(offsets, at, "right") - 1
     width = size[places[at]]
-    stop = np.cumsum(width)
-    total = int(stop[-1]) if len(stop) else 0
-    term = flat[np.repeat(begin[places[at]] - stop + width, width) + np.arange(total)] if total else np.zeros(0, np.int64)
-    span = max(first + len(other), 1)
-    keys, counts = np.unique(np.repeat(row, width) * span + term, return_counts=True)
+    span = max(first + len(number), 1)
+    keys, counts = np.unique(np.repeat(row, width) * span + flat[_ranges(begin[places[at]], width)], return_counts=True)
     return keys // span, keys % span, counts
 
 
@@ -69,75 +83,124 @@ def ordered(votes: np.ndarray, labels: np.ndarray) -> float:
     return float((toxic * (np.cumsum(clean) - clean / 2)).sum() / (toxic.sum() * clean.sum()))
 
 
+_COUNT = [np.arange(1 << 16)]
+
+
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """``begin[0], begin[0] + 1, ...`` (``size[0]`` of them), then those from ``begin[1]``, and so on."""
     stop = np.cumsum(size)
-    return np.repeat(begin - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)
+    total = int(stop[-1]) if len(stop) else 0
+    out = np.repeat(begin - stop + size, size)
+    if total <= 1 << 20 and total > len(_COUNT[0]):
+        _COUNT[0] = np.arange(1 << 20)
+    out += _COUNT[0][:total] if total <= len(_COUNT[0]) else np.arange(total)
+    return out
+
+
+#: One posting: place of the example, weight of the word in it.
+_POST = np.dtype([("at", np.int32), ("weight", np.float32)])
+
+
+class Rows:
+    """Examples as flat rows: identifiers, labels, and the terms and counts of all, cut at ``begin``."""
+
+    def __init__(self, ids: list, labels: np.ndarray, begin: np.ndarray, words: np.ndarray, counts: np.ndarray):
+        self.ids, self.labels, self.begin, self.words, self.counts = ids, labels, begin, words, counts
+
+    @classmethod
+    def of(cls, examples: list[tuple]) -> Rows:
+        flat = lambda k: np.concatenate([np.zeros(0, np.int32), *(np.asarray(x[k], np.int32) for x in examples)])
+        return cls([x[0] for x in examples], np.array([x[1] for x in examples], np.float64), np.cumsum([0, *(len(x[2]) for x in examples)]), flat(2), flat(3))
+
+    def order(self) -> np.ndarray:
+        """Places of the rows that have words, by identifier (nulls last) and content."""
+
+        def content(p):
+            s, e = self.begin[p], self.begin[p + 1]
+            return hashlib.blake2b(self.words[s:e].tobytes() + self.counts[s:e].tobytes(), digest_size=16).digest()
+
+        full = np.flatnonzero(np.diff(self.begin)).tolist()
+        return np.array(sorted(full, key=lambda p: (self.ids[p] is None, self.ids[p] or 0, content(p))), np.int64)
+
+    def take(self, places: np.ndarray) -> Rows:
+        begin, size = self.begin[places], np.diff(self.begin)[places]
+        at = _ranges(begin, size)
+        return Rows([self.ids[p] for p in places.tolist()], self.labels[places], np.concatenate([[0], np.cumsum(size)]), self.words[at], self.counts[at])
 
 
 class Index:
     """Block-max inverted index of the examples and what turns neighbours into scores. Bounded by the examples.
 
     ``idf`` is that of ``terms``; ``unseen`` that of a word in no example, which
-    counts in the length of a document's vector only.
+    counts in the length of a document's vector only. ``examples`` are rows
+    (identifier, label, terms, counts), or ``Rows`` of many at once.
     """
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple], k: int = NEIGHBOURS, block: int = BLOCK, unseen: float = 1.0, frequent: int = FREQUENT):
-        self.terms, self.idf, self.k, self.block, self.unseen = {t: i for i, t in enumerate(terms)}, idf, k, block, unseen
-        vectors = [(i, y, np.asarray(t, np.int32), np.asarray(c, np.float64)) for i, y, t, c in examples]
-        empty = [y for _, y, t, _ in vectors if not len(t)]
-        full = [v for v in vectors if len(v[2])]
-        self.base = (sum(v[1] for v in vectors) + 1) / (len(vectors) + 2)
-        self.blank = (sum(empty) + self.base) / (len(empty) + 1)
+    def __init__(self, terms, idf: np.ndarray, examples, k: int = NEIGHBOURS, block: int = BLOCK, unseen: float = 1.0, frequent: int = FREQUENT):
+        self.vocabulary = terms if isinstance(terms, pa.Array) else pa.array(terms, pa.string())
+        self.idf, self.k, self.block, self.unseen = idf, k, block, unseen
+        rows = examples if isinstance(examples, Rows) else Rows.of(examples)
+        self.base = (float(rows.labels.sum()) + 1) / (len(rows.ids) + 2)
+        empty = rows.labels[np.diff(rows.begin) == 0]
+        self.blank = (float(empty.sum()) + self.base) / (len(empty) + 1)
         # an order that does not depend on the tables' order, then alike examples next to each other, which keeps bounds tight
-        full.sort(key=lambda v: (v[0] is None, v[0] or 0, len(v[2]), v[2].tobytes(), v[3].tobytes()))
-        seen = np.bincount(np.concatenate([v[2] for v in full]), minlength=len(terms)) if full else np.zeros(len(terms), np.int64)
-        self.often = np.sort(np.argsort(-seen, kind="stable")[:frequent])
-        full = [full[p] for p in self._alike(full)]
-        self.ids, self.labels = [v[0] for v in full], np.array([v[1] for v in full], np.float64)
-        self.begin = np.cumsum([0, *(len(v[2]) for v in full)])
-        self.words = np.concatenate([v[2] for v in full]) if full else np.zeros(0, np.int32)
-        self.weights = np.concatenate([self.weigh(v[2], v[3]) for v in full]) if full else np.zeros(0)
+        rows = rows.take(rows.order())
+        self.often = np.sort(np.argsort(-np.bincount(rows.words, minlength=len(self.vocabulary)), kind="stable")[:frequent])
+        rows = rows.take(self._alike(rows))
+        self.ids, self.labels, self.begin, self.words, self.counts = rows.ids, rows.labels, rows.begin, rows.words, rows.counts
         self.curve, self.weighing = (np.array([0.0, 1.0]), np.array([0.0, 1.0])), (k, 2)
         self._derive()
 
-    def _alike(self, full: list[tuple], groups: int = 16) -> np.ndarray:
+    @property
+    def terms(self) -> list[str]:
+        return self.vocabulary.to_pylist()
+
+    def _weights(self, begin: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of all examples' words, each vector of length 1."""
+        w = np.log(counts)
+        w += 1
+        w *= self.idf[words]
+        if len(w):
+            size = np.sqrt(np.add.reduceat(w * w, begin[:-1]))
+            w /= np.repeat(size, np.diff(begin))
+        return w
+
+    def _alike(self, rows: Rows, groups: int = 16) -> np.ndarray:
         """Order of the examples by rough groups (spherical k-means on the frequent words), near groups next to each other."""
-        slot = np.full(len(self.terms), -1, np.int32)
+        n = len(rows.ids)
+        slot = np.full(len(self.vocabulary), -1, np.int32)
         slot[self.often] = np.arange(len(self.often))
-        rows = np.zeros((len(full), len(self.often)), np.float32)
-        for p, (_, _, t, c) in enumerate(full):
-            at = slot[t]
-            rows[p, at[at >= 0]] = self.weigh(t, c)[at >= 0]
-        rows /= np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-9)
-        centers = rows[:: max(1, -(-len(full) // groups))].copy()
-        own = np.zeros(len(full), np.int64)
-        for _ in range(6 if len(full) else 0):
-            own = (rows @ centers.T).argmax(axis=1)
+        own = slot[rows.words]
+        at = np.flatnonzero(own >= 0)
+        points = np.zeros((n, len(self.often)), np.float32)
+        points[np.repeat(np.arange(n), np.diff(rows.begin))[at], own[at]] = self._weights(rows.begin, rows.words, rows.counts)[at]
+        points /= np.maximum(np.sqrt(np.einsum("ij,ij->i", points, points))[:, None], 1e-9)
+        centers = points[:: max(1, -(-n // groups))].copy()
+        own = np.zeros(n, np.int64)
+        for _ in range(6 if n else 0):
+            own = (points @ centers.T).argmax(axis=1)
             for g in range(len(centers)):
                 if (own == g).any():
-                    centers[g] = rows[own == g].sum(axis=0)
+                    centers[g] = (own == g).astype(np.float32) @ points
                     centers[g] /= max(float(np.sqrt((centers[g] ** 2).sum())), 1e-9)
         near, left, place = centers @ centers.T, list(range(1, len(centers))), np.zeros(max(len(centers), 1), np.int64)
         at = 0
-        for n in range(1, len(centers)):
-            at = max(left, key=lambda g: near[at, g])
+        for g in range(1, len(centers)):
+            at = max(left, key=lambda x: near[at, x])
             left.remove(at)
-            place[at] = n
+            place[at] = g
         return np.argsort(place[own], kind="stable")
 
     def _derive(self) -> None:
-        """Postings, matrices and bounds, from the examples' vectors."""
+        """Weights, postings, matrices and bounds, from the examples' words and counts."""
         n, block = len(self.ids), self.block
+        self.weights = self._weights(self.begin, self.words, self.counts)
         owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begin))
-        self.slot = np.full(len(self.terms), -1, np.int32)
+        self.slot = np.full(len(self.vocabulary), -1, np.int32)
         self.slot[self.often] = np.arange(len(self.often))
         slot = self.slot[self.words]
-        rare = np.flatnonzero(slot < 0)
-        rare = rare[np.argsort(self.words[rare], kind="stable")]
-        self.posted = np.concatenate([[0], np.cumsum(np.bincount(self.words[rare], minlength=len(self.terms)))])
-        self.post_at, self.post_weight = owner[rare], self.weights[rare].astype(np.float32)
-        self.blocks, often = [], np.flatnonzero(slot >= 0)
+        often = np.flatnonzero(slot >= 0)
+        self.blocks = []
         self.most = np.zeros((len(self.often), -(-n // block)), np.float32)
         cut = np.searchsorted(owner[often], np.arange(0, n + block, block))
         for b in range(self.most.shape[1]):
@@ -146,11 +209,19 @@ class Index:
             dense[slot[at], owner[at] - b * block] = self.weights[at]
             self.most[:, b] = dense.max(axis=1)
             self.blocks.append(dense)
-        self._query = np.zeros(len(self.terms))
+        rare = np.flatnonzero(slot < 0)
+        del often, slot
+        rare = rare[np.argsort(self.words[rare], kind="stable")]
+        self.posted = np.concatenate([[0], np.cumsum(np.bincount(self.words[rare], minlength=len(self.vocabulary)))])
+        posts = np.empty(len(rare), _POST)
+        posts["at"], posts["weight"] = owner[rare], self.weights[rare]
+        # gathered as plain numbers, which is faster
+        self.posts = posts.view(np.int64)
+        self._query = np.zeros(len(self.vocabulary))
         self._known: dict[bytes, tuple] = {}
 
     def __getstate__(self) -> dict:
-        derived = ("slot", "posted", "post_at", "post_weight", "blocks", "most", "_query", "_known")
+        derived = ("weights", "slot", "posted", "posts", "blocks", "most", "_query", "_known")
         return {k: v for k, v in self.__dict__.items() if k not in derived}
 
     def __setstate__(self, state: dict) -> None:
@@ -175,29 +246,31 @@ class Index:
         often = np.zeros((len(queries), len(self.often)), np.float32)
         for q, (terms, weights) in enumerate(queries):
             slot = self.slot[terms]
-            often[q, slot[slot >= 0]] = weights[slot >= 0]
-            rare = terms[slot < 0]
-            begin, size = self.posted[rare], self.posted[rare + 1] - self.posted[rare]
-            at = _ranges(begin, size)
-            if len(at):
-                rough[q, :n] = np.bincount(self.post_at[at], self.post_weight[at] * np.repeat(weights[slot < 0].astype(np.float32), size), n)
+            inside = slot >= 0
+            often[q, slot[inside]] = weights[inside]
+            rare = terms[~inside]
+            begin = self.posted[rare]
+            size = self.posted[rare + 1] - begin
+            post = self.posts.take(_ranges(begin, size), mode="clip").view(_POST)
+            if len(post):
+                rough[q, :n] = np.bincount(post["at"].astype(np.int64), post["weight"] * np.repeat(weights[~inside], size), n)
         bound = rough.reshape(len(queries), blocks, block).max(axis=2) + often @ self.most
-        best, least, seen = bound.argmax(axis=1), np.zeros(len(queries), np.float32), np.zeros(bound.shape, bool)
+        best, least = bound.argmax(axis=1), np.zeros(len(queries), np.float32)
         for first in (True, False):
             for b in range(blocks):
-                at = np.flatnonzero(best == b if first else ~seen[:, b] & (bound[:, b] > 0) & (bound[:, b] >= least - SLACK))
+                at = np.flatnonzero(best == b if first else (best != b) & (bound[:, b] > 0) & (bound[:, b] >= least - SLACK))
                 if len(at):
                     found = rough[at, b * block : (b + 1) * block] + often[at] @ self.blocks[b]
-                    rough[at, b * block : (b + 1) * block], seen[at, b] = found, True
-                    if k <= block:  # what k examples of one block reach
-                        least[at] = np.maximum(least[at], np.partition(found, block - k, axis=1)[:, block - k])
+                    rough[at, b * block : (b + 1) * block] = found
+                    if first and k <= block:  # what k examples of one block reach
+                        least[at] = np.partition(found, block - k, axis=1)[:, block - k]
         out = []
+        # a block that was not visited holds sums below its bound, which no longer reaches ``least``
         for q, (terms, weights) in enumerate(queries):
-            visited = np.flatnonzero(seen[q])
-            found = rough[q].reshape(blocks, block)[visited].ravel()
-            enough = np.partition(found, len(found) - k)[len(found) - k] - SLACK if len(found) > k else 0.0
-            at = np.flatnonzero((found > 0) & (found >= enough))
-            places = visited[at // block] * block + at % block
+            places = np.flatnonzero((rough[q] > 0) & (rough[q] >= least[q] - SLACK))
+            if len(places) > k:
+                found = rough[q, places]
+                places = places[found >= np.partition(found, len(found) - k)[len(found) - k] - SLACK]
             self._query[terms] = weights
             begin, size = self.begin[places], self.begin[places + 1] - self.begin[places]
             own = _ranges(begin, size)
@@ -215,7 +288,7 @@ class Index:
         return float((w @ self.labels[places[:voters]] + self.base) / (w.sum() + 1))
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple]]:
-        """Calibrated score and the three nearest examples (identifier, cosine, label). Terms from ``len(self.terms)`` on are in no example."""
+        """Calibrated score and the three nearest examples (identifier, cosine, label). Terms from ``len(self.vocabulary)`` on are in no example."""
         return self.score_each([(terms, counts)])[0]
 
     def score_each(self, documents: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple]]]:
@@ -223,7 +296,7 @@ class Index:
             self._known.clear()
         keys, new = [], {}
         for terms, counts in documents:
-            inside = terms < len(self.terms)
+            inside = terms < len(self.vocabulary)
             if not self.ids or not inside.any():
                 keys.append(None)
                 continue
@@ -273,12 +346,14 @@ class Index:
         self.curve = (x, np.maximum.accumulate(y))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS, calibration: int = CALIBRATION) -> Index:
     """Build the index from ``labels`` (doc_id, toxic 0/1) and ``docs``.
 
     About ``max_examples`` labelled documents are examples, chosen by a hash of
-    the identifier; of repeated labels the higher counts, null labels and
-    identifiers are left out. All words of the examples are in the index;
+    the identifier, one text each (of several under one identifier that with the
+    least hash); of repeated labels the higher counts, null labels and
+    identifiers are left out. About ``calibration`` of them, evenly spread over
+    the index, are left out one by one to fit votes to label rates. All words of the examples are in the index;
     their document frequencies come from all documents. A word of no example
     weighs as one of a single document.
     Without labels the index is empty and every score is 0.5.
@@ -289,7 +364,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumnRenamed("doc_id", "i")
     # the chosen labels are bounded by ``max_examples``, so they are broadcast and documents stay where they are
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    sample = materialize(rows.join(F.broadcast(chosen), "i").where("t is not null"), "examples")
+    sample = rows.join(F.broadcast(chosen), "i").where("t is not null")
+    # one text per identifier, reduced before the shuffle, so that repeated identifiers do not grow the sample
+    sample = sample.groupBy("i", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("least"))
+    sample = materialize(sample.select("i", "y", "least.t"), "examples")
 
     def words(batches):
         seen: set[str] = set()
@@ -300,15 +378,17 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["term"])
 
     # the words of the bounded examples
-    terms = sorted(sample.select("t").mapInArrow(words, "term string").distinct().toArrow().column(0).to_pylist())
-    places = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    terms = sample.select("t").mapInArrow(words, "term string").distinct().toArrow().column(0)
+    terms = pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in terms.chunks)])
+    terms = terms.take(pc.sort_indices(terms))
+    shared = spark.sparkContext.broadcast(terms)
 
     def frequency(batches):
-        size = len(places.value)
+        size = len(shared.value)
         seen, n = np.zeros(size, np.int64), 0
         for batch in batches:
             for texts in text_blocks(batch.column(0)):
-                term = term_counts(texts, places.value)[1]
+                term = term_counts(texts, shared.value)[1]
                 seen += np.bincount(term[term < size], minlength=size)
                 n += len(texts)
         at = np.flatnonzero(seen)
@@ -323,15 +403,18 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
     def vectors(batches):
         for batch in batches:
-            row, term, n = term_counts(batch.column(2), places.value)
+            row, term, n = term_counts(batch.column(2), shared.value)
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             packed = [pa.array([x[s:e].astype(np.int32).tobytes() for s, e in zip(cut, cut[1:], strict=False)], pa.binary()) for x in (term, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *packed], names=["i", "y", "terms", "counts"])
 
     packed = sample.select(F.col("i").cast("bigint").alias("i"), "y", "t").mapInArrow(vectors, "i long, y long, terms binary, counts binary").toArrow()
-    examples = [(i, y, np.frombuffer(t, np.int32), np.frombuffer(c, np.int32)) for i, y, t, c in zip(*(x.to_pylist() for x in packed.columns), strict=True)]
+    size = pc.binary_length(packed.column(2)).to_numpy().astype(np.int64) // 4
+    flat = [np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(b"".join(x.to_pylist()), np.int32) for x in packed.column(c).chunks)]) for c in (2, 3)]
+    examples = Rows(packed.column(0).to_pylist(), packed.column(1).to_numpy().astype(np.float64), np.concatenate([[0], np.cumsum(size)]), *flat)
+    del packed, flat, found
     index = Index(terms, idf, examples, neighbours, unseen=float(np.log((1 + total) / 2) + 1) if total else 1.0)
-    index.calibrate()
+    index.calibrate(calibration)
     return index
 
 
@@ -352,7 +435,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", out: str = "tox
         own: Index = shared.value
         for texts in batches:
             for block in text_blocks(texts):
-                row, term, n = term_counts(block, own.terms)
+                row, term, n = term_counts(block, own.vocabulary)
                 cut = np.searchsorted(row, np.arange(len(block) + 1))
                 found = own.score_each([(term[s:e], n[s:e]) for s, e in zip(cut, cut[1:], strict=False)])
                 rows = [{"score": value, "evidence": [{"doc_id": i, "similarity": x, "label": y} for i, x, y in near]} for value, near in found]
