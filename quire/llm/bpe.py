@@ -10,6 +10,7 @@ table writer:
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from heapq import heappop, heappush
@@ -33,6 +34,11 @@ _UNSAFE_RE2 = "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in SAFE_RANGE
 _ASCII = re.compile(r"[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9]+")
 
 
+def state_key(raw: str) -> str:
+    """Names what a worker keeps for a tokenizer file, by the file's content."""
+    return hashlib.sha256(raw.encode()).hexdigest()
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself if printable, else the next from U+0100 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -103,6 +109,12 @@ class WordBpe:
             sym[at : at + 2] = [self.result[best]]
         return sym
 
+    def count_words(self, words: list[str]) -> list[int]:
+        """Tokens of each word; long ones, on which ``merge_word`` is quadratic, are merged together by ``merge_block``."""
+        many = [w for w in words if len(w) > 40]
+        long = dict(zip(many, self.merge_block(many)[0].tolist(), strict=True)) if many else {}
+        return [long[w] if w in long else len(self.merge_word(w)) for w in words]
+
     def whole_words(self) -> frozenset[str]:
         """The words proved to encode alone as the one token that spells them.
 
@@ -283,10 +295,13 @@ def gather(parts: list[bytes], item: int, places: np.ndarray, offsets: np.ndarra
 
 
 class WordCache:
-    """Two generations of a dictionary: memory stays under twice ``limit`` entries, and one block's words, whatever the corpus."""
+    """Two generations of a dictionary: memory stays under twice ``limit`` entries, and one block's words, whatever the corpus.
+
+    Words of more than ``longest`` characters are not remembered beyond a block.
+    """
 
-    def __init__(self, limit: int = 250_000):
-        self.limit, self.young, self.old = limit, {}, {}
+    def __init__(self, limit: int = 250_000, longest: int = 256):
+        self.limit, self.longest, self.young, self.old = limit, longest, {}, {}
 
     def values(self, units: list[str], single: set[str], parts, encode, join) -> list:
         """What each of the distinct pieces stands for.
@@ -326,4 +341,7 @@ class WordCache:
             out[i] = known[units[i]]
         for i, pieces in cut:
             out[i] = join([known[w] for w in pieces])
+        for w in new:
+            if len(w) > self.longest:
+                del known[w]
         return out

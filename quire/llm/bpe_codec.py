@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PreTokenizer, WordBpe, WordCache, gather
+from .bpe import PreTokenizer, WordBpe, WordCache, gather, state_key
 from .common import table, text_blocks
 
 _WORKER: dict = {}
@@ -61,7 +61,7 @@ def decode_block(lists: pa.ListArray, tokens: pa.Array) -> pa.Array:
 def _load(df: DataFrame, tokenizer_path: str):
     with open(tokenizer_path, encoding="utf-8") as f:
         raw = f.read()
-    return hash((tokenizer_path, len(raw))), df.sparkSession.sparkContext.broadcast((raw, WordBpe(raw)))
+    return state_key(raw), df.sparkSession.sparkContext.broadcast((raw, WordBpe(raw)))
 
 
 def encode(df: DataFrame, text_col: str = "text", *, tokenizer_path: str, out: str = "ids") -> DataFrame:

@@ -15,8 +15,10 @@ comes first. A value is the document's ids in 2 bytes each if the vocabulary
 allows, else 4.
 
 Tables are written in range partitions of the identifier. Identifiers that
-occur often are split by a hash of the text, so one repeated identifier does
-not fill one task; order by identifier stays. A manifest (a small table, one
+occur often are split by a hash of the text, so one identifier of many texts
+does not fill one task; order by identifier stays. Equal rows (one identifier,
+one text) stay in one task, which encodes their text once a block and ends a
+shard as often as needed. A manifest (a small table, one
 row per shard) names only files of tasks that ended well.
 """
 
@@ -38,14 +40,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import PreTokenizer, WordCache, gather, odd_texts
+from .bpe import PreTokenizer, WordCache, gather, odd_texts, state_key
 from .common import materialize, open_read, open_write, table, text_blocks, work_path
 
 MAGIC = b"QSST0001"
 #: index offset, index bytes, filter offset, filter bytes, entries, id width, Bloom hashes, magic
 _FOOTER = struct.Struct("<QQQQQII8s")
 BLOCK_BYTES = 64 << 10
-SHARD_BYTES = 64 << 20
+#: A shard ends with the document that reaches either.
+SHARD_BYTES, SHARD_ENTRIES = 64 << 20, 1 << 20
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 
 
@@ -98,7 +101,8 @@ class TableWriter:
         self.block += key[shared:]
         self.block += value
         self.last = key
-        self.hashes.append(key)
+        if not self.entries or key != self.hashes[-1]:
+            self.hashes.append(key)
         self.entries += 1
         self.ids += len(value) // self.width
         if len(self.block) >= BLOCK_BYTES:
@@ -259,14 +263,15 @@ def write_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns the manifest. Null texts count as empty (only the end id), rows with
     a null identifier come first, repeated identifiers stand next to each other
     in the order of a hash of their texts. An empty table gives an empty
-    manifest. One shuffle, of the two columns only.
+    manifest. The library encodes whole texts where their treatment reaches
+    across white space, and single words, which give the same ids, elsewhere. One shuffle, of the two columns only.
     """
     spark = df.sparkSession
     path = path or work_path(spark, "tables")
     with open(tokenizer_path, encoding="utf-8") as f:
         raw = f.read()
     shared = spark.sparkContext.broadcast(raw)
-    key = hash((tokenizer_path, len(raw)))
+    key = state_key(raw)
     order = ["k", "h"]
     rows = df.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("k", "t")
@@ -296,7 +301,7 @@ def write_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             writer, first = TableWriter(out.__enter__(), encoder.width), key_of(keys[at])
                         writer.add(key_of(keys[at]), value + encoder.pack([end_id]))
                         at += 1
-                        if writer.at >= SHARD_BYTES:
+                        if writer.at >= SHARD_BYTES or writer.entries >= SHARD_ENTRIES:
                             end()
                             seq += 1
             if writer is not None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PreTokenizer, WordBpe, WordCache
+from .bpe import PreTokenizer, WordBpe, WordCache, state_key
 from .common import table, text_blocks
 
 _WORKER: dict = {}
@@ -44,16 +44,18 @@ def count_tokens(df: DataFrame, text_col: str = "text", *, tokenizer_path: str,
         raw = f.read()
     model = WordBpe(raw)
     shared = df.sparkSession.sparkContext.broadcast((raw, model, model.whole_words()))
-    key = hash((tokenizer_path, len(raw)))
+    key = state_key(raw)
 
     @F.arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = _state(key, shared)
-        pre, merge, cache = s["pre"], s["model"].merge_word, s["cache"]
+        pre, model, cache = s["pre"], s["model"], s["cache"]
         direct = s["whole"] | pre.special
 
         def lengths(words):
-            return [1 if w in direct else len(merge(w)) for w in words]
+            rest = [w for w in words if w not in direct]
+            merged = dict(zip(rest, model.count_words(rest), strict=True))
+            return [merged.get(w, 1) for w in words]
 
         for texts in batches:
             counts = []
