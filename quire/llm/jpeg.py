@@ -8,6 +8,9 @@ interval. A file without restart markers is one interval.
 each (quantiser 8, so a block is flat and its sample is the byte), one restart
 interval per row of blocks. The number of bytes stands in a comment segment;
 what exceeds one image's largest frame follows in further images.
+
+Within a frame an interval is decoded code by code: a foreign file without
+restart markers takes as many numpy steps as it has blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ DC_COUNTS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 DC_SYMBOLS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)
 #: Blocks a side of a frame may have: 65,535 samples at most.
 MAX_SIDE = 8191
+#: Begins the comment of the images that ``encode_samples`` writes; the number of their samples follows.
+MAGIC = b"quire samples "
+#: What a damaged file may raise while it is read.
+DAMAGE = (ValueError, IndexError, KeyError, ZeroDivisionError, struct.error)
 
 
 def zigzag() -> np.ndarray:
@@ -90,7 +97,7 @@ def _head(rows: int, cols: int, stored: int) -> bytes:
     ac = bytes([0x10, 1, *[0] * 15, 0])  # only the end of block
     return (
         b"\xff\xd8"
-        + _segment(0xFE, struct.pack(">Q", stored))
+        + _segment(0xFE, MAGIC + struct.pack(">Q", stored))
         + _segment(0xDB, quant)
         + _segment(0xC0, struct.pack(">BHHB", 8, rows * 8, cols * 8, 1) + bytes([1, 0x11, 0]))
         + _segment(0xC4, dc)
@@ -233,7 +240,7 @@ def _scan(frame: Frame, data: bytes, at: int, scan: list) -> int:
 
 
 def dc_thumbnails(frames: list[Frame]) -> list[np.ndarray]:
-    """Luminance thumbnails, one sample per 8x8 block of the first component."""
+    """Luminance thumbnails, one sample per 8x8 block of the first component. Raises one of ``DAMAGE`` if any frame is damaged."""
     groups: dict[tuple, list[int]] = {}
     for i, f in enumerate(frames):
         pattern = [(c, d, a) for c, d, a in f.scan for _ in range(f.components[c][1] * f.components[c][2] if len(f.scan) > 1 else 1)]
@@ -268,13 +275,16 @@ def _table(key) -> tuple[np.ndarray, np.ndarray]:
 
 def _decode(frames: list[Frame], pattern: tuple, tables: dict) -> list[np.ndarray]:
     """DC levels of the first component, in coded order, of frames with the same tables."""
-    pieces, starts, counts, owner, at = [], [], [], [], 0
+    pieces, starts, stops, counts, owner, at = [], [], [], [], [], 0
     for i, f in enumerate(frames):
         rows, cols = _mcus(f)
         total, each = rows * cols, f.restart or rows * cols
         if len(f.intervals) != -(-total // each):
             raise ValueError("restart intervals do not match the frame")
+        if total * len(pattern) > 4 * len(f.coded):  # a block takes two bits at least
+            raise ValueError("scan is too short for the frame")
         starts += [at + x for x in f.intervals]
+        stops += [at + x for x in [*f.intervals[1:], len(f.coded)]]
         counts += [each] * (len(f.intervals) - 1) + [total - each * (len(f.intervals) - 1)]
         owner += [i] * len(f.intervals)
         pieces += [f.coded, np.full(8, 255, np.uint8)]
@@ -335,6 +345,8 @@ def _decode(frames: list[Frame], pattern: tuple, tables: dict) -> list[np.ndarra
                         p[open_] += length[bits]
                         rs[open_] = symbol[bits]
         pos[:live] = p
+    if (pos > np.array(stops, np.int64)[order] * 8).any():
+        raise ValueError("damaged scan")
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     out: list[list[np.ndarray]] = [[] for _ in frames]
@@ -356,7 +368,7 @@ def _grid(f: Frame, levels: np.ndarray) -> np.ndarray:
 
 def decode_samples(frames: list[Frame], thumbs: list[np.ndarray]) -> bytes:
     """The bytes that ``encode_samples`` stored."""
-    return b"".join(t.ravel()[: struct.unpack(">Q", f.comment)[0]].tobytes() for f, t in zip(frames, thumbs, strict=True))
+    return b"".join(t.ravel()[: struct.unpack(">Q", f.comment[len(MAGIC) :])[0]].tobytes() for f, t in zip(frames, thumbs, strict=True))
 
 
 def difference_hash(thumb: np.ndarray) -> str:
@@ -369,28 +381,44 @@ def difference_hash(thumb: np.ndarray) -> str:
 
 
 def describe(media: list[bytes | None]) -> list[dict | None]:
-    """Payload, dimensions and thumbnail hash of each media value; None for what is null or no baseline image."""
-    parsed, flat = [], []
+    """Payload, dimensions and thumbnail hashes of each media value; None for what is null, damaged or no baseline image.
+
+    Files are decoded together; only if one of them turns out to be damaged,
+    each by itself. Several frames in a file have their hashes joined in order.
+    """
+    parsed: list[list[Frame] | None] = []
     for m in media:
         try:
-            frames = parse(m) if m else None
-        except (ValueError, IndexError, struct.error):
-            frames = None
-        parsed.append(frames)
-        flat += frames or []
-    thumbs = iter(dc_thumbnails(flat))
-    out = []
-    for frames in parsed:
-        if not frames:
+            parsed.append(parse(m) if m else None)
+        except DAMAGE:
+            parsed.append(None)
+    try:
+        together = iter(dc_thumbnails([f for frames in parsed for f in frames or []]))
+        thumbs = [[next(together) for _ in frames or []] for frames in parsed]
+    except DAMAGE:
+        thumbs = [_alone(frames) for frames in parsed]
+    out: list[dict | None] = []
+    for frames, own in zip(parsed, thumbs, strict=True):
+        try:
+            out.append(_description(frames, own) if frames and own else None)
+        except DAMAGE:
             out.append(None)
-            continue
-        own = [next(thumbs) for _ in frames]
-        stored = all(len(f.comment) == 8 for f in frames)
-        dims = "+".join(f"{f.width}x{f.height}" for f in frames)
-        out.append({"payload": decode_samples(frames, own) if stored else None, "dims": dims, "hash": difference_hash(own[0])})
     return out
 
 
+def _alone(frames: list[Frame] | None) -> list[np.ndarray] | None:
+    try:
+        return dc_thumbnails(frames) if frames else None
+    except DAMAGE:
+        return None
+
+
+def _description(frames: list[Frame], thumbs: list[np.ndarray]) -> dict:
+    stored = all(len(f.comment) == len(MAGIC) + 8 and f.comment.startswith(MAGIC) for f in frames)
+    payload = decode_samples(frames, thumbs) if stored else None
+    return {"payload": payload, "dims": "+".join(f"{f.width}x{f.height}" for f in frames), "hash": "+".join(map(difference_hash, thumbs))}
+
+
 # ---------------------------------------------------------------- Spark
 
 
@@ -414,8 +442,9 @@ def store_media(df: DataFrame, text_col: str = "text", out: str = "media") -> Da
 def read_media(df: DataFrame, media_col: str = "media", out: str = "image") -> DataFrame:
     """Append ``out``: struct of payload, its digests, dimensions and thumbnail hash, from JPEG bytes alone.
 
-    All fields are null for null media and for what is not a baseline image;
-    the payload is null for images that ``store_media`` did not write.
+    All fields are null for null media and for what is not a baseline image or
+    is damaged, which does not touch the rows beside it; the payload is null for
+    images that ``store_media`` did not write.
     """
     kind = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("dims", pa.string()), ("hash", pa.string())])
 
