@@ -21,6 +21,7 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "com.br", "co.in", "co.za", "com.mx", "com.cn")
 THRESHOLD, Z = 0.5, 1.645
 
+_ADDRESS = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,10 +36,10 @@ def path_of(url: Column) -> Column:
 
 
 def _domain(host: Column, two_label: tuple[str, ...]) -> Column:
-    """Registered domain: the suffix and one label more; user part and port do not count."""
+    """Registered domain: the suffix and one label more; user part and port do not count. An IPv4 address is its own."""
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
     last_two = F.substring_index(bare, ".", -2)
-    return F.when(last_two.isin(*two_label), F.substring_index(bare, ".", -3)).otherwise(last_two)
+    return F.when(bare.rlike(_ADDRESS), bare).when(last_two.isin(*two_label), F.substring_index(bare, ".", -3)).otherwise(last_two)
 
 
 def _concentration(groups: DataFrame, prior: str) -> float:
@@ -65,7 +66,7 @@ def reputation(hosts: DataFrame, *, two_label: tuple[str, ...] = TWO_LABEL_SUFFI
     holds each host once.
     """
     hosts = hosts.withColumn("domain", _domain(F.col("host"), two_label))
-    hosts = hosts.withColumn("suffix", F.when(F.instr("domain", ".") > 0, F.expr("substring(domain, instr(domain, '.') + 1)")).otherwise(F.col("domain")))
+    hosts = hosts.withColumn("suffix", F.when((F.instr("domain", ".") > 0) & ~F.col("domain").rlike(_ADDRESS), F.expr("substring(domain, instr(domain, '.') + 1)")).otherwise(F.col("domain")))
     domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n")), "domains")
     suffixes = materialize(domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n")), "suffixes")
     k, n = suffixes.agg(F.sum("k"), F.sum("n")).first()
@@ -107,11 +108,12 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, *, threshold:
 
 
 def _rules_of(hosts: DataFrame, rules, spark) -> DataFrame:
-    """For each host its fitting rules, longest first. Hosts are expanded to their suffixes, never paired with all rules."""
+    """For each host its fitting rules, longest first. Hosts are expanded to their suffixes of as many labels as some rule has, never paired with all rules."""
     rows = [(r.split("/", 1)[0], "/" + r.split("/", 1)[1] if "/" in r else "", r, v) for v, r in rules]
     listed = spark.createDataFrame(rows, "suffix string, path string, rule string, verdict string")
-    labels = F.split("host", r"\.")
-    suffixes = hosts.where("host <> ''").select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("suffix"))
+    depths = sorted({r[0].count(".") + 1 for r in rows})
+    last = F.array_distinct(F.array(*(F.substring_index("host", ".", -d) for d in depths)))
+    suffixes = hosts.where("host <> ''").select("host", F.explode(last).alias("suffix"))
     item = F.struct((-F.length("rule")).alias("n"), (-F.length("suffix")).alias("h"), "path", "rule", "verdict")
     return suffixes.join(listed, "suffix").groupBy("host").agg(F.sort_array(F.collect_list(item)).alias("rules"))
 
@@ -145,9 +147,10 @@ with seen as (
   from pages),
 worst as (select doc_id as page_id, max(case when quality = 0 then 1 else 0 end) as bad from labels where quality is not null group by doc_id),
 counted as (select host, coalesce(sum(bad), 0) as k, count(bad) as n from seen left join worst using (page_id) group by host),
-bare as (select *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') as parts from counted),
-named as (select *, case when array_to_string(parts[-2:], '.') in ({two}) then array_to_string(parts[-3:], '.') else array_to_string(parts[-2:], '.') end as domain from bare),
-hosts as (select host, k, n, domain, case when contains(domain, '.') then substr(domain, instr(domain, '.') + 1) else domain end as suffix from named),
+plain as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as bare from counted),
+bare as (select *, string_split(bare, '.') as parts from plain),
+named as (select *, case when regexp_matches(bare, '{_ADDRESS}') then bare when array_to_string(parts[-2:], '.') in ({two}) then array_to_string(parts[-3:], '.') else array_to_string(parts[-2:], '.') end as domain from bare),
+hosts as (select host, k, n, domain, case when contains(domain, '.') and not regexp_matches(domain, '{_ADDRESS}') then substr(domain, instr(domain, '.') + 1) else domain end as suffix from named),
 domains as (select domain, suffix, sum(k) as k, sum(n) as n from hosts group by domain, suffix),
 suffixes as (select suffix, sum(k) as k, sum(n) as n from domains group by suffix),
 overall as (select case when sum(n) > 0 then sum(k) / sum(n)::double else 0.5 end as m0 from suffixes),
