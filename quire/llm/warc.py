@@ -29,7 +29,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the fixed name space for URLs
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
-_HEADERS = "path string, offset long, length long, page_id long, url string, digest string, payload_bytes long"
+_HEADERS = "path string, offset long, length long, page_id long, url string, digest string, payload_bytes long, captured string"
 _MANIFEST = "path string, n_records long, n_bytes long"
 _RECORDS = "page_id long, record_type string, record_id string, url string, payload_bytes long, payload_digest string, refers_to long, refers_to_record string, payload binary"
 
@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, *, captured: str = "2024-01-01T00:00:00Z",
                     digest = payload_digest(payload)
                     fields = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", captured), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Page-Id", page), ("Content-Type", "application/http; msgtype=response")]
                     where = archives.add(_member(_record(fields, _http_head(len(payload)) + payload), level))
-                    rows.append((*where, page, url, digest, len(payload)))
+                    rows.append((*where, page, url, digest, len(payload), captured))
                 if rows:
                     yield _batch(rows, _HEADERS)
             archives.close()
@@ -169,13 +169,13 @@ def resolve_revisits(headers: DataFrame, *, min_bytes: int = 0, captured: str =
     """
     spark = headers.sparkSession
     folder = path or work_path(spark, "warc-out")
-    place = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "path", "offset", "url")
+    place = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "path", "offset", "url", "captured")
     # counted and reduced before the shuffle: a digest shared by many records sends one row a task
     firsts = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(F.min(place).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = materialize(firsts, "warc-originals")
     resolved = lookup_join(headers, firsts, ["digest", "payload_bytes"])
     other = F.col("o").isNotNull() & ~((F.col("o.path") == F.col("path")) & (F.col("o.offset") == F.col("offset")))
-    plan = resolved.select("path", "offset", "length", *[F.when(other, F.col(f"o.{c}")).alias(f"o_{c}") for c in ("path", "offset", "page_id", "url")])
+    plan = resolved.select("path", "offset", "length", *[F.when(other, F.col(f"o.{c}")).alias(f"o_{c}") for c in ("path", "offset", "page_id", "url", "captured")])
     files = headers.select("path").distinct().count()
     plan = plan.repartition(max(1, min(files, 20_000)), "path").sortWithinPartitions("path", "offset")
 
@@ -183,7 +183,7 @@ def resolve_revisits(headers: DataFrame, *, min_bytes: int = 0, captured: str =
         archives, source, at = _Archives(folder), None, None
         try:
             for batch in batches:
-                for path, offset, length, o_path, o_offset, o_page, o_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for path, offset, length, o_path, o_offset, o_page, o_url, o_captured in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if path != at:
                         if source is not None:
                             source.close()
@@ -195,7 +195,7 @@ def resolve_revisits(headers: DataFrame, *, min_bytes: int = 0, captured: str =
                         fresh.insert(0, ("WARC-Type", "response"))
                     else:
                         fresh.insert(0, ("WARC-Type", "revisit"))
-                        fresh += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(o_path, o_offset)), ("WARC-Refers-To-Target-URI", o_url), ("WARC-Refers-To-Date", captured), ("Refers-To-Page-Id", o_page)]
+                        fresh += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(o_path, o_offset)), ("WARC-Refers-To-Target-URI", o_url), ("WARC-Refers-To-Date", o_captured), ("Refers-To-Page-Id", o_page)]
                         block = block[: block.index(b"\r\n\r\n") + 4]
                     if archives.f is None:
                         archives.add(_member(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", captured), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"), level))
