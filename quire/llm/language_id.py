@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spare_name, table, text_blocks
+from .common import lookup_join, spare_name, table, text_blocks
 
 PROFILE = 300
-#: Labelled documents per language that a profile is learned from, about; and languages at most.
-MAX_DOCS, MAX_LANGUAGES = 3000, 500
+#: Labelled documents per language that a profile is learned from, about.
+MAX_DOCS = 3000
 UNKNOWN = "und"
 #: Documents whose own ranking is further from every profile than this are no known language (1: nothing shared).
 MAX_DISTANCE = 0.9
@@ -80,20 +80,20 @@ class Profiles:
         return out
 
 
-def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, size: int = PROFILE, max_docs: int = MAX_DOCS, max_languages: int = MAX_LANGUAGES) -> Profiles:
+def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, size: int = PROFILE, max_docs: int = MAX_DOCS) -> Profiles:
     """Profiles from labelled documents; rows with a null label or text are left out.
 
     Of each language about ``max_docs`` documents are taken, chosen by a hash of
-    the identifier; of the languages the ``max_languages`` most frequent. Both
-    bound what reaches the driver: ``size`` n-grams a language.
+    the identifier. Every language of the table is learned; the driver and the
+    broadcast hold ``size`` n-grams of each, about 5 KB a language.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Profiles({}, size)
     share = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, max_docs * 1_000_000 // r["count"] + 1)) for r in counts], "lang string, share long")
-    # at most ``max_languages`` rows are broadcast
-    rows = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("i", "lang"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
+    # one row a language
+    rows = lookup_join(rows, share, "lang", "inner", len(counts)).where(F.pmod(F.xxhash64("i", "lang"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
 
     def count(batches):
         held: dict[str, list] = {}
