@@ -18,11 +18,71 @@ from pyspark.sql import functions as F
 
 #: The white space of ECMAScript's ``\\s`` and ``trim``.
 SPACE = "\\t\\n\\x0B\\f\\r \\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+SPACE_CHARACTERS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE_NOT_NEWLINE = SPACE.replace("\\n", "")
 _BOUND = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+_NO_WORD_BEFORE, _NO_WORD_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 _ANY = r"[^\n\r\u2028\u2029]"
 
 
+def _alternatives(group: str) -> list[str]:
+    """Top-level alternatives of what stands between a group's brackets."""
+    out, depth, inside, begin, i = [], 0, False, 0, 0
+    while i < len(group):
+        c = group[i]
+        if c == "\\":
+            i += 2
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(group[begin:i])
+            begin = i + 1
+        i += 1
+    return [*out, group[begin:]]
+
+
+def _begins_with_word(pattern: str) -> bool:
+    """Whether whatever the pattern matches surely begins with an ASCII letter or digit."""
+    if not pattern.startswith("("):
+        return pattern[:1].isascii() and pattern[:1].isalnum() and pattern[1:2] not in {"?", "*", "{"}
+    depth, inside, i = 0, False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 2
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if not depth:
+                break
+        i += 1
+    body = pattern[1:i].removeprefix("?:")
+    return pattern[i + 1 : i + 2] not in {"?", "*", "{"} and not body.startswith("?") and all(_begins_with_word(x) for x in _alternatives(body))
+
+
+def _ends_with_letters(pattern: str) -> bool:
+    """Whether whatever the pattern matches surely ends with an ASCII letter: two plain letters, or a group of such alternatives."""
+    if pattern.endswith(")") and not pattern.endswith("\\)"):
+        depth = 0
+        for i in range(len(pattern) - 1, -1, -1):
+            if pattern[i] in "()" and pattern[i - 1 : i] != "\\":
+                depth += 1 if pattern[i] == ")" else -1
+                if not depth:
+                    body = pattern[i + 1 : -1].removeprefix("?:")
+                    return "[" not in body and not body.startswith("?") and all(_ends_with_letters(x) for x in _alternatives(body))
+        return False
+    return len(pattern) > 1 and pattern[-2:].isascii() and pattern[-2:].isalpha() and pattern[-3:-2] != "\\"
+
+
 def java(pattern: str, ignore_case: bool = False) -> str:
     """The pattern for Java's engine."""
     out, inside, i = [], False, 0
@@ -36,7 +96,8 @@ def java(pattern: str, ignore_case: bool = False) -> str:
             elif pair == "\\S" and not inside:
                 out.append(f"[^{SPACE}]")
             elif pair == "\\b" and not inside:
-                out.append(_BOUND)
+                # one look instead of four where the neighbour in the pattern says which side holds the word
+                out.append(_NO_WORD_BEFORE if _begins_with_word(pattern[i:]) else _NO_WORD_AFTER if _ends_with_letters(pattern[: i - 2]) else _BOUND)
             else:
                 out.append(pair)
             continue
@@ -61,6 +122,11 @@ def any_of(patterns) -> str:
     return patterns if isinstance(patterns, str) else "|".join(f"(?:{p})" for p in patterns)
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of ``x`` with ``x`` evaluated once, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 class SparkOps:
     """Expressions as Spark columns."""
 
@@ -90,7 +156,7 @@ class SparkOps:
 
     @staticmethod
     def trim(x: Column) -> Column:
-        return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+        return F.trim(x, F.lit(SPACE_CHARACTERS))
 
     @staticmethod
     def replace(x: Column, pattern: str, by: str, ignore_case: bool = False) -> Column:

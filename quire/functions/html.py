@@ -73,7 +73,7 @@ def file_name(ops, path):
 def capitalised(ops, x):
     """Each word's first letter upper-cased."""
     if ops is SparkOps:
-        return F.array_join(F.transform(F.split(x, "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), "")
+        return F.array_join(F.transform(F.split(x, "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
     return ops.join(ops.transform(ops.split(x, " "), lambda w: type(x)(f"(upper(substr({w}, 1, 1)) || substr({w}, 2))")), " ")
 
 

@@ -123,6 +123,16 @@ SKIPPED_FILES = (
     ("publisher promo", r"^(also-?by|other-?books|by-?the-?author|bm\d+|ata|newsletter|signup|promo|prh-?ad)\.(x?html?|xhtml)$"),
 )
 
+# fixed values: where an archive names its package document, and the package's metadata, manifest (both orders of attributes) and reading order
+CONTAINER_FILE = "META-INF/container.xml"
+PACKAGE_PATH = r'full-path="([^"]+)"'
+PACKAGE_ELEMENT = r"<dc:{}[^>]*>([^<]+)<\/dc:{}>"
+MANIFEST_ID_FIRST = r'<item\s[^>]*?id="([^"]+)"[^>]*?href="([^"]+)"[^>]*>'
+MANIFEST_HREF_FIRST = r'<item\s[^>]*?href="([^"]+)"[^>]*?id="([^"]+)"[^>]*>'
+SPINE_ITEM = r'<itemref[^>]+idref="([^"]+)"[^>]*>'
+CHAPTER_SUFFIXES = (".html", ".xhtml", ".htm")
+NO_CHAPTER_PARTS = ("nav.", "toc.")
+
 # fixed values: lines that look like entries of a table of contents (any case)
 TOC_LINES = (
     r"^(chapter|kapitel|part|teil)\s+[ivxlcdm\d]+",

@@ -2,7 +2,7 @@
 
 Each function uses its input once: Catalyst inlines expressions into one
 another, and doubled inputs would grow without bound. What is needed twice is
-bound by a lambda of ``transform``.
+bound by ``let``. Steps that few texts need stand behind a cheap test.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .dialect import SPACE, SPACE_NOT_NEWLINE, SparkOps, SqlOps
+from .dialect import SPACE, SPACE_NOT_NEWLINE, SparkOps, SqlOps, let
 
 S = SparkOps
 _CLOSED = f"(?=[{SPACE}.,;:!?\"'„‚“”‘’«»‹›)\\]—–…]|\\z)"
 #: Possessive repetition runs in a loop, so runs of any length leave Java's stack alone; the condition
 #: on what follows a letter stands inside the loop, since nothing can be given back.
 _SPACED_RUN = f"(?<=^|[{SPACE}\"'„‚“”‘’«»‹›(\\[—–])(\\p{{L}}(?: {{1,4}}\\p{{L}}{_CLOSED}){{2,}}+)"
+#: Every run holds this; few texts do.
+_MAYBE_SPACED = "\\p{L} {1,4}\\p{L} {1,4}\\p{L}(?!\\p{L})"
 _BEGIN, _END = "\ufdd0", "\ufdd1"  # no characters; they never occur in texts
 
 
@@ -27,9 +29,13 @@ def fix_letter_spacing(x: Column) -> Column:
     A run starts at a line's start or after white space or an opening mark, and
     ends before white space, a closing mark or the end.
     """
-    parts = F.split(F.regexp_replace(x, _SPACED_RUN, f"{_BEGIN}$1{_END}"), f"[{_BEGIN}{_END}]", -1)
     close = lambda run: F.array_join(F.transform(F.split(run, " {2,}", -1), lambda w: F.replace(w, F.lit(" "), F.lit(""))), " ")
-    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, close(p)).otherwise(p)), "")
+
+    def closed(text):
+        parts = F.split(F.regexp_replace(text, _SPACED_RUN, f"{_BEGIN}$1{_END}"), f"[{_BEGIN}{_END}]", -1)
+        return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, close(p)).otherwise(p)), "")
+
+    joined = let(x, lambda text: F.when(text.rlike(_MAYBE_SPACED), closed(text)).otherwise(text))
     return F.regexp_replace(joined, f"[{SPACE_NOT_NEWLINE}]{{2,}}", " ")
 
 
@@ -59,7 +65,10 @@ def _numeric(x: Column, mark: str, digits: str, base: int) -> Column:
 
 def decode_entities(x: Column) -> Column:
     """Named entities, then decimal, then hexadecimal references."""
-    return _numeric(_numeric(decode_named(S, x), "&#", "[0-9]", 10), "&#x", "[0-9a-fA-F]", 16)
+    numeric = lambda y: _numeric(_numeric(y, "&#", "[0-9]", 10), "&#x", "[0-9a-fA-F]", 16)
+    marked = lambda y, mark, decoded: F.when(F.contains(y, F.lit(mark)), decoded).otherwise(y)
+    named = let(x, lambda y: marked(y, "&", decode_named(S, y)))
+    return let(named, lambda y: marked(y, "&#", numeric(y)))
 
 
 # ------------------------------------------------------------------ normal forms

@@ -58,9 +58,10 @@ def prepared(ops, content) -> dict:
 
 
 def measured(ops) -> dict:
-    """Second stage of ``prepared``: length and lines of the trimmed content."""
-    body = ops.name("c_body")
-    return {"c_n": ops.length(body), "c_lines": lines_of(ops, ops.cases([(ops.length(body) <= 5000, body)], ""))}
+    """Second stage of ``prepared``: length and lines of the trimmed content; lines of the whole only where a book list is possible."""
+    body, low = ops.name("c_body"), ops.name("c_low")
+    short = ops.cases([(ops.length(body) <= 5000, body)], "")
+    return {"c_n": ops.length(body), "c_lines": lines_of(ops, short), "c_plain": lines_of(ops, ops.cases([(ops.match(low, _BOOK_TEXT), low)], ""))}
 
 
 def predicates(ops, title, mode="compat"):
@@ -70,7 +71,7 @@ def predicates(ops, title, mode="compat"):
     toc = _share(ops, lines, lambda x: ops.match(x, P.TOC_LINES, True)) > 0.4
     short_form = (_share(ops, lines, lambda x: ops.length(x) < 60) > 0.7) & (_share(ops, lines, lambda x: ops.match(x, P.SENTENCE_BREAK) | (ops.length(x) > 120)) < 0.1)
     cased = _share(ops, lines, lambda x: ops.match(x, P.TITLE_CASE_LINE) & (ops.length(x) < 80)) > 0.5
-    plain = lines_of(ops, low)
+    plain = ops.name("c_plain")
     book_line = lambda x: either([*[ops.contains(x, w) for w in P.BOOK_LINE_PARTS], ops.match(x, P.BOOK_LINES, True)])
     opening, thanks = ops.head(low, 500), ops.head(low, 800)
     first = ops.coalesce(ops.first(lines), "" if ops is SqlOps else F.lit(""))
@@ -82,7 +83,7 @@ def predicates(ops, title, mode="compat"):
         "is_promo": (n <= 3000) & (count_true(ops, [ops.match(low, p, True) for p in P.PROMO_SIGNALS]) >= 2),
         "is_author_list": (n >= 100) & (n < 5000) & (count >= 5) & short_form & (cased | ops.match(low_title, P.BY_SOMEONE)),
         "is_short_rights": (n < 200) & either([ops.contains(low, w) for w in P.SHORT_RIGHTS_PHRASES]),
-        "is_book_list": ops.match(low, _BOOK_TEXT) & (ops.size(plain) >= 3) & (_share(ops, plain, book_line) > 0.3),
+        "is_book_list": (ops.size(plain) >= 3) & (_share(ops, plain, book_line) > 0.3),
         "is_preview": either([*[ops.contains(opening, w) for w in P.PREVIEW_PHRASES], ops.match(opening, P.FIRST_CHAPTER, True)]),
         "is_rights": (n < 1500) & (count_true(ops, [ops.match(low, p) for p in P.RIGHTS_SIGNALS]) >= 2),
         "is_dedication": (n <= 500) & (count <= 10) & dedicated,
