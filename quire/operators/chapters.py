@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dialect import SparkOps
+from ..functions import patterns as P
+from ..functions.dialect import SparkOps, either
 from ..functions.html import chapter_title, clean_title, html_to_text
 from ..schema import DEFAULT_METADATA, FAILED, NO_CONTENT
 from ..storage import materialize
@@ -34,7 +35,7 @@ def read_chapters(files: DataFrame, kind: str = "epub") -> DataFrame:
     order = Window.partitionBy("book_id").orderBy("chapter_idx")
     rows = rows.withColumn("_n", F.row_number().over(order))
     if kind == "mobi":
-        heading = S.trim(S.replace(S.extract(F.col("html"), r"<h[1-3][^>]*>([\s\S]*?)<\/h[1-3]>", 1, True), r"<[^>]+>", ""))
+        heading = S.trim(S.replace(S.extract(F.col("html"), P.HEADING, 1, True), r"<[^>]+>", ""))
         listed = F.when(F.col("listed_title") != "", F.col("listed_title"))
         title = F.coalesce(F.when(heading != "", heading), listed, F.concat(F.lit("Chapter "), (F.col("chapter_idx") + 1).cast("string")))
     else:
@@ -158,29 +159,26 @@ def work_items(books: DataFrame, mode: str = "compat") -> DataFrame:
 def package_metadata(packages: DataFrame, text: str = "opf") -> DataFrame:
     """Adds title, author, language from a package document: first element of each, trimmed, defaults where missing."""
     def field(tag, decode):
-        raw = S.trim(S.extract(F.col(text), rf"<dc:{tag}[^>]*>([^<]+)<\/dc:{tag}>", 1))
+        raw = S.trim(S.extract(F.col(text), P.PACKAGE_ELEMENT.format(tag, tag), 1))
         return clean_title(raw) if decode else raw
 
     raw = {"title": field("title", True), "author": field("creator", True), "language": field("language", False)}
     return packages.withColumns({c: F.coalesce(raw[c], F.lit(d)) for c, d in DEFAULT_METADATA.items()})
 
 
-_ID_FIRST, _HREF_FIRST = r'<item\s[^>]*?id="([^"]+)"[^>]*?href="([^"]+)"[^>]*>', r'<item\s[^>]*?href="([^"]+)"[^>]*?id="([^"]+)"[^>]*>'
-
-
 def manifest_items(packages: DataFrame, text: str = "opf") -> DataFrame:
     """(book_id, id, href): the last entry of an id wins, entries with href first coming after the others."""
     def entries(pattern, id_group, href_group, turn):
         found = lambda g: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(g))
         return packages.select("book_id", F.posexplode(F.arrays_zip(found(id_group).alias("id"), found(href_group).alias("href"))).alias("pos", "e")).select("book_id", F.lit(turn).alias("turn"), "pos", "e.id", "e.href")
 
-    both = entries(_ID_FIRST, 1, 2, 0).union(entries(_HREF_FIRST, 2, 1, 1))
+    both = entries(P.MANIFEST_ID_FIRST, 1, 2, 0).union(entries(P.MANIFEST_HREF_FIRST, 2, 1, 1))
     return both.groupBy("book_id", "id").agg(F.max_by("href", F.struct("turn", "pos")).alias("href"))
 
 
 def spine_items(packages: DataFrame, text: str = "opf") -> DataFrame:
     """(book_id, pos, idref) in reading order, repeats kept."""
-    return packages.select("book_id", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r'<itemref[^>]+idref="([^"]+)"[^>]*>'), F.lit(1))).alias("pos", "idref"))
+    return packages.select("book_id", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(P.SPINE_ITEM), F.lit(1))).alias("pos", "idref"))
 
 
 def spine_paths(spine: DataFrame, manifest: DataFrame, base: str = "base") -> DataFrame:
@@ -193,7 +191,7 @@ def spine_paths(spine: DataFrame, manifest: DataFrame, base: str = "base") -> Da
 def fallback_paths(entries: DataFrame) -> DataFrame:
     """Chapter files of an archive without usable spine: (book_id, pos, path) by code order."""
     path = F.col("path")
-    good = (path.endswith(".html") | path.endswith(".xhtml") | path.endswith(".htm")) & ~path.contains("nav.") & ~path.contains("toc.") & filename_skip_reason(path).isNull()
+    good = either([path.endswith(x) for x in P.CHAPTER_SUFFIXES]) & ~either([path.contains(x) for x in P.NO_CHAPTER_PARTS]) & filename_skip_reason(path).isNull()
     order = Window.partitionBy("book_id").orderBy("path")
     return entries.where(good).select("book_id", (F.row_number().over(order) - 1).alias("pos"), "path")
 

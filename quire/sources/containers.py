@@ -6,7 +6,6 @@ container format is taken apart in Arrow batches, one file at a time.
 
 from __future__ import annotations
 
-import html as entities
 import io
 import re
 import struct
@@ -34,43 +33,82 @@ def file_is_skipped(path: str) -> str | None:
     return None
 
 
-def _element(package: str, tag: str) -> str | None:
-    m = re.search(rf"<dc:{tag}[^>]*>([^<]+)</dc:{tag}>", package)
-    return m[1].strip() if m else None
+def decoded(text: str) -> str:
+    """Entities of a metadata value: the named ones in sequence, then decimal and hexadecimal references; what is no character goes."""
+    for name, char in P.ENTITIES:
+        text = text.replace(name, char)
+    for pattern, base in ((r"&#([0-9]+);", 10), (r"&#x([0-9a-fA-F]+);", 16)):
+        text = re.sub(pattern, lambda m, base=base: _character(int(m[1], base)), text)
+    return text
+
+
+def _character(code: int) -> str:
+    return chr(code) if 0 < code < 0x10FFFF and not 0xD800 <= code <= 0xDFFF else ""
+
+
+def _path_of(href: str) -> str:
+    """A percent-decoded reference; a malformed one is an error of the book."""
+    if re.search(r"%(?![0-9a-fA-F]{2})", href):
+        raise ValueError(f"malformed reference {href!r}")
+    return urllib.parse.unquote(href, errors="strict")
+
+
+class Package:
+    """A package document: what the fixed expressions find in its text."""
+
+    def __init__(self, text: str, folder: str):
+        self.text, self.folder = text, folder
+
+    def field(self, tag: str) -> str | None:
+        found = re.search(P.PACKAGE_ELEMENT.format(tag, tag), self.text)
+        return found and found[1].strip()
+
+    def metadata(self) -> dict[str, str | None]:
+        title, author = (value and decoded(value) for value in map(self.field, ("title", "creator")))
+        return {"title": title, "author": author, "language": self.field("language")}
+
+    def paths(self) -> Iterator[str]:
+        """Reading order, without entries that the manifest lacks and files that are skipped by name."""
+        manifest = {m[1]: m[2] for m in re.finditer(P.MANIFEST_ID_FIRST, self.text)}
+        manifest |= {m[2]: m[1] for m in re.finditer(P.MANIFEST_HREF_FIRST, self.text)}
+        listed = (self.folder + _path_of(manifest[m[1]]) for m in re.finditer(P.SPINE_ITEM, self.text) if m[1] in manifest)
+        return (path for path in listed if not file_is_skipped(path))
+
+
+class Archive:
+    """Named entries of an EPUB file, unpacked one by one when they are read."""
+
+    def __init__(self, data: bytes):
+        self.zip = zipfile.ZipFile(io.BytesIO(data))
+        self.names = dict.fromkeys(self.zip.namelist())
+
+    def text(self, name: str) -> str:
+        return self.zip.read(name).decode("utf-8", "replace")
+
+    def package(self) -> Package | None:
+        """The package that the container file names, else the first one by suffix."""
+        named = re.search(P.PACKAGE_PATH, self.text(P.CONTAINER_FILE)) if P.CONTAINER_FILE in self.names else None
+        candidates = [*([named[1]] if named else []), *(n for n in self.names if n.endswith(".opf"))]
+        place = next((n for n in candidates if n in self.names), None)
+        return place and Package(self.text(place), place[: place.rfind("/") + 1])
+
+    def loose_paths(self) -> list[str]:
+        """Chapter files by name alone, in code order."""
+        good = [n for n in self.names if n.endswith(P.CHAPTER_SUFFIXES) and not any(x in n for x in P.NO_CHAPTER_PARTS) and not file_is_skipped(n)]
+        return sorted(good, key=lambda n: n.encode("utf-16-be"))
+
+    def entry(self, path: str) -> str | None:
+        """The name of an entry as it is, or percent-encoded."""
+        return next((n for n in (path, urllib.parse.quote(path, safe="/;,?:@&=+$#!'()*~")) if n in self.names), None)
 
 
 def read_epub(data: bytes) -> tuple[dict, list[tuple[str, str]]]:
     """Metadata and (path, markup) of an archive's chapter files in reading order, skipped ones left packed."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
-        known = set(names)
-        text = lambda name: z.read(name).decode("utf-8", "replace")
-        package = None
-        if "META-INF/container.xml" in known:
-            m = re.search(r'full-path="([^"]+)"', text("META-INF/container.xml"))
-            package = m[1] if m and m[1] in known else None
-        package = package or next((n for n in names if n.endswith(".opf")), None)
-        meta, paths = {}, []
-        if package:
-            opf = text(package)
-            decoded = lambda x: x and entities.unescape(x)
-            meta = {"title": decoded(_element(opf, "title")), "author": decoded(_element(opf, "creator")), "language": _element(opf, "language")}
-            items = dict(re.findall(r'<item\s[^>]*?id="([^"]+)"[^>]*?href="([^"]+)"[^>]*>', opf))
-            items.update((i, h) for h, i in re.findall(r'<item\s[^>]*?href="([^"]+)"[^>]*?id="([^"]+)"[^>]*>', opf))
-            base = package[: package.rfind("/") + 1]
-            for ref in re.findall(r'<itemref[^>]+idref="([^"]+)"[^>]*>', opf):
-                if ref in items:
-                    path = base + urllib.parse.unquote(items[ref], errors="strict")
-                    if not file_is_skipped(path):
-                        paths.append(path)
-        if not paths:
-            paths = sorted((n for n in names if n.endswith((".html", ".xhtml", ".htm")) and "nav." not in n and "toc." not in n and not file_is_skipped(n)), key=lambda n: n.encode("utf-16-be"))
-        found = []
-        for path in paths:
-            name = path if path in known else urllib.parse.quote(path, safe="/;,?:@&=+$#!'()*~")
-            if name in known:
-                found.append((path, text(name)))
-        return meta, found
+    archive = Archive(data)
+    package = archive.package()
+    paths = list(package.paths()) if package else []
+    entries = ((path, archive.entry(path)) for path in paths or archive.loose_paths())
+    return package.metadata() if package else {}, [(path, archive.text(name)) for path, name in entries if name is not None]
 
 
 # ------------------------------------------------------------------ MOBI
@@ -174,9 +212,14 @@ def chapter_files(files: DataFrame, kind: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, CHAPTER_FILES)
 
 
+def file_glob(kind: str) -> str:
+    """Files of a kind by their extension in any case."""
+    return "*." + "".join(f"[{c}{c.upper()}]" for c in kind)
+
+
 def read_books(spark: SparkSession, folder: str, kind: str = "epub") -> DataFrame:
     """Chapter files of all books of a kind under a folder; the extension counts in any case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*." + "".join(f"[{c}{c.upper()}]" for c in kind)).load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file_glob(kind)).load(folder)
     return chapter_files(files, kind)
 
 

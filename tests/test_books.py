@@ -112,7 +112,7 @@ def test_streaming_ingest(spark, folder, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         ingest(spark, folder, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out"))
-    assert rows.select("book_id").distinct().count() == 3 and rows.where("parse_error is null").count() == rows.where("html is not null").count()
+    assert rows.select("book_id").distinct().count() == 4 and rows.where("parse_error is null").count() == rows.where("html is not null").count()
 
 
 def test_work_items_ladder(spark):
