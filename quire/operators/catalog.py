@@ -109,6 +109,31 @@ def new_book(uploads: DataFrame, at: Column | None = None) -> DataFrame:
     return uploads.select(F.uuid().alias("id"), "user_id", title.alias("title"), "author", "original_filename", path.alias("file_path"), F.col("file_size").cast("int").alias("file_size"), F.col("language").alias("source_language"), at.alias("upload_date"), at.alias("created_at"), "document", F.lit("none").alias("translation_status"), F.lit(None).cast("string").alias("folder_id"))
 
 
+def new_translations(done: DataFrame, at: Column | None = None, language: str = "de") -> DataFrame:
+    """Rows for the translations table from finished books (book_id, user_id, original, content, chapters, providers).
+
+    ``providers`` lists what each chapter used, null if unknown: several make
+    "mixed", a single one is the row's provider, none gives "deepl".
+    """
+    at = at if at is not None else F.current_timestamp()
+    used = F.array_distinct(F.filter(F.coalesce("providers", F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit("")) != ""))
+    provider = F.when(F.size(used) > 1, "mixed").when(F.size(used) == 1, F.get(used, F.lit(0))).otherwise("deepl")
+    body = F.struct(F.coalesce("original", F.lit("")).alias("original"), F.col("content").alias("translated"), "chapters", "providers")
+    return done.select(F.uuid().alias("id"), F.col("book_id").alias("epub_file_id"), "user_id", F.parse_json(F.to_json(body, {"ignoreNullFields": "false"})).alias("translated_content"), F.lit(language).alias("target_language"), F.lit("completed").alias("translation_status"), at.alias("created_at"), provider.alias("provider"))
+
+
+def valid_requests(requests: DataFrame, body: str = "body") -> DataFrame:
+    """Chapter requests (variant ``body``) that can be served: a number as chapterIndex, a title and a content that are not empty."""
+    index = F.schema_of_variant(F.try_variant_get(F.col(body), "$.chapterIndex", "variant"))
+    text = lambda name: F.coalesce(F.try_variant_get(F.col(body), f"$.{name}", "string"), F.lit("")) != ""
+    return requests.where(F.coalesce(index.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.lit(False)) & text("title") & text("content"))
+
+
+def backfill_content(books: DataFrame, column: str = "original_content") -> DataFrame:
+    """An empty object where a book has no stored content."""
+    return books.withColumn(column, F.coalesce(F.col(column), F.parse_json(F.lit("{}"))))
+
+
 def set_where(df: DataFrame, condition: Column, **values) -> DataFrame:
     """Change columns of the rows that meet a condition; order of columns and rows stay."""
     return df.select(*[F.when(condition, values[c] if isinstance(values[c], Column) else F.lit(values[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
@@ -187,6 +212,14 @@ def download_name(ops, title, translated: bool):
     return ops.concat(ops.cases([(name != "", name)], "book"), tag if not hasattr(ops.lit(tag), "alias") else ops.lit(tag))
 
 
+def encoded_name(name: Column) -> Column:
+    """A file name for a Content-Disposition header: UTF-8, all but unreserved characters percent-encoded."""
+    coded = F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
+    for plain in "!'()~":
+        coded = F.replace(coded, F.lit(f"%{ord(plain):02X}"), F.lit(plain))
+    return coded
+
+
 def top_by(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 import zlib
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.dialect import SparkOps
+from ..functions.dialect import SparkOps, let
 from ..functions.text import compare_key, normalize_for_export
 
 S = SparkOps
@@ -55,7 +56,11 @@ def title_variants(ops, title):
 
 def is_title_echo(ops, line, variants):
     """Whether a trimmed line only repeats the title. A word of roman digits alone counts as a number."""
-    key = compare_key(ops, line)
+    return repeats(ops, compare_key(ops, line), line, variants)
+
+
+def repeats(ops, key, line, variants):
+    """``is_title_echo`` with the line's compared form given."""
     same = (key == variants[0]) | ops.coalesce(key == variants[1], ops.lit(False)) | ops.coalesce(key == variants[2], ops.lit(False)) | ops.coalesce(key == variants[3], ops.lit(False))
     return (key == "") | ((ops.length(line) <= 120) & (same | ops.match(key, P.ECHO_LINES)))
 
@@ -66,28 +71,32 @@ def strip_title_echoes(content: Column, title: Column) -> Column:
     Looks at the first eight lines and one more for each echo found, at most
     eight echoes; blank lines pass, the first other line ends the search.
     """
-    lines = F.split(content, "\n", -1)
-    variants = title_variants(S, title)
+    start = F.struct(F.lit(True).alias("open"), F.lit(0).alias("hits"), F.lit(0).alias("at"), F.array().cast("array<boolean>").alias("gone"))
 
-    def step(state, line):
-        text = S.trim(line)
+    def step(state, line, forms):
         going = state["open"] & (state["hits"] < 8) & (state["at"] < 8 + state["hits"])
-        echo = going & (text != "") & is_title_echo(S, text, variants)
-        ends = going & (text != "") & ~echo
-        hits = state["hits"] + echo.cast("int")
-        return F.struct((going & ~ends).alias("open"), hits.alias("hits"), (state["at"] + 1).alias("at"), F.concat(state["gone"], F.array(echo)).alias("gone"))
+        echo = lambda text: going & (text != "") & let(compare_key(S, text), lambda key: repeats(S, key, text, [F.get(forms, F.lit(k)) for k in range(4)]))
+        after = lambda text, e: F.struct((going & ((text == "") | e)).alias("open"), (state["hits"] + e.cast("int")).alias("hits"), (state["at"] + 1).alias("at"), F.concat(state["gone"], F.array(e)).alias("gone"))
+        return let(S.trim(line), lambda text: let(echo(text), lambda e: after(text, e)))
 
-    start = F.struct(F.lit(True).alias("open"), F.lit(0).alias("hits"), F.lit(0).alias("at"), F.array().cast("array<boolean>").alias("gone"))
-    found = F.aggregate(F.slice(lines, 1, 16), start, step)
-    left = F.array_join(F.transform(lines, lambda x, i: F.when(F.coalesce(F.get(found["gone"], i), F.lit(False)), "").otherwise(x)), "\n")
-    return F.when(found["hits"] > 0, S.replace(left, r"^\s*\n+", "")).otherwise(content)
+    def stripped(book):
+        # only the first sixteen lines can be echoes
+        lines = book["lines"]
+        head = F.slice(lines, 1, 16)
+        found = F.aggregate(head, start, lambda state, line: step(state, line, book["forms"]))
+        kept = lambda gone: F.concat(F.transform(head, lambda x, i: F.when(F.get(gone, i), "").otherwise(x)), F.slice(lines, F.lit(17), F.size(lines)))
+        left = lambda state: S.replace(F.array_join(kept(state["gone"]), "\n"), r"^\s*\n+", "")
+        return let(found, lambda state: F.when(state["hits"] > 0, left(state)).otherwise(F.array_join(lines, "\n")))
+
+    return let(F.struct(F.split(content, "\n", -1).alias("lines"), F.array(*title_variants(S, title)).alias("forms")), stripped)
 
 
 # ------------------------------------------------------------------ pages
 
 #: Fixed values of the page: millimetres of an A4 sheet, its margin, and (font points, line height) of each kind of line.
 WIDTH, HEIGHT, MARGIN, FOOT = 210, 297, 20, 30
-SIZES = {"body": (11, 6), "heading": (18, 9), "title": (24, 12), "author": (14, 8)}
+SIZES = {"body": (11, 6), "heading": (18, 9), "title": (24, 12), "author": (14, 8), "meta": (10, 6)}
+EMPTY = "(No content available)"
 #: Mean width of a character as a share of its font size; lines are cut by count, without font metrics.
 MEAN_WIDTH = 0.5
 _MM = 72 / 25.4
@@ -115,11 +124,18 @@ def wrap(text: str, size: int) -> list[str]:
     return out
 
 
-def layout(title: str, author: str, chapters: list[tuple[str, str]]) -> list[list[tuple[float, str, str]]]:
-    """Pages of (height from the top, kind, line): a title page, then each chapter on a new page."""
+def layout(title: str, author: str, chapters: list[tuple[str, str]], language: str = "", note: str = "") -> list[list[tuple[float, str, str]]]:
+    """Pages of (height from the top, kind, line): a title page, then each chapter on a new page.
+
+    The title page names the language if there is one; without chapters, ``note`` has a page of its own.
+    """
     titles, authors = wrap(title[:500], 24), wrap(author[:200], 14)
     below = HEIGHT / 3 + 16 + (len(titles) - 1) * SIZES["title"][1]
     pages = [[(HEIGHT / 3 + k * SIZES["title"][1], "title", x) for k, x in enumerate(titles)] + [(below + k * SIZES["author"][1], "author", x) for k, x in enumerate(authors)]]
+    if language:
+        pages[0].append((below + len(authors) * SIZES["author"][1] + SIZES["title"][1], "meta", f"Language: {language}"))
+    if note and not chapters:
+        pages.append([(HEIGHT / 2, "body", note)])
     for head, content in chapters:
         y, page = float(MARGIN), []
         pages.append(page)
@@ -136,14 +152,13 @@ def layout(title: str, author: str, chapters: list[tuple[str, str]]) -> list[lis
     return pages
 
 
-def text_pages(title: str, author: str, chapters: list[tuple[str, str]]) -> list[str]:
+def text_pages(pages: list[list[tuple[float, str, str]]]) -> list[str]:
     """The pages as plain text, each with its number."""
-    return ["\n".join([*[line for _, _, line in page], f"- {n} -"]) for n, page in enumerate(layout(title, author, chapters), 1)]
+    return ["\n".join([*[line for _, _, line in page], f"- {n} -"]) for n, page in enumerate(pages, 1)]
 
 
-def pdf(title: str, author: str, chapters: list[tuple[str, str]]) -> bytes:
+def pdf(pages: list[list[tuple[float, str, str]]]) -> bytes:
     """A PDF of the pages in a standard font; the same input gives the same bytes."""
-    pages = layout(title, author, chapters)
     objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
     kids = []
     for n, page in enumerate(pages, 1):
@@ -168,24 +183,30 @@ def pdf(title: str, author: str, chapters: list[tuple[str, str]]) -> bytes:
 
 
 def render(books: DataFrame, *, form: str = "pdf") -> DataFrame:
-    """(book_id, n_pages, document binary) of books (book_id, title, author, chapters) with export-ready chapters."""
+    """(book_id, n_pages, document binary) of books (book_id, title, author, chapters, and language if there is one) with export-ready chapters.
+
+    A book without chapters has a page that says so.
+    """
     if form not in ("pdf", "text"):
         raise ValueError("form is pdf or text")
-    rows = books.select("book_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("author", F.lit("")).alias("author"), F.transform("chapters", lambda c: c["title"]).alias("t"), F.transform("chapters", lambda c: c["content"]).alias("c"))
+    rows = books.select("book_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("author", F.lit("")).alias("author"), F.transform("chapters", lambda c: c["title"]).alias("t"), F.transform("chapters", lambda c: c["content"]).alias("c"), (F.coalesce("language", F.lit("")) if "language" in books.columns else F.lit("")).alias("language"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for book, title, author, heads, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for book, title, author, heads, texts, language in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts = [(h or "", x or "") for h, x in zip(heads or [], texts or [], strict=True)]
-                pages = text_pages(title, author, parts)
-                body = pdf(title, author, parts) if form == "pdf" else "\f".join(pages).encode()
+                pages = layout(title, author, parts, language, EMPTY)
+                body = pdf(pages) if form == "pdf" else "\f".join(text_pages(pages)).encode()
                 yield pa.RecordBatch.from_arrays([pa.array([book], batch.schema.field(0).type), pa.array([len(pages)], pa.int32()), pa.array([body], pa.binary())], names=["book_id", "n_pages", "document"])
 
     return rows.mapInArrow(run, f"book_id {dict(rows.dtypes)['book_id']}, n_pages int, document binary")
 
 
 def write_documents(rendered: DataFrame, folder: str, suffix: str = ".pdf") -> DataFrame:
-    """Write each document as a file into a folder that all executors share; returns (book_id, path, n_bytes) when read."""
+    """Write each document as a file into a folder that all executors share; returns (book_id, path, n_bytes) when read.
+
+    An identifier that is no plain file name gets its digest behind what is left of it, so no two share a file.
+    """
     safe = re.compile(r"[^A-Za-z0-9_.-]")
 
     def run(batches):
@@ -195,7 +216,9 @@ def write_documents(rendered: DataFrame, folder: str, suffix: str = ".pdf") -> D
         out.create_dir(base, recursive=True)
         for batch in batches:
             for book, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                path = f"{base}/{safe.sub('_', str(book))}{suffix}"
+                name = safe.sub("_", str(book))
+                name = name if name == str(book) and len(name) <= 100 else f"{name[-100:]}-{hashlib.sha256(str(book).encode()).hexdigest()[:32]}"
+                path = f"{base}/{name}{suffix}"
                 tmp = f"{path}.{uuid.uuid4().hex}"
                 with out.open_output_stream(tmp) as f:
                     f.write(body)

@@ -8,7 +8,9 @@ and are not part of this package; ``Provider`` is the interface, and
 
 from __future__ import annotations
 
+import contextlib
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -115,6 +117,28 @@ def capacity(used: Column, limit: Column) -> tuple[Column, Column]:
     return rest, (limit == 0) | (rest > limit * F.lit(0.01))
 
 
+def probe(source: Callable[[], tuple[int, int] | None] | None, timeout: float = 5.0) -> dict | None:
+    """Usage of the account from ``source`` (characters used, limit), asked once on the driver.
+
+    None, for unknown, without a source, on any failure, and if it takes longer
+    than ``timeout`` seconds.
+    """
+    if source is None:
+        return None
+    answer: list = []
+
+    def ask():
+        with contextlib.suppress(Exception):  # whatever goes wrong, the usage is unknown
+            used, limit = source()
+            rest = max(0, int(limit) - int(used))
+            answer.append({"used": int(used), "limit": int(limit), "remaining": rest, "has_capacity": int(limit) == 0 or rest > int(limit) * 0.01})
+
+    worker = threading.Thread(target=ask, daemon=True)
+    worker.start()
+    worker.join(timeout)
+    return answer[0] if answer else None
+
+
 def expected_provider(has_key: Column, has_capacity: Column, remaining: Column, total: Column) -> tuple[Column, Column]:
     """Provider of a run, and a warning or null. Unknown capacity (null) counts as enough."""
     exhausted = ~F.coalesce(has_capacity, F.lit(True))
@@ -124,14 +148,20 @@ def expected_provider(has_key: Column, has_capacity: Column, remaining: Column,
 
 
 def plan_providers(items: DataFrame, remaining: int | None, *, has_key: bool = True, order: tuple[str, ...] = ("index",), book: str = "book_id", size: str = "char_count") -> DataFrame:
-    """Adds ``spent`` (characters of a book up to and with an item) and the provider that fits.
+    """Adds ``spent`` (characters of the account up to and with an item) and the provider that fits.
 
-    Tasks share no state, so the moment the quota ends is planned: items go to
-    the first provider while the running sum fits ``remaining``. Unknown
-    remaining (None) puts no bound.
+    Tasks share no state, so the moment the quota ends is planned: books follow
+    each other by identifier, and items go to the first provider while the
+    account's running sum fits ``remaining``. Unknown remaining (None) puts no
+    bound. The sum runs within each book; what the books before it spend comes
+    from their totals, one row a book, not from a window over all items.
     """
     frame = Window.partitionBy(book).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = items.withColumn("spent", F.sum(F.coalesce(size, F.lit(0))).over(frame))
+    totals = items.groupBy(F.col(book).alias("_book")).agg(F.sum(F.coalesce(size, F.lit(0))).alias("_total"))
+    earlier = Window.orderBy("_book").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_book", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    within = items.withColumn("spent", F.sum(F.coalesce(size, F.lit(0))).over(frame))
+    rows = within.join(totals, F.col(book).eqNullSafe(F.col("_book"))).withColumn("spent", F.col("spent") + F.col("_before")).drop("_book", "_before")
     fits = F.lit(True) if remaining is None else F.col("spent") <= F.lit(remaining)
     return rows.withColumn("provider", F.when(F.lit(has_key) & fits, "deepl").otherwise("google"))
 
@@ -203,6 +233,29 @@ def translate_chapter(title: str, content: str, provider: Provider, sleep=time.s
     return done_title, " ".join(out)
 
 
+def translate_text(text: str, provider: Provider, sleep=time.sleep) -> str:
+    """One text without a title."""
+    return translate_chapter("", text, provider, sleep)[1]
+
+
+def translate_book(content: str, chapters: list[tuple[str, str]], translate: Callable[[str, str], tuple[str, str, str]]) -> dict:
+    """A whole book on one machine: ``translate`` gives title, content and used provider of each chapter.
+
+    Without chapters the content goes as one text. The provider is "deepl" if it
+    was used at all. For many books use ``translate_items`` and ``translated_books``.
+    """
+    began = time.monotonic()
+    done = [translate(title, text) for title, text in chapters]
+    single = translate("", content) if not chapters else None
+    used = {name for *_, name in done}
+    return {
+        "content": single[1] if single else "\n\n".join(text for _, text, _ in done),
+        "chapters": [(title, text) for title, text, _ in done],
+        "provider": single[2] if single else "deepl" if "deepl" in used else "google",
+        "stats": {"total_chunks": 0, "total_characters": sum(len(text) for _, text in chapters) if chapters else len(content), "duration_ms": int((time.monotonic() - began) * 1000)},
+    }
+
+
 def translate_items(items: DataFrame, providers: dict[str, Provider], *, fallback_on_error: bool = False, partitions: int | None = None) -> DataFrame:
     """Translate (book_id, index, title, content, provider): adds translated_title, translated_content, used provider, duration_ms.
 

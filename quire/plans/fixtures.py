@@ -134,27 +134,28 @@ PACKAGES_SQL = f"select * from ({values(PACKAGES)}) as p(book_id, base, opf)"
 BOOKS_SQL = """select c_custkey as id, c_mktsegment as user_id, c_name as title, c_nationkey as folder_id, c_acctbal as file_size,
   case when c_custkey % 5 = 0 then null else date '2020-01-01' + cast(c_custkey % 400 as int) end as upload_date,
   case when c_custkey % 7 = 0 then 'translating' when c_custkey % 3 = 0 then 'completed' when c_custkey % 11 = 0 then null else 'none' end as translation_status
-  from customer"""
+  from customer union all select -k, 'BUILDING', 'Unread ' || k, null, 0.0::double, null, 'none' from range(1, 4) as r(k)"""
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as books: segment as user, nation as folder."""
+    """Customers as books: segment as user, nation as folder; and three books that no order names."""
     k = F.col("c_custkey")
     uploaded = F.when(k % 5 != 0, F.date_add(F.lit("2020-01-01").cast("date"), (k % 400).cast("int")))
     status = F.when(k % 7 == 0, "translating").when(k % 3 == 0, "completed").when(k % 11 != 0, "none")
-    return t(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_mktsegment").alias("user_id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("folder_id"), F.col("c_acctbal").alias("file_size"), uploaded.alias("upload_date"), status.alias("translation_status"))
+    rows = t(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_mktsegment").alias("user_id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("folder_id"), F.col("c_acctbal").alias("file_size"), uploaded.alias("upload_date"), status.alias("translation_status"))
+    kinds = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+    return rows.union(spark.createDataFrame([(-n, "BUILDING", f"Unread {n}", None, 0.0, None, "none") for n in (1, 2, 3)], kinds))
 
 
 TRANSLATIONS_SQL = """select o_orderkey as id, o_custkey as epub_file_id, o_orderdate as created_at, o_orderstatus as translation_status,
-  case when o_orderkey % 4 = 0 then null when o_orderkey % 4 = 1 then 'google' else 'deepl' end as provider from orders where o_custkey % 3 <> 0"""
+  case when o_orderkey % 4 = 0 then null when o_orderkey % 4 = 1 then 'google' else 'deepl' end as provider from orders"""
 
 
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as translations; a third of the books has none."""
+    """Orders as translations."""
     k = F.col("o_orderkey")
     provider = F.when(k % 4 == 1, "google").when(k % 4 != 0, "deepl")
-    rows = t(spark, sf_dir, "orders").where("o_custkey % 3 <> 0")
-    return rows.select(k.alias("id"), F.col("o_custkey").alias("epub_file_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("translation_status"), provider.alias("provider"))
+    return t(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_custkey").alias("epub_file_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("translation_status"), provider.alias("provider"))
 
 
 FOLDERS_SQL = "select n_nationkey as id, n_name as name from nation union all select 100, ' empty '"

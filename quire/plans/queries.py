@@ -102,11 +102,12 @@ def reason_counts(spark, sf_dir):
     return C.filter_chapters(X.chapters(spark, sf_dir)).groupBy("filter_reason", "position").agg(F.count("*").alias("n"))
 
 
-@query(f"select source as book_id, doc_id, row_number() over (partition by source order by doc_id) as number_in_book from documents where {SqlOps.trim(Sql('text'))} <> '' and doc_id % 9 <> 0")
+@query(f"select source as book_id, doc_id, row_number() over (partition by source order by doc_id) as number_in_book from documents where {SqlOps.trim(Sql('text'))} <> ''")
 def chapter_numbers(spark, sf_dir):
-    docs = X.t(spark, sf_dir, "documents")
-    blanked = docs.select(F.col("source").alias("book_id"), "doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit(" \n\t")).otherwise(F.col("text")).alias("content"))
-    return C.drop_blank(blanked).select("book_id", "doc_id", F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id")).alias("number_in_book"))
+    """All documents, and blank chapters between them that get no number."""
+    docs = X.t(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", F.col("text").alias("content"))
+    blank = docs.select("book_id", "doc_id", F.lit(" \n\t").alias("content"))
+    return C.drop_blank(docs.union(blank)).select("book_id", "doc_id", F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id")).alias("number_in_book"))
 
 
 @query(_DONE + """, passed as (select book_id, row_number() over (partition by book_id order by chapter_idx) - 1 as index, title, content from classified where filter_reason is null)
@@ -249,9 +250,9 @@ def package_metadata(spark, sf_dir):
 
 
 _MANIFEST = f"""with e as (
-  select book_id, 0 as turn, generate_subscripts(h, 1) as pos, unnest(i) as id, unnest(h) as href from (select book_id, regexp_extract_all(opf, '{C._ID_FIRST}', 1) as i, regexp_extract_all(opf, '{C._ID_FIRST}', 2) as h from ({X.PACKAGES_SQL}))
+  select book_id, 0 as turn, generate_subscripts(h, 1) as pos, unnest(i) as id, unnest(h) as href from (select book_id, regexp_extract_all(opf, '{P.MANIFEST_ID_FIRST}', 1) as i, regexp_extract_all(opf, '{P.MANIFEST_ID_FIRST}', 2) as h from ({X.PACKAGES_SQL}))
   union all
-  select book_id, 1, generate_subscripts(h, 1), unnest(i), unnest(h) from (select book_id, regexp_extract_all(opf, '{C._HREF_FIRST}', 2) as i, regexp_extract_all(opf, '{C._HREF_FIRST}', 1) as h from ({X.PACKAGES_SQL}))),
+  select book_id, 1, generate_subscripts(h, 1), unnest(i), unnest(h) from (select book_id, regexp_extract_all(opf, '{P.MANIFEST_HREF_FIRST}', 2) as i, regexp_extract_all(opf, '{P.MANIFEST_HREF_FIRST}', 1) as h from ({X.PACKAGES_SQL}))),
 manifest as (select book_id, id, arg_max(href, turn * 1000 + pos) as href from e group by book_id, id),
 spine as (select book_id, base, generate_subscripts(r, 1) - 1 as pos, unnest(r) as idref from (select book_id, base, regexp_extract_all(opf, '<itemref[^>]+idref="([^"]+)"[^>]*>', 1) as r from ({X.PACKAGES_SQL})))
 """
@@ -282,10 +283,10 @@ def legacy_provider(spark, sf_dir):
     return T.legacy_provider(X.items(spark, sf_dir))
 
 
-@query(f"""select book_id, "index", char_count, cast(spent as bigint) as spent, case when spent <= 700 then 'deepl' else 'google' end as provider
-from (select book_id, "index", char_count, sum(char_count) over (partition by book_id order by "index" rows unbounded preceding) as spent from ({X.ITEMS_SQL}))""")
+@query(f"""select book_id, "index", char_count, cast(spent as bigint) as spent, case when spent <= 20000 then 'deepl' else 'google' end as provider
+from (select book_id, "index", char_count, sum(char_count) over (order by book_id, "index" rows unbounded preceding) as spent from ({X.ITEMS_SQL}))""")
 def quota_plan(spark, sf_dir):
-    return T.plan_providers(X.items(spark, sf_dir).drop("provider"), 700).select("book_id", "index", "char_count", "spent", "provider")
+    return T.plan_providers(X.items(spark, sf_dir).drop("provider"), 20_000).select("book_id", "index", "char_count", "spent", "provider")
 
 
 @query(f"""with u as (select book_id, cast(sum(char_count) as bigint) as total, book_id % 4 <> 0 as has_key, cast(500000 * (book_id % 3) as bigint) as lim, cast(book_id * 997 % 1000001 as bigint) as used from ({X.ITEMS_SQL}) group by book_id),
@@ -327,7 +328,7 @@ def chunk_stats(spark, sf_dir):
 @query()
 def translated_books(spark, sf_dir):
     """Conversations through the deterministic provider, put together again per book."""
-    items = T.plan_providers(X.items(spark, sf_dir).withColumn("title", F.concat(F.lit("Turn "), "index")), 700)
+    items = T.plan_providers(X.items(spark, sf_dir).withColumn("title", F.concat(F.lit("Turn "), "index")), 20_000)
     done = T.translate_items(items, {"deepl": T.UpperCase("deepl"), "google": T.UpperCase("google", 3000)})
     return T.translated_books(done).select("book_id", F.size("chapters").alias("n_chapters"), _digest(F.col("content")).alias("digest"), "provider")
 
@@ -458,21 +459,22 @@ def folders_left(spark, sf_dir):
     return K.delete_folder(f, X.books(spark, sf_dir), f.where("id % 5 = 0 and id < 100"))[0].select("id", "name")
 
 
-@query("select c_custkey as id from customer where c_custkey % 2 = 0 union select o_custkey from orders")
+@query("select c_custkey as id from customer union select o_orderkey from orders")
 def inserted_users(spark, sf_dir):
-    users = X.t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
-    return K.insert_missing_users(users, X.t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+    """Customers are known; the numbers of orders come in, known and new ones."""
+    users = X.t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return K.insert_missing_users(users, X.t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
 
 
-@query(f"select id, {K.download_name(SqlOps, Sql('title'), True)} as name from (select page_id as id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages)")
+@query(f"select id, name, url_encode(name) as encoded from (select id, {K.download_name(SqlOps, Sql('title'), True)} as name from (select page_id as id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages))")
 def download_names(spark, sf_dir):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return X.t(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), title.alias("title")).select("id", K.download_name(S, F.col("title"), True).alias("name"))
+    return X.t(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), title.alias("title")).select("id", K.download_name(S, F.col("title"), True).alias("name")).withColumn("encoded", K.encoded_name(F.col("name")))
 
 
 @query(f"""select id, cast(to_json(struct_pack(id := id, title := title, folder_id := folder_id)) as varchar) as body from ({X.BOOKS_SQL})""")
 def json_rows(spark, sf_dir):
-    return X.books(spark, sf_dir).select("id", F.to_json(F.struct("id", "title", "folder_id")).alias("body"))
+    return X.books(spark, sf_dir).select("id", F.to_json(F.struct("id", "title", "folder_id"), {"ignoreNullFields": "false"}).alias("body"))
 
 
 @query(f"""with b as (select conv_id, case when conv_id % 3 = 0 then null else string_agg(text, chr(10) || chr(10) order by turn) end as joined, string_agg(text, ' ' order by turn) as flat from conversations group by conv_id)
@@ -490,5 +492,77 @@ def export_selection(spark, sf_dir):
 def rendered_pages(spark, sf_dir):
     """Books as text pages; layout is sequential, tested on small documents."""
     rows = E.export_chapters(X.items(spark, sf_dir).select("book_id", F.col("index").alias("chapter_idx"), F.concat(F.lit("Turn "), "index").alias("title"), "content"))
-    books = C.nest_chapters(rows).select("book_id", F.lit("A talk").alias("title"), F.lit("Someone").alias("author"), "chapters")
+    books = C.nest_chapters(rows).select("book_id", F.lit("A talk").alias("title"), F.lit("Someone").alias("author"), F.lit("en").alias("language"), "chapters")
     return E.render(books, form="text").select("book_id", "n_pages", _digest(F.col("document")).alias("digest"))
+
+
+# ------------------------------------------------------------------ container tables, requests and further changes
+
+_ENTRY = f"'d' || page_id || '/' || {X._list(X.PATHS)}[page_id % {len(X.PATHS)} + 1]"
+
+
+@query(f"select book_id, cast(row_number() over (partition by book_id order by path) - 1 as int) as pos, path from (select page_id % 10 as book_id, {_ENTRY} as path from pages) where regexp_matches(path, '\\.(x?html|htm)$') and not contains(path, 'nav.') and not contains(path, 'toc.') and {skip_reason(SqlOps, Sql('path'))} is null")
+def fallback_paths(spark, sf_dir):
+    """Pages as archive entries with the names of the file rule."""
+    name = F.element_at(F.array(*[F.lit(p) for p in X.PATHS]), (F.col("page_id") % len(X.PATHS) + 1).cast("int"))
+    entries = X.t(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("book_id"), F.concat(F.lit("d"), F.col("page_id").cast("string"), F.lit("/"), name).alias("path"))
+    return C.fallback_paths(entries)
+
+
+@query("select page_id as pos, md5(html) as digest from pages")
+def joined_entries(spark, sf_dir):
+    """Every page found under its path, odd ones by the percent-encoded one; a path without entry per page is gone."""
+    pages = X.t(spark, sf_dir, "pages")
+    own = F.concat(F.lit("ä b/"), F.col("page_id").cast("string"), F.lit(".xhtml"))
+    coded = F.concat(F.lit("%C3%A4%20b/"), F.col("page_id").cast("string"), F.lit(".xhtml"))
+    paths = pages.select(F.lit("b").alias("book_id"), F.col("page_id").alias("pos"), own.alias("path"))
+    lost = pages.select(F.lit("b").alias("book_id"), F.col("page_id").alias("pos"), F.concat(F.lit("no/"), own).alias("path"))
+    entries = pages.select(F.lit("b").alias("book_id"), F.when(F.col("page_id") % 2 == 0, own).otherwise(coded).alias("path"), "html")
+    return C.join_entries(paths.union(lost), entries).select("pos", _digest(F.col("html")).alias("digest"))
+
+
+@query(
+    classify_sql("select doc_id as book_id, 0 as chapter_idx, 'Chapter 1' as title, text as content from documents where doc_id % 3 = 2")
+    + """select doc_id as book_id, cast(0 as bigint) as "index", case when doc_id % 3 = 1 then 'Stored' when c.book_id is not null then 'Chapter 1' else 'Full content' end as title,
+  md5(case when doc_id % 3 = 1 or c.book_id is not null then text else 'whole ' || text end) as digest
+from documents left join classified c on c.book_id = doc_id and c.filter_reason is null"""
+)
+def work_item_branches(spark, sf_dir):
+    """Each document is a book: one without chapters, one whose chapters are all filtered but for the stored ones, one with a chapter to be classified."""
+    k, kind = F.col("doc_id") % 3, "array<struct<title:string,content:string>>"
+    one = lambda title: F.array(F.struct(F.lit(title).alias("title"), F.col("text").alias("content")))
+    every = F.when(k == 1, one("Copyright")).when(k == 2, one("Chapter 1")).otherwise(F.lit(None).cast(kind))
+    books = X.t(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), every.alias("all_chapters"), F.when(k == 1, one("Stored")).otherwise(F.array().cast(kind)).alias("chapters"), F.lit("").alias("title"), F.concat(F.lit("whole "), "text").alias("content"))
+    return C.work_items(books).select("book_id", F.col("index").cast("bigint").alias("index"), "title", _digest(F.col("content")).alias("digest"))
+
+
+@query(f"select doc_id from documents where {_OWN} <> '' and text <> ''")
+def valid_requests(spark, sf_dir):
+    own = F.element_at(F.array(*[F.lit(x) for x in X.TITLES]), (F.col("doc_id") % len(X.TITLES) + 1).cast("int"))
+    body = F.parse_json(F.to_json(F.struct(F.col("doc_id").alias("chapterIndex"), own.alias("title"), F.col("text").alias("content"))))
+    return K.valid_requests(X.t(spark, sf_dir, "documents").select("doc_id", body.alias("body"))).select("doc_id")
+
+
+@query(f"""select book_id as epub_file_id, md5(string_agg(content, chr(10) || chr(10) order by "index")) as digest, count(*) as n_chapters,
+  case when count(distinct provider) > 1 then 'mixed' when count(distinct provider) = 1 then max(provider) else 'deepl' end as provider, 'completed' as translation_status, 'de' as target_language from ({X.ITEMS_SQL}) group by book_id""")
+def stored_translations(spark, sf_dir):
+    rows = X.items(spark, sf_dir).withColumnRenamed("index", "chapter_idx").withColumn("title", F.lit("t"))
+    chapters = C.nest_chapters(rows)
+    used = rows.groupBy("book_id").agg(C.in_order(F.col("provider")).alias("providers"))
+    done = C.joined_content(rows, trim=False).join(chapters, "book_id").join(used, "book_id").withColumns({"user_id": F.lit("u"), "original": F.lit(None).cast("string")})
+    stored = K.new_translations(done)
+    inside = lambda path, kind: F.try_variant_get("translated_content", path, kind)
+    n = F.size(inside("$.chapters", "array<struct<title:string,content:string>>")).cast("bigint")
+    return stored.select("epub_file_id", _digest(inside("$.translated", "string")).alias("digest"), n.alias("n_chapters"), "provider", "translation_status", "target_language")
+
+
+@query(f"select id from ({X.BOOKS_SQL}) where folder_id is null")
+def books_outside_folders(spark, sf_dir):
+    return K.in_folder(X.books(spark, sf_dir), None).select("id")
+
+
+@query(f"select id, case when id = 3 then 'New' else name end as name from ({X.FOLDERS_SQL}) union all select null, 'Added'")
+def changed_folders(spark, sf_dir):
+    f = X.folders(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.lit("u").alias("user_id"), "name", F.lit(None).cast("timestamp").alias("created_at"))
+    added = K.add_folder(K.rename_folder(f, "3", "u", " New "), "u", "\tAdded ")
+    return added.select(F.expr("try_cast(id as int)").alias("id"), "name")
