@@ -22,6 +22,8 @@ MAX_DOCS = 3000
 UNKNOWN = "und"
 #: Documents whose own ranking is further from every profile than this are no known language (1: nothing shared).
 MAX_DISTANCE = 0.9
+#: Longer ones (n-grams in their ranking) are held to the distances of the labelled documents: a quantile of these, and a margin.
+ENOUGH, QUANTILE, MARGIN = 50, 0.999, 0.2
 
 _LETTERS: list[np.ndarray] = []
 
@@ -80,6 +82,18 @@ class Profiles:
         return out
 
 
+def _labelled(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: int) -> DataFrame | None:
+    """About ``max_docs`` labelled documents of each language (lang, text); None without any."""
+    rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    counts = rows.groupBy("lang").count().collect()
+    if not counts:
+        return None
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, max_docs * 1_000_000 // r["count"] + 1)) for r in counts], "lang string, share long")
+    # one row a language
+    rows = lookup_join(rows, share, "lang", "inner", len(counts))
+    return rows.where(F.pmod(F.xxhash64("i", "lang"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
+
+
 def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, size: int = PROFILE, max_docs: int = MAX_DOCS) -> Profiles:
     """Profiles from labelled documents; rows with a null label or text are left out.
 
@@ -87,13 +101,9 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     the identifier. Every language of the table is learned; the driver and the
     broadcast hold ``size`` n-grams of each, about 5 KB a language.
     """
-    rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().collect()
-    if not counts:
+    rows = _labelled(docs, text_col, lang_col, id_col, max_docs)
+    if rows is None:
         return Profiles({}, size)
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, max_docs * 1_000_000 // r["count"] + 1)) for r in counts], "lang string, share long")
-    # one row a language
-    rows = lookup_join(rows, share, "lang", "inner", len(counts)).where(F.pmod(F.xxhash64("i", "lang"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
 
     def count(batches):
         held: dict[str, list] = {}
@@ -123,24 +133,25 @@ def _sum(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: str = "language", *, sharpness: float = 25.0) -> DataFrame:
-    """Append ``out``: struct of lang, score (0 to 1) and distance (to the chosen profile, 0 to 1).
+    """Append ``out``: struct of lang, score (0 to 1), distance (to the chosen profile, 0 to 1) and n_grams (in the document's ranking).
 
-    Null texts and texts without a letter give ``und``, score 0 and distance 1.
+    Null texts and texts without a letter give ``und``, score 0, distance 1 and no n-grams.
     The score compares the distances to all languages; equal distances go to
     the first language by name. Other columns pass unchanged. No shuffle; the
     broadcast holds the profiles only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("distance", pa.float64())])
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("distance", pa.float64()), ("n_grams", pa.int32())])
 
-    @F.arrow_udf("lang string, score double, distance double")
+    @F.arrow_udf("lang string, score double, distance double, n_grams int")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p: Profiles = shared.value
         for texts in batches:
-            langs, scores, distances = [], [], []
+            langs, scores, distances, sizes = [], [], [], []
             for block in text_blocks(texts):
                 for text in block.to_pylist():
                     keys, counts = grams(text) if text else ((), ())
+                    sizes.append(min(len(keys), p.size))
                     if not len(keys) or not p.languages:
                         langs.append(UNKNOWN)
                         scores.append(0.0)
@@ -151,7 +162,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: s
                     langs.append(p.languages[best])
                     scores.append(float(1 / np.exp(-sharpness * (d - d[best])).sum()))
                     distances.append(float(d[best]))
-            yield pa.StructArray.from_arrays([pa.array(langs), pa.array(scores, pa.float64()), pa.array(distances, pa.float64())], fields=list(kind)) if langs else pa.array([], kind)
+            yield pa.StructArray.from_arrays([pa.array(langs), pa.array(scores, pa.float64()), pa.array(distances, pa.float64()), pa.array(sizes, pa.int32())], fields=list(kind)) if langs else pa.array([], kind)
 
     return docs.withColumn(out, run(F.col(text_col)))
 
@@ -170,10 +181,25 @@ def op7_language_id(spark, sf_dir):
     return found.select("doc_id", out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.distance")
 
 
+def distance_limit(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, max_docs: int = MAX_DOCS) -> float:
+    """Distance beyond which a document of ``ENOUGH`` n-grams is no known language: from the labelled documents that the profiles were learned from."""
+    rows = _labelled(docs, text_col, lang_col, id_col, max_docs)
+    if rows is None:
+        return MAX_DISTANCE
+    near = identify(rows, profiles, out="found").where(F.col("found.n_grams") >= ENOUGH)
+    high = near.agg(F.percentile("found.distance", F.lit(QUANTILE))).first()[0]
+    return MAX_DISTANCE if high is None else min(MAX_DISTANCE, high + MARGIN)
+
+
 def keep_known_languages(spark, docs, sf_dir):
-    """Pipeline stage: drop documents without letters and those far from every profile."""
-    out = held_out(F.col("doc_id"), 4, 2)
-    profiles = learn_profiles(docs.where(~out & F.col("doc_id").isNotNull()))
+    """Pipeline stage: drop documents without letters and those far from every profile.
+
+    Far is ``MAX_DISTANCE`` for short documents, for others ``distance_limit``.
+    """
+    labelled = docs.where(~held_out(F.col("doc_id"), 4, 2) & F.col("doc_id").isNotNull())
+    profiles = learn_profiles(labelled)
+    limit = distance_limit(labelled, profiles)
     own = spare_name(docs, "language")
     found = identify(docs, profiles, out=own)
-    return found.where((F.col(f"{own}.lang") != UNKNOWN) & (F.col(f"{own}.distance") <= MAX_DISTANCE)).drop(own)
+    far = F.when(F.col(f"{own}.n_grams") < ENOUGH, MAX_DISTANCE).otherwise(limit)
+    return found.where((F.col(f"{own}.lang") != UNKNOWN) & (F.col(f"{own}.distance") <= far)).drop(own)

@@ -28,7 +28,10 @@ def test_stages(spark, odd_dir, documents):
 def test_decisions(spark, odd_dir, documents):
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
     ids = lambda df: sorted(str(r.doc_id) for r in df.select("doc_id").collect())
-    known = language_id.op7_language_id(spark, odd_dir).where(f"lang_pred <> 'und' and distance <= {language_id.MAX_DISTANCE}")
+    profiles = language_id.learn_profiles(docs.where("doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2"))
+    limit = language_id.distance_limit(docs.where("doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2"), profiles)
+    assert 0.5 < limit < language_id.MAX_DISTANCE
+    known = language_id.identify(docs, profiles, out="found").where(f"found.lang <> 'und' and found.distance <= if(found.n_grams < {language_id.ENOUGH}, {language_id.MAX_DISTANCE}, {limit})")
     assert ids(language_id.keep_known_languages(spark, docs, odd_dir)) == ids(known)
     assert ids(toxicity.drop_toxic(spark, docs, odd_dir)) == ids(toxicity.op3_toxicity_neighbours(spark, odd_dir).where("score < 0.5"))
     assert ids(near_duplicates.keep_one_of_each(spark, docs, odd_dir)) == ids(near_duplicates.op6_near_duplicates(spark, odd_dir).where("kept"))
