@@ -165,3 +165,27 @@ def test_every_language_is_learned(spark):
     docs = spark.createDataFrame(rows + [(10_000 + k, "common words", "zz") for k in range(50)], "doc_id long, text string, lang string")
     profiles = L.learn_profiles(docs)
     assert set(profiles.languages) == {*names, "zz"}
+
+
+def test_unlearned_languages_go(spark, sf_dir):
+    """Two languages in Latin letters that no label names, and letters without any; the corpus itself stays."""
+    planted = [
+        (10**9, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. " * 3),
+        (10**9 + 1, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 3),
+        (10**9 + 2, "xq zzkv wqpj kkx vvzq jjqx pqz xkcd qqzx " * 10),
+    ]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    both = docs.unionByName(spark.createDataFrame([(*r, None) for r in planted], "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in L.keep_known_languages(spark, both, sf_dir).select("doc_id").collect()}
+    assert not kept & {i for i, _ in planted} and len(kept) >= docs.where("text rlike '[a-zA-Z]'").count()
+
+
+def test_toxicity_finds_and_ranks(spark):
+    """Held-out labelled documents of sf0.01: answering 0 for all would find none and rank by chance."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = T.op3_toxicity_neighbours(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = ([r for r in rows if r.toxic == y] for y in (1, 0))
+    ranked = sum((a.score > b.score) + (a.score == b.score) / 2 for a in toxic for b in clean) / (len(toxic) * len(clean))
+    found, wrong = sum(r.predicted for r in toxic), sum(r.predicted for r in clean)
+    assert len(toxic) > 4 and ranked > 0.8 and found / len(toxic) >= 0.6 and wrong / len(clean) < 0.05

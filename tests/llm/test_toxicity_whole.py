@@ -25,8 +25,21 @@ def test_cosines_of_whole_texts(spark, sf_dir):
     assert set(index.terms) == inside
     seen, n = Counter(w for c in counts.values() for w in c), len(docs)
 
+    toxic = {}
+    for r in labels.where("toxic is not null").collect():
+        toxic[r.doc_id] = max(r.toxic, toxic.get(r.doc_id, 0))
+    # equal examples count once
+    distinct = {(toxic[i], frozenset(counts[i].items())) for i in toxic}
+    per_label = [Counter(w for y, c in distinct if y == own for w, _ in c) for own in (0, 1)]
+    sizes = [max(1, sum(y == own for y, _ in distinct)) for own in (0, 1)]
+
+    def relevance(w):
+        return math.log2(2 + max(0, per_label[1][w] - 1) / sizes[1] / ((per_label[0][w] + 1) / sizes[0])) ** 2 if w in inside else 1.0
+
+    assert max(map(relevance, inside)) > 2 and min(map(relevance, inside)) == 1.0
+
     def vector(c):
-        v = {w: (1 + math.log(k)) * (math.log((1 + n) / (1 + (seen[w] if w in inside else 1))) + 1) for w, k in c.items()}
+        v = {w: (1 + math.log(k)) * (math.log((1 + n) / (1 + (seen[w] if w in inside else 1))) + 1) * relevance(w) for w, k in c.items()}
         size = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / size for w, x in v.items()}
 
