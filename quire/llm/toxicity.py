@@ -33,6 +33,8 @@ from .language_id import held_out
 MAX_EXAMPLES, NEIGHBOURS, CALIBRATION, BLOCK = 20_000, 25, 4000, 1024
 #: Words kept as matrices, those in most examples; the others are postings. Only speed depends on it.
 FREQUENT = 512
+#: Texts and bytes that are cut into words at once, about.
+TEXT_BLOCK = (2000, 6 << 20)
 #: Queries in a batch; more than single precision may lose of a cosine.
 BATCH, SLACK = 256, 1e-4
 #: Documents scored this or higher are dropped by the pipeline.
@@ -115,6 +117,12 @@ class Rows:
         flat = lambda k: np.concatenate([np.zeros(0, np.int32), *(np.asarray(x[k], np.int32) for x in examples)])
         return cls([x[0] for x in examples], np.array([x[1] for x in examples], np.float64), np.cumsum([0, *(len(x[2]) for x in examples)]), flat(2), flat(3))
 
+    def taken(self) -> Rows:
+        """The same rows; these ones are left empty."""
+        rows = Rows(self.ids, self.labels, self.begin, self.words, self.counts)
+        self.words = self.counts = np.zeros(0, np.int32)
+        return rows
+
     def order(self) -> np.ndarray:
         """Places of the rows that have words, by identifier (nulls last) and content."""
         full = np.flatnonzero(np.diff(self.begin)).tolist()
@@ -154,13 +162,14 @@ class Index:
 
     ``idf`` is that of ``terms``; ``unseen`` that of a word in no example, which
     counts in the length of a document's vector only. ``examples`` are rows
-    (identifier, label, terms, counts), or ``Rows`` of many at once.
+    (identifier, label, terms, counts), or ``Rows`` of many at once, which are
+    emptied. It is built a few rows at a time: the driver does it.
     """
 
     def __init__(self, terms, idf: np.ndarray, examples, k: int = NEIGHBOURS, block: int = BLOCK, unseen: float = 1.0, frequent: int = FREQUENT):
         self.vocabulary = terms if isinstance(terms, pa.Array) else pa.array(terms, pa.string())
         self.idf, self.k, self.block, self.unseen = idf, k, block, unseen
-        rows = examples if isinstance(examples, Rows) else Rows.of(examples)
+        rows = examples.taken() if isinstance(examples, Rows) else Rows.of(examples)
         self.base = (float(rows.labels.sum()) + 1) / (len(rows.ids) + 2)
         empty = rows.labels[np.diff(rows.begin) == 0]
         self.blank = (float(empty.sum()) + self.base) / (len(empty) + 1)
@@ -169,6 +178,8 @@ class Index:
         self.often = np.sort(np.argsort(-np.bincount(rows.words, minlength=len(self.vocabulary)), kind="stable")[:frequent])
         rows = rows.take(self._alike(rows))
         self.ids, self.labels, self.begin, self.words, self.counts = rows.ids, rows.labels, rows.begin, rows.words, rows.counts
+        if self.counts.max(initial=0) < 1 << 16:
+            self.counts = self.counts.astype(np.uint16)
         self.curve, self.weighing = (np.array([0.0, 1.0]), np.array([0.0, 1.0])), (k, 2)
         self._derive()
 
@@ -176,27 +187,41 @@ class Index:
     def terms(self) -> list[str]:
         return self.vocabulary.to_pylist()
 
-    def _weights(self, begin: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Weights of all examples' words, each vector of length 1."""
-        out = np.empty(len(words))
-        for at in range(0, len(begin) - 1, 512):  # a few rows at a time, so that no other array is as long
-            cut = begin[at : at + 513]
-            own = slice(cut[0], cut[-1])
-            w = (1 + np.log(counts[own])) * self.idf[words[own]]
-            size = np.sqrt(np.add.reduceat(w * w, cut[:-1] - cut[0]))
-            out[own] = w / np.repeat(size, np.diff(cut))
-        return out
+    def _weights(self, begin: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of some rows' words, each vector of length 1, and the lengths they had. ``begin`` cuts the rows and may start anywhere."""
+        w = (1 + np.log(counts.astype(np.float64))) * self.idf[words]
+        size = np.sqrt(np.add.reduceat(w * w, begin[:-1] - begin[0])) if len(w) else np.zeros(0)
+        return w / np.repeat(size, np.diff(begin)), size
+
+    def vector(self, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of an example and their weights."""
+        own = slice(self.begin[p], self.begin[p + 1])
+        return self.words[own], (1 + np.log(self.counts[own].astype(np.float64))) * self.idf[self.words[own]] / self.size[p]
+
+    def _few(self, begin: np.ndarray):
+        """A block of rows at a time: the first one and their cuts, so that nothing else is as long as the examples."""
+        for at in range(0, len(begin) - 1, self.block):
+            yield at, begin[at : at + self.block + 1]
+
+    def _slots(self) -> np.ndarray:
+        """Row in the matrices of each frequent word, -1 for the others."""
+        slot = np.full(len(self.vocabulary), -1, np.int32)
+        slot[self.often] = np.arange(len(self.often))
+        return slot
 
     def _alike(self, rows: Rows, groups: int = 16) -> np.ndarray:
         """Order of the examples by rough groups (spherical k-means on the frequent words), near groups next to each other."""
         n = len(rows.ids)
-        slot = np.full(len(self.vocabulary), -1, np.int32)
-        slot[self.often] = np.arange(len(self.often))
-        own = slot[rows.words]
-        at = np.flatnonzero(own >= 0)
+        slot = self._slots()
         points = np.zeros((n, len(self.often)), np.float32)
-        points[np.repeat(np.arange(n), np.diff(rows.begin))[at], own[at]] = self._weights(rows.begin, rows.words, rows.counts)[at]
-        points /= np.maximum(np.sqrt(np.einsum("ij,ij->i", points, points))[:, None], 1e-9)
+        for first, cut in self._few(rows.begin):
+            words, counts = rows.words[cut[0] : cut[-1]], rows.counts[cut[0] : cut[-1]]
+            own = slot[words]
+            at = np.flatnonzero(own >= 0)
+            owner = np.repeat(np.arange(first, first + len(cut) - 1), np.diff(cut))
+            points[owner[at], own[at]] = self._weights(cut, words, counts)[0][at]
+            norm = np.sqrt(np.einsum("ij,ij->i", points[first : first + len(cut) - 1], points[first : first + len(cut) - 1]))
+            points[first : first + len(cut) - 1] /= np.maximum(norm, 1e-9)[:, None]
         centers = points[:: max(1, -(-n // groups))].copy()
         own = np.zeros(n, np.int64)
         for _ in range(6 if n else 0):
@@ -216,34 +241,39 @@ class Index:
     def _derive(self) -> None:
         """Weights, postings, matrices and bounds, from the examples' words and counts."""
         n, block = len(self.ids), self.block
-        self.weights = self._weights(self.begin, self.words, self.counts)
-        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begin))
-        self.slot = np.full(len(self.vocabulary), -1, np.int32)
-        self.slot[self.often] = np.arange(len(self.often))
-        slot = self.slot[self.words]
-        often = np.flatnonzero(slot >= 0)
-        self.blocks = []
-        self.most = np.zeros((len(self.often), -(-n // block)), np.float32)
-        cut = np.searchsorted(owner[often], np.arange(0, n + block, block))
-        for b in range(self.most.shape[1]):
-            at = often[cut[b] : cut[b + 1]]
+        self.slot = self._slots()
+        self.size = np.empty(n)
+        self.blocks, self.most = [], np.zeros((len(self.often), -(-n // block)), np.float32)
+        size = np.bincount(self.words, minlength=len(self.vocabulary))
+        size[self.often] = 0
+        self.posted = np.concatenate([[0], np.cumsum(size)])
+        posts, after = np.empty(int(self.posted[-1]), _POST), self.posted[:-1].copy()
+        for first, cut in self._few(self.begin):
+            own = slice(int(cut[0]), int(cut[-1]))
+            words = self.words[own]
+            weights, self.size[first : first + len(cut) - 1] = self._weights(cut, words, self.counts[own])
+            owner = np.repeat(np.arange(first, first + len(cut) - 1), np.diff(cut))
+            slot = self.slot[words]
+            at = np.flatnonzero(slot >= 0)
             dense = np.zeros((len(self.often), block), np.float32)
-            dense[slot[at], owner[at] - b * block] = self.weights[at]
-            self.most[:, b] = dense.max(axis=1)
+            dense[slot[at], owner[at] - first] = weights[at]
+            self.most[:, first // block] = dense.max(axis=1, initial=0)
             self.blocks.append(dense)
-        rare = np.flatnonzero(slot < 0)
-        del often, slot
-        rare = rare[np.argsort(self.words[rare], kind="stable")]
-        self.posted = np.concatenate([[0], np.cumsum(np.bincount(self.words[rare], minlength=len(self.vocabulary)))])
-        posts = np.empty(len(rare), _POST)
-        posts["at"], posts["weight"] = owner[rare], self.weights[rare]
+            # the other words' postings go behind those of the rows before
+            at = np.flatnonzero(slot < 0)
+            at = at[np.argsort(words[at], kind="stable")]
+            word = words[at]
+            found, begin, count = np.unique(word, return_index=True, return_counts=True)
+            place = after[word] + np.arange(len(word)) - np.repeat(begin, count)
+            posts["at"][place], posts["weight"][place] = owner[at], weights[at]
+            after[found] += count
         # gathered as plain numbers, which is faster
         self.posts = posts.view(np.int64)
         self._query = np.zeros(len(self.vocabulary))
         self._known: dict[bytes, tuple] = {}
 
     def __getstate__(self) -> dict:
-        derived = ("weights", "slot", "posted", "posts", "blocks", "most", "_query", "_known")
+        derived = ("size", "slot", "posted", "posts", "blocks", "most", "_query", "_known")
         return {k: v for k, v in self.__dict__.items() if k not in derived}
 
     def __setstate__(self, state: dict) -> None:
@@ -296,7 +326,9 @@ class Index:
             self._query[terms] = weights
             begin, size = self.begin[places], self.begin[places + 1] - self.begin[places]
             own = _ranges(begin, size)
-            sims = np.add.reduceat(self._query[self.words[own]] * self.weights[own], np.cumsum(size) - size) if len(places) else np.zeros(0)
+            word = self.words[own]
+            weight = (1 + np.log(self.counts[own].astype(np.float64))) * self.idf[word] / np.repeat(self.size[places], size)
+            sims = np.add.reduceat(self._query[word] * weight, np.cumsum(size) - size) if len(places) else np.zeros(0)
             self._query[terms] = 0.0
             order = np.lexsort((places, -np.round(sims, 9)))[:k]
             places, sims = places[order], sims[order]
@@ -342,8 +374,7 @@ class Index:
         chosen = range(0, n, max(1, -(-n // limit)))
         for at in range(0, len(chosen), BATCH):
             part = chosen[at : at + BATCH]
-            own = [slice(self.begin[p], self.begin[p + 1]) for p in part]
-            for p, (places, sims) in zip(part, self.nearest_of_each([(self.words[x], self.weights[x]) for x in own], self.k + 1), strict=True):
+            for p, (places, sims) in zip(part, self.nearest_of_each([self.vector(p) for p in part], self.k + 1), strict=True):
                 others = places != p
                 near.append((places[others][: self.k], sims[others][: self.k]))
                 labels.append(self.labels[p])
@@ -410,7 +441,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         size = len(shared.value)
         seen, n = np.zeros(size, np.int64), 0
         for batch in batches:
-            for texts in text_blocks(batch.column(0)):
+            for texts in text_blocks(batch.column(0), *TEXT_BLOCK):
                 term = term_counts(texts, shared.value)[1]
                 seen += np.bincount(term[term < size], minlength=size)
                 n += len(texts)
@@ -433,15 +464,27 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
     packed = sample.select(F.col("i").cast("bigint").alias("i"), "y", "t").mapInArrow(vectors, "i long, y long, terms binary, counts binary").toArrow()
     size = pc.binary_length(packed.column(2)).to_numpy().astype(np.int64) // 4
-    flat = [np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(b"".join(x.to_pylist()), np.int32) for x in packed.column(c).chunks)]) for c in (2, 3)]
-    examples = Rows(packed.column(0).to_pylist(), packed.column(1).to_numpy().astype(np.float64), np.concatenate([[0], np.cumsum(size)]), *flat)
-    del packed, flat, found
+    examples = Rows(packed.column(0).to_pylist(), packed.column(1).to_numpy().astype(np.float64), np.concatenate([[0], np.cumsum(size)]), *(_numbers(packed.column(c)) for c in (2, 3)))
+    del packed, found
+    shared.unpersist()
+    pa.default_memory_pool().release_unused()
     idf *= relevance(examples, len(terms))
     index = Index(terms, idf, examples, neighbours, unseen=float(np.log((1 + total) / 2) + 1) if total else 1.0)
     index.calibrate(calibration)
     return index
 
 
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """The values of a binary column, one after the other, as 4-byte numbers."""
+    parts = [np.zeros(0, np.int32)]
+    for x in column.chunks:
+        offsets, data = x.buffers()[1:]
+        if len(x) and data is not None:
+            cut = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(x.type) else np.int32)[x.offset : x.offset + len(x) + 1]
+            parts.append(np.frombuffer(data, np.uint8)[cut[0] : cut[-1]].view(np.int32))
+    return np.concatenate(parts)
+
+
 _KIND = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])))])
 
 
@@ -458,7 +501,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", out: str = "tox
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own: Index = shared.value
         for texts in batches:
-            for block in text_blocks(texts):
+            for block in text_blocks(texts, *TEXT_BLOCK):
                 row, term, n = term_counts(block, own.vocabulary)
                 cut = np.searchsorted(row, np.arange(len(block) + 1))
                 found = own.score_each([(term[s:e], n[s:e]) for s, e in zip(cut, cut[1:], strict=False)])
