@@ -34,7 +34,7 @@ MAX_EXAMPLES, NEIGHBOURS, CALIBRATION, BLOCK = 20_000, 25, 4000, 1024
 #: Words kept as matrices, those in most examples; the others are postings. Only speed depends on it.
 FREQUENT = 512
 #: Texts and bytes that are cut into words at once, about.
-TEXT_BLOCK = (2000, 6 << 20)
+TEXT_BLOCK = (3000, 12 << 20)
 #: Queries in a batch; more than single precision may lose of a cosine.
 BATCH, SLACK = 256, 1e-4
 #: Documents scored this or higher are dropped by the pipeline.
@@ -56,23 +56,25 @@ def term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarra
     """
     offsets, places, units = arrow_units(texts)
     first = len(terms)
-    own = pc.index_in(units, value_set=terms)
-    missing = own.is_null()
-    trimmed = pc.utf8_trim(units.filter(missing), _AROUND)
-    found = pc.index_in(trimmed, value_set=terms)
-    words = [_WORD.findall(u) for u in trimmed.filter(found.is_null()).to_pylist()]
+    # a piece that is a word is its own trimmed form, so one look-up finds both
+    trimmed = pc.utf8_trim(units, _AROUND)
+    own = pc.index_in(trimmed, value_set=terms)
+    unknown = own.is_null()
+    words = [_WORD.findall(u) for u in trimmed.filter(unknown).to_pylist()]
+    unknown = unknown.to_numpy(zero_copy_only=False)
     coded = pa.array([w for x in words for w in x], pa.string()).dictionary_encode()
-    number = pc.index_in(coded.dictionary, value_set=terms).to_numpy(zero_copy_only=False)
-    number = np.where(np.isnan(number), first + np.arange(len(number)), number).astype(np.int64)
+    number = first + np.arange(len(coded.dictionary))
+    # the terms look for themselves among the few words, which need the smaller hash table
+    places_of = pc.index_in(terms, value_set=coded.dictionary).to_numpy(zero_copy_only=False) if len(number) else np.zeros(0)
+    met = np.flatnonzero(~np.isnan(places_of.astype(np.float64)))
+    number[places_of[met].astype(np.int64)] = met
     # per piece: its number of words and where they begin in ``flat``
-    size, left = np.ones(len(units), np.int64), np.flatnonzero(missing.to_numpy(zero_copy_only=False))
-    unknown = found.is_null().to_numpy(zero_copy_only=False)
-    size[left[unknown]] = np.fromiter(map(len, words), np.int64, len(words))
+    size = np.ones(len(units), np.int64)
+    size[unknown] = np.fromiter(map(len, words), np.int64, len(words))
     begin = np.cumsum(size) - size
     flat = np.empty(int(size.sum()), np.int64)
-    flat[begin[~missing.to_numpy(zero_copy_only=False)]] = own.drop_null().to_numpy()
-    flat[begin[left[~unknown]]] = found.drop_null().to_numpy()
-    flat[_ranges(begin[left[unknown]], size[left[unknown]])] = number[coded.indices.to_numpy()]
+    flat[begin[~unknown]] = own.drop_null().to_numpy()
+    flat[_ranges(begin[unknown], size[unknown])] = number[coded.indices.to_numpy()]
     at = np.flatnonzero(size[places])
     row = np.searchsorted(offsets, at, "right") - 1
     width = size[places[at]]
@@ -187,16 +189,16 @@ class Index:
     def terms(self) -> list[str]:
         return self.vocabulary.to_pylist()
 
-    def _weights(self, begin: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of some rows' words, each vector of length 1, and the lengths they had. ``begin`` cuts the rows and may start anywhere."""
+    def _weights(self, begin: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of some rows' words, each vector of length 1. ``begin`` cuts the rows and may start anywhere."""
         w = (1 + np.log(counts.astype(np.float64))) * self.idf[words]
         size = np.sqrt(np.add.reduceat(w * w, begin[:-1] - begin[0])) if len(w) else np.zeros(0)
-        return w / np.repeat(size, np.diff(begin)), size
+        return w / np.repeat(size, np.diff(begin))
 
     def vector(self, p: int) -> tuple[np.ndarray, np.ndarray]:
         """Words of an example and their weights."""
         own = slice(self.begin[p], self.begin[p + 1])
-        return self.words[own], (1 + np.log(self.counts[own].astype(np.float64))) * self.idf[self.words[own]] / self.size[p]
+        return self.words[own], self.weights[own]
 
     def _few(self, begin: np.ndarray):
         """A block of rows at a time: the first one and their cuts, so that nothing else is as long as the examples."""
@@ -219,7 +221,7 @@ class Index:
             own = slot[words]
             at = np.flatnonzero(own >= 0)
             owner = np.repeat(np.arange(first, first + len(cut) - 1), np.diff(cut))
-            points[owner[at], own[at]] = self._weights(cut, words, counts)[0][at]
+            points[owner[at], own[at]] = self._weights(cut, words, counts)[at]
             norm = np.sqrt(np.einsum("ij,ij->i", points[first : first + len(cut) - 1], points[first : first + len(cut) - 1]))
             points[first : first + len(cut) - 1] /= np.maximum(norm, 1e-9)[:, None]
         centers = points[:: max(1, -(-n // groups))].copy()
@@ -242,7 +244,7 @@ class Index:
         """Weights, postings, matrices and bounds, from the examples' words and counts."""
         n, block = len(self.ids), self.block
         self.slot = self._slots()
-        self.size = np.empty(n)
+        self.weights = np.empty(len(self.words))
         self.blocks, self.most = [], np.zeros((len(self.often), -(-n // block)), np.float32)
         size = np.bincount(self.words, minlength=len(self.vocabulary))
         size[self.often] = 0
@@ -251,7 +253,7 @@ class Index:
         for first, cut in self._few(self.begin):
             own = slice(int(cut[0]), int(cut[-1]))
             words = self.words[own]
-            weights, self.size[first : first + len(cut) - 1] = self._weights(cut, words, self.counts[own])
+            weights = self.weights[own] = self._weights(cut, words, self.counts[own])
             owner = np.repeat(np.arange(first, first + len(cut) - 1), np.diff(cut))
             slot = self.slot[words]
             at = np.flatnonzero(slot >= 0)
@@ -273,7 +275,7 @@ class Index:
         self._known: dict[bytes, tuple] = {}
 
     def __getstate__(self) -> dict:
-        derived = ("size", "slot", "posted", "posts", "blocks", "most", "_query", "_known")
+        derived = ("weights", "slot", "posted", "posts", "blocks", "most", "_query", "_known")
         return {k: v for k, v in self.__dict__.items() if k not in derived}
 
     def __setstate__(self, state: dict) -> None:
@@ -326,9 +328,7 @@ class Index:
             self._query[terms] = weights
             begin, size = self.begin[places], self.begin[places + 1] - self.begin[places]
             own = _ranges(begin, size)
-            word = self.words[own]
-            weight = (1 + np.log(self.counts[own].astype(np.float64))) * self.idf[word] / np.repeat(self.size[places], size)
-            sims = np.add.reduceat(self._query[word] * weight, np.cumsum(size) - size) if len(places) else np.zeros(0)
+            sims = np.add.reduceat(self._query[self.words[own]] * self.weights[own], np.cumsum(size) - size) if len(places) else np.zeros(0)
             self._query[terms] = 0.0
             order = np.lexsort((places, -np.round(sims, 9)))[:k]
             places, sims = places[order], sims[order]
