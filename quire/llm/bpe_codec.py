@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PreTokenizer, WordBpe, WordCache, gather, state_key
-from .common import table, text_blocks
+from .common import small_batches, table, text_blocks, tidy
+
+#: Rows and bytes of text that are encoded at once, about.
+TEXT_BLOCK = (1000, 2 << 20)
 
 _WORKER: dict = {}
 
@@ -59,6 +62,7 @@ def decode_block(lists: pa.ListArray, tokens: pa.Array) -> pa.Array:
 
 
 def _load(df: DataFrame, tokenizer_path: str):
+    small_batches(df.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         raw = f.read()
     return state_key(raw), df.sparkSession.sparkContext.broadcast((raw, WordBpe(raw)))
@@ -74,10 +78,11 @@ def encode(df: DataFrame, text_col: str = "text", *, tokenizer_path: str, out: s
     key, shared = _load(df, tokenizer_path)
 
     @F.arrow_udf("array<int>")
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = _state(key, shared)
         for texts in batches:
-            for block in text_blocks(texts, rows=1000, max_bytes=4 << 20):
+            for block in text_blocks(texts, *TEXT_BLOCK):
                 offsets, ids = encode_block(block, s["pre"], s["model"], s["cache"])
                 yield pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
 
@@ -92,6 +97,7 @@ def decode(df: DataFrame, ids_col: str = "ids", *, tokenizer_path: str, out: str
     key, shared = _load(df, tokenizer_path)
 
     @F.arrow_udf("string")
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = pa.array([t or None for t in _state(key, shared)["model"].tokens])
         for lists in batches:
@@ -110,11 +116,12 @@ def round_trip(df: DataFrame, text_col: str = "text", *, tokenizer_path: str, ou
     kind = [pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())]
 
     @F.arrow_udf("ids array<int>, decoded string")
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = _state(key, shared)
         tokens = pa.array([t or None for t in s["model"].tokens])
         for texts in batches:
-            for block in text_blocks(texts, rows=1000, max_bytes=4 << 20):
+            for block in text_blocks(texts, *TEXT_BLOCK):
                 offsets, ids = encode_block(block, s["pre"], s["model"], s["cache"])
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.StructArray.from_arrays([lists, decode_block(lists, tokens)], fields=kind)

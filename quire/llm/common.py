@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -13,6 +16,8 @@ from ..storage import materialize, work_path  # noqa: F401  (for the operators)
 
 #: Rows up to which a lookup side is broadcast; it is counted first.
 BROADCAST_ROWS = 20_000
+#: Rows and bytes of an Arrow batch between the JVM and Python, at most (one row may be longer).
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables, read by Spark so that any store works."""
@@ -96,6 +101,52 @@ def open_read(uri: str):
     return found.open_input_file(path)
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``, for whole texts: both sides hold a batch at once.
+
+    Limits that are smaller already stay. It changes speed and memory, no result.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(key)).removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, most)
+
+
+def hand_back(garbage: bool = True) -> None:
+    """Return to the system what this process no longer uses: garbage if asked for, Arrow's spare pages, free pages of the C heap (glibc only)."""
+    import pyarrow as pa
+
+    if garbage:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """Wrap a function over a task's batches so that its worker, which Spark keeps for later stages, starts and ends lean.
+
+    At the start a worker still has free pages of the stage before, whose
+    broadcasts have just gone; at the end those of the task itself.
+    """
+
+    @functools.wraps(run)
+    def own(batches):
+        hand_back()
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return own
+
+
 # ---------------------------------------------------------------- blocks of Arrow rows
 
 

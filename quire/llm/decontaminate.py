@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize, spare_name, table, text_blocks
+from .common import lookup_join, materialize, small_batches, spare_name, table, text_blocks, tidy
 
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Bytes of benchmark text in one broadcast, about.
@@ -234,6 +234,7 @@ def _matcher(shared, coverage: float):
     names = ("item_id", "coverage", "n_tiles", "longest")
 
     @F.arrow_udf(_HITS)
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index: Items = shared.value
         for texts in batches:
@@ -257,6 +258,7 @@ def contaminated(
     Driver and executors hold one block of about ``block_bytes`` of the
     benchmark at a time; a single item is never cut.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     n, blocks = _blocks(items, item_id, item_text, min_match, block_bytes)
     if n == 0:

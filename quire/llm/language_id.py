@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, spare_name, table, text_blocks
+from .common import lookup_join, small_batches, spare_name, table, text_blocks, tidy
 
 PROFILE = 300
 #: Labelled documents per language that a profile is learned from, about.
@@ -101,6 +101,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     the identifier. Every language of the table is learned; the driver and the
     broadcast hold ``size`` n-grams of each, about 5 KB a language.
     """
+    small_batches(docs.sparkSession)
     rows = _labelled(docs, text_col, lang_col, id_col, max_docs)
     if rows is None:
         return Profiles({}, size)
@@ -140,15 +141,17 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: s
     the first language by name. Other columns pass unchanged. No shuffle; the
     broadcast holds the profiles only.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("distance", pa.float64()), ("n_grams", pa.int32())])
 
     @F.arrow_udf("lang string, score double, distance double, n_grams int")
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p: Profiles = shared.value
         for texts in batches:
             langs, scores, distances, sizes = [], [], [], []
-            for block in text_blocks(texts):
+            for block in text_blocks(texts, max_bytes=4 << 20):
                 for text in block.to_pylist():
                     keys, counts = grams(text) if text else ((), ())
                     sizes.append(min(len(keys), p.size))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize, table, text_blocks
+from .common import lookup_join, materialize, small_batches, table, text_blocks, tidy
 from .components import components
 
 WORDS, BANDS, ROWS = 5, 40, 5
@@ -104,6 +104,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 _SIGNATURE = pa.struct([("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
+@tidy
 def _signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         for block in text_blocks(texts, rows=1000, max_bytes=4 << 20):
@@ -211,6 +212,7 @@ def duplicate_classes(docs: DataFrame, text_col: str = "text", id_col: str = "do
     one by one; repeated rows give equal rows. Extra columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     signature = F.arrow_udf(_signature, "n bigint, f1 bigint, f2 bigint, bands array<bigint>")
     signed = rows.withColumn("s", signature("text")).select("id", "s.n", "s.f1", "s.f2", "s.bands")
     signed = materialize(signed, "signatures")

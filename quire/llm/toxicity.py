@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_units, materialize, spare_name, split_units, table, text_blocks
+from .common import arrow_units, hand_back, materialize, small_batches, spare_name, split_units, table, text_blocks, tidy
 from .language_id import held_out
 
 #: Labelled documents in the index, about; neighbours; examples for calibration; examples in a block.
@@ -34,7 +34,7 @@ MAX_EXAMPLES, NEIGHBOURS, CALIBRATION, BLOCK = 20_000, 25, 4000, 1024
 #: Words kept as matrices, those in most examples; the others are postings. Only speed depends on it.
 FREQUENT = 512
 #: Texts and bytes that are cut into words at once, about.
-TEXT_BLOCK = (3000, 12 << 20)
+TEXT_BLOCK = (800, 2 << 20)
 #: Queries in a batch; more than single precision may lose of a cosine.
 BATCH, SLACK = 256, 1e-4
 #: Documents scored this or higher are dropped by the pipeline.
@@ -47,6 +47,16 @@ _WORD = re.compile(r"[^\W\d_]+")
 _AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 
 
+def _places_in(terms: pa.Array, few: pa.Array) -> np.ndarray:
+    """Place in ``terms`` of each of the distinct ``few``, -1 if it is none. The terms look for themselves, so the hash table is that of the few."""
+    out = np.full(len(few), -1, np.int64)
+    if len(few):
+        found = pc.index_in(terms, value_set=few)
+        met = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        out[found.drop_null().to_numpy()] = met
+    return out
+
+
 def term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, terms and counts of a block of whole texts, ordered by row, then term. Words beyond ``terms`` get numbers from ``len(terms)`` on.
 
@@ -57,23 +67,19 @@ def term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarra
     offsets, places, units = arrow_units(texts)
     first = len(terms)
     # a piece that is a word is its own trimmed form, so one look-up finds both
-    trimmed = pc.utf8_trim(units, _AROUND)
-    own = pc.index_in(trimmed, value_set=terms)
-    unknown = own.is_null()
-    words = [_WORD.findall(u) for u in trimmed.filter(unknown).to_pylist()]
-    unknown = unknown.to_numpy(zero_copy_only=False)
+    trimmed = pc.utf8_trim(units, _AROUND).dictionary_encode()
+    own = _places_in(terms, trimmed.dictionary)[trimmed.indices.to_numpy()]
+    unknown = own < 0
+    words = [_WORD.findall(u) for u in trimmed.filter(pa.array(unknown)).to_pylist()]
     coded = pa.array([w for x in words for w in x], pa.string()).dictionary_encode()
-    number = first + np.arange(len(coded.dictionary))
-    # the terms look for themselves among the few words, which need the smaller hash table
-    places_of = pc.index_in(terms, value_set=coded.dictionary).to_numpy(zero_copy_only=False) if len(number) else np.zeros(0)
-    met = np.flatnonzero(~np.isnan(places_of.astype(np.float64)))
-    number[places_of[met].astype(np.int64)] = met
+    number = _places_in(terms, coded.dictionary)
+    number = np.where(number < 0, first + np.arange(len(number)), number)
     # per piece: its number of words and where they begin in ``flat``
     size = np.ones(len(units), np.int64)
     size[unknown] = np.fromiter(map(len, words), np.int64, len(words))
     begin = np.cumsum(size) - size
     flat = np.empty(int(size.sum()), np.int64)
-    flat[begin[~unknown]] = own.drop_null().to_numpy()
+    flat[begin[~unknown]] = own[~unknown]
     flat[_ranges(begin[unknown], size[unknown])] = number[coded.indices.to_numpy()]
     at = np.flatnonzero(size[places])
     row = np.searchsorted(offsets, at, "right") - 1
@@ -192,13 +198,21 @@ class Index:
     def _weights(self, begin: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Weights of some rows' words, each vector of length 1. ``begin`` cuts the rows and may start anywhere."""
         w = (1 + np.log(counts.astype(np.float64))) * self.idf[words]
-        size = np.sqrt(np.add.reduceat(w * w, begin[:-1] - begin[0])) if len(w) else np.zeros(0)
-        return w / np.repeat(size, np.diff(begin))
+        return w / np.repeat(self._lengths(begin, w), np.diff(begin))
+
+    @staticmethod
+    def _lengths(begin: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.add.reduceat(w * w, begin[:-1] - begin[0])) if len(w) else np.zeros(0)
+
+    def _rise(self, counts: np.ndarray) -> np.ndarray:
+        """``1 + log`` of counts, looked up unless some example repeats a word extremely often."""
+        return self.logs[counts] if len(self.logs) else 1 + np.log(counts.astype(np.float64))
 
     def vector(self, p: int) -> tuple[np.ndarray, np.ndarray]:
         """Words of an example and their weights."""
-        own = slice(self.begin[p], self.begin[p + 1])
-        return self.words[own], self.weights[own]
+        cut = self.begin[p : p + 2]
+        words = self.words[cut[0] : cut[1]]
+        return words, self._weights(cut, words, self.counts[cut[0] : cut[1]])
 
     def _few(self, begin: np.ndarray):
         """A block of rows at a time: the first one and their cuts, so that nothing else is as long as the examples."""
@@ -241,10 +255,12 @@ class Index:
         return np.argsort(place[own], kind="stable")
 
     def _derive(self) -> None:
-        """Weights, postings, matrices and bounds, from the examples' words and counts."""
+        """Lengths, postings, matrices and bounds, from the examples' words and counts."""
         n, block = len(self.ids), self.block
         self.slot = self._slots()
-        self.weights = np.empty(len(self.words))
+        top = int(self.counts.max(initial=0))
+        self.logs = 1 + np.log(np.maximum(np.arange(top + 1), 1)) if top < 1 << 20 else np.zeros(0)
+        self.lengths = np.zeros(n)
         self.blocks, self.most = [], np.zeros((len(self.often), -(-n // block)), np.float32)
         size = np.bincount(self.words, minlength=len(self.vocabulary))
         size[self.often] = 0
@@ -253,7 +269,9 @@ class Index:
         for first, cut in self._few(self.begin):
             own = slice(int(cut[0]), int(cut[-1]))
             words = self.words[own]
-            weights = self.weights[own] = self._weights(cut, words, self.counts[own])
+            weights = self._rise(self.counts[own]) * self.idf[words]
+            length = self.lengths[first : first + len(cut) - 1] = self._lengths(cut, weights)
+            weights /= np.repeat(length, np.diff(cut))
             owner = np.repeat(np.arange(first, first + len(cut) - 1), np.diff(cut))
             slot = self.slot[words]
             at = np.flatnonzero(slot >= 0)
@@ -275,7 +293,7 @@ class Index:
         self._known: dict[bytes, tuple] = {}
 
     def __getstate__(self) -> dict:
-        derived = ("weights", "slot", "posted", "posts", "blocks", "most", "_query", "_known")
+        derived = ("logs", "lengths", "slot", "posted", "posts", "blocks", "most", "_query", "_known")
         return {k: v for k, v in self.__dict__.items() if k not in derived}
 
     def __setstate__(self, state: dict) -> None:
@@ -325,10 +343,10 @@ class Index:
             if len(places) > k:
                 found = rough[q, places]
                 places = places[found >= np.partition(found, len(found) - k)[len(found) - k] - SLACK]
-            self._query[terms] = weights
+            self._query[terms] = weights * self.idf[terms]
             begin, size = self.begin[places], self.begin[places + 1] - self.begin[places]
             own = _ranges(begin, size)
-            sims = np.add.reduceat(self._query[self.words[own]] * self.weights[own], np.cumsum(size) - size) if len(places) else np.zeros(0)
+            sims = np.add.reduceat(self._query[self.words[own]] * self._rise(self.counts[own]), np.cumsum(size) - size) / self.lengths[places] if len(places) else np.zeros(0)
             self._query[terms] = 0.0
             order = np.lexsort((places, -np.round(sims, 9)))[:k]
             places, sims = places[order], sims[order]
@@ -346,7 +364,7 @@ class Index:
         return self.score_each([(terms, counts)])[0]
 
     def score_each(self, documents: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple]]]:
-        if len(self._known) > 20_000:
+        if len(self._known) > 5_000:
             self._known.clear()
         keys, new = [], {}
         for terms, counts in documents:
@@ -413,6 +431,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     Without labels the index is empty and every score is 0.5.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     share = min(1.0, max_examples / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumnRenamed("doc_id", "i")
@@ -423,6 +442,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     sample = sample.groupBy("i", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("least"))
     sample = materialize(sample.select("i", "y", "least.t"), "examples")
 
+    @tidy
     def words(batches):
         seen: set[str] = set()
         for batch in batches:
@@ -437,6 +457,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     terms = terms.take(pc.sort_indices(terms))
     shared = spark.sparkContext.broadcast(terms)
 
+    @tidy
     def frequency(batches):
         size = len(shared.value)
         seen, n = np.zeros(size, np.int64), 0
@@ -444,6 +465,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             for texts in text_blocks(batch.column(0), *TEXT_BLOCK):
                 term = term_counts(texts, shared.value)[1]
                 seen += np.bincount(term[term < size], minlength=size)
+                hand_back(garbage=False)
                 n += len(texts)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[n], seen[at]]))], names=["term", "n"])
@@ -495,14 +517,18 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", out: str = "tox
     rate of examples without words, and no evidence. Equal texts get equal scores. Other
     columns pass unchanged. No shuffle; the broadcast holds the bounded index.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.arrow_udf("score double, evidence array<struct<doc_id:bigint,similarity:double,label:int>>")
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own: Index = shared.value
         for texts in batches:
             for block in text_blocks(texts, *TEXT_BLOCK):
                 row, term, n = term_counts(block, own.vocabulary)
+                # words and cosines need memory in turn, not both at once
+                hand_back(garbage=False)
                 cut = np.searchsorted(row, np.arange(len(block) + 1))
                 found = own.score_each([(term[s:e], n[s:e]) for s, e in zip(cut, cut[1:], strict=False)])
                 rows = [{"score": value, "evidence": [{"doc_id": i, "similarity": x, "label": y} for i, x, y in near]} for value, near in found]
