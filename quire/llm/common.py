@@ -116,12 +116,11 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
-def hand_back(garbage: bool = True) -> None:
-    """Return to the system what this process no longer uses: garbage if asked for, Arrow's spare pages, free pages of the C heap (glibc only)."""
+def hand_back() -> None:
+    """Return to the system what this process no longer uses: garbage, Arrow's spare pages, free pages of the C heap (glibc only)."""
     import pyarrow as pa
 
-    if garbage:
-        gc.collect()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_units, hand_back, materialize, small_batches, spare_name, split_units, table, text_blocks, tidy
+from .common import arrow_units, materialize, small_batches, spare_name, split_units, table, text_blocks, tidy
 from .language_id import held_out
 
 #: Labelled documents in the index, about; neighbours; examples for calibration; examples in a block.
@@ -34,7 +34,7 @@ MAX_EXAMPLES, NEIGHBOURS, CALIBRATION, BLOCK = 20_000, 25, 4000, 1024
 #: Words kept as matrices, those in most examples; the others are postings. Only speed depends on it.
 FREQUENT = 512
 #: Texts and bytes that are cut into words at once, about.
-TEXT_BLOCK = (800, 2 << 20)
+TEXT_BLOCK = (1500, 4 << 20)
 #: Queries in a batch; more than single precision may lose of a cosine.
 BATCH, SLACK = 256, 1e-4
 #: Documents scored this or higher are dropped by the pipeline.
@@ -465,7 +465,6 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             for texts in text_blocks(batch.column(0), *TEXT_BLOCK):
                 term = term_counts(texts, shared.value)[1]
                 seen += np.bincount(term[term < size], minlength=size)
-                hand_back(garbage=False)
                 n += len(texts)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[n], seen[at]]))], names=["term", "n"])
@@ -527,8 +526,6 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", out: str = "tox
         for texts in batches:
             for block in text_blocks(texts, *TEXT_BLOCK):
                 row, term, n = term_counts(block, own.vocabulary)
-                # words and cosines need memory in turn, not both at once
-                hand_back(garbage=False)
                 cut = np.searchsorted(row, np.arange(len(block) + 1))
                 found = own.score_each([(term[s:e], n[s:e]) for s, e in zip(cut, cut[1:], strict=False)])
                 rows = [{"score": value, "evidence": [{"doc_id": i, "similarity": x, "label": y} for i, x, y in near]} for value, near in found]
