@@ -1,13 +1,15 @@
 """Documents through the whole chains, letter spacing included, against plain versions."""
 
+import html
 import re
 from hashlib import md5
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import regex
 
-from quire.plans.queries import QUERIES
+from quire.plans.queries import ORACLES, QUERIES
 
 RUN = regex.compile(r"""(^|[\s"'„‚“”‘’«»‹›(\[—–])(\p{L}(?:[ ]{1,4}\p{L}){2,})(?=[\s.,;:!?"'„‚“”‘’«»‹›)\]—–…]|$)""")
 
@@ -32,3 +34,23 @@ def test_whole_chains(spark, tmp_path):
     assert got == {k: (digest(normal(t)), len(normal(t))) for k, t in enumerate(TEXTS)}
     got = {r.doc_id: r.digest for r in QUERIES["exported_documents"](spark, str(tmp_path)).collect()}
     assert got == {k: digest(exported(t)) for k, t in enumerate(TEXTS)}
+
+
+PAGES = ["<p>the a a a that</p>", "<p>f l a c h e n   S t e i n e &amp; so</p>", "<h1>A &#8364; &#x41;</h1><p>b&#66;</p>", "<p>y ñ ñ ue</p>\n\n\n<br/>é é é éê", "plain", "", None]
+
+
+def page(markup):
+    lines = re.sub(r"<[^>]+>", "", re.sub(r"</?(p|h1|br)[^>]*/?>", "\n", markup or "")).split("\n")
+    return normal(re.sub(r"[ \t]+", " ", re.sub(r"\n\s*\n\s*\n", "\n\n", html.unescape("\n".join(lines)))))
+
+
+def test_pages(spark, tmp_path):
+    """Spaced letters and numeric entities: ``page_text`` is its SQL, ``normalized_pages`` the whole chain."""
+    pages = pa.table({"page_id": list(range(len(PAGES))), "html": PAGES})
+    pq.write_table(pages, tmp_path / "pages.parquet")
+    want = duckdb.connect().sql(ORACLES["page_text"]).fetchall()
+    got = [tuple(r) for r in QUERIES["page_text"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    got = {r.page_id: (r.digest, r.n) for r in QUERIES["normalized_pages"](spark, str(tmp_path)).collect()}
+    assert got == {k: (md5(page(t).encode()).hexdigest(), len(page(t))) for k, t in enumerate(PAGES)}
+    assert got[0] != dict((k, v) for k, *v in want)[0]
