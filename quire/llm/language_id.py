@@ -7,6 +7,7 @@ the language whose profile has the least out-of-place distance.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, small_batches, spare_name, table, text_blocks, tidy
+from .common import lookup_join, materialize, small_batches, spare_name, table, text_blocks, tidy
 
 PROFILE = 300
 #: Labelled documents per language that a profile is learned from, about.
@@ -24,6 +25,8 @@ UNKNOWN = "und"
 MAX_DISTANCE = 0.9
 #: Longer ones (n-grams in their ranking) are held to the distances of the labelled documents: a quantile of these, and a margin.
 ENOUGH, QUANTILE, MARGIN = 50, 0.999, 0.2
+#: Bins in which distances are counted to find an exact quantile. Only speed depends on it.
+BINS = 4096
 
 _LETTERS: list[np.ndarray] = []
 
@@ -82,9 +85,11 @@ class Profiles:
         return out
 
 
-def _labelled(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: int) -> DataFrame | None:
-    """About ``max_docs`` labelled documents of each language (lang, text); None without any."""
+def _labelled(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: int | None) -> DataFrame | None:
+    """All labelled documents (lang, text), or about ``max_docs`` of each language; then None without any."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    if max_docs is None:
+        return rows.select("lang", "text")
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
@@ -94,11 +99,11 @@ def _labelled(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_do
     return rows.where(F.pmod(F.xxhash64("i", "lang"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
 
 
-def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, size: int = PROFILE, max_docs: int = MAX_DOCS) -> Profiles:
+def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, size: int = PROFILE, max_docs: int | None = MAX_DOCS) -> Profiles:
     """Profiles from labelled documents; rows with a null label or text are left out.
 
     Of each language about ``max_docs`` documents are taken, chosen by a hash of
-    the identifier. Every language of the table is learned; the driver and the
+    the identifier; with None all are. Every language of the table is learned; the driver and the
     broadcast hold ``size`` n-grams of each, about 5 KB a language.
     """
     small_batches(docs.sparkSession)
@@ -184,13 +189,36 @@ def op7_language_id(spark, sf_dir):
     return found.select("doc_id", out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.distance")
 
 
-def distance_limit(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, max_docs: int = MAX_DOCS) -> float:
-    """Distance beyond which a document of ``ENOUGH`` n-grams is no known language: from the labelled documents that the profiles were learned from."""
-    rows = _labelled(docs, text_col, lang_col, id_col, max_docs)
-    if rows is None:
-        return MAX_DISTANCE
+def quantile(values: DataFrame, share: float) -> float | None:
+    """Exact quantile of a column of numbers from 0 to 1, between neighbours in proportion; None without rows.
+
+    ``values`` is read twice, so it should be materialised. The driver holds the
+    counts of ``BINS`` bins, then those of the distinct values of at most two.
+    """
+    x = F.col(values.columns[0])
+    bins = F.floor(x * BINS).cast("int")
+    counted = values.groupBy(bins.alias("v")).agg(F.count("*").alias("n")).sort("v").collect()
+    if not counted:
+        return None
+    position = (sum(r["n"] for r in counted) - 1) * share
+    wanted, found, before = (math.floor(position), math.ceil(position)), {}, 0
+    for r in counted:
+        inside = [k for k in wanted if before <= k < before + r["n"] and k not in found]
+        if inside:
+            at = before
+            for v, n in values.where(bins == r["v"]).groupBy(x.alias("v")).agg(F.count("*").alias("n")).sort("v").collect():
+                found |= {k: v for k in inside if at <= k < at + n}
+                at += n
+        before += r["n"]
+    low, high = (found[k] for k in wanted)
+    return low + (position - wanted[0]) * (high - low)
+
+
+def distance_limit(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> float:
+    """Distance beyond which a document of ``ENOUGH`` n-grams is no known language: from the distances of all labelled documents."""
+    rows = _labelled(docs, text_col, lang_col, id_col, None)
     near = identify(rows, profiles, out="found").where(F.col("found.n_grams") >= ENOUGH)
-    high = near.agg(F.percentile("found.distance", F.lit(QUANTILE))).first()[0]
+    high = quantile(materialize(near.select("found.distance"), "distances"), QUANTILE)
     return MAX_DISTANCE if high is None else min(MAX_DISTANCE, high + MARGIN)
 
 
@@ -198,9 +226,10 @@ def keep_known_languages(spark, docs, sf_dir):
     """Pipeline stage: drop documents without letters and those far from every profile.
 
     Far is ``MAX_DISTANCE`` for short documents, for others ``distance_limit``.
+    Profiles and limit come from all labelled documents.
     """
     labelled = docs.where(~held_out(F.col("doc_id"), 4, 2) & F.col("doc_id").isNotNull())
-    profiles = learn_profiles(labelled)
+    profiles = learn_profiles(labelled, max_docs=None)
     limit = distance_limit(labelled, profiles)
     own = spare_name(docs, "language")
     found = identify(docs, profiles, out=own)
