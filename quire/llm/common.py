@@ -5,10 +5,12 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import mmap
 import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +103,50 @@ def open_read(uri: str):
     return found.open_input_file(path)
 
 
+class Arrays:
+    """Arrays in one file of the shared folder, which workers map read-only: one copy a machine, and its pages are the system's to take back.
+
+    Handles are small, to be broadcast. Where a store or its files cannot be
+    mapped, each worker reads the file into its own memory.
+    """
+
+    def __init__(self, uri: str, arrays: dict):
+        """Write the arrays (for a list of equally shaped ones, all of them as one)."""
+        self.uri, self.layout, at = uri, {}, 0
+        with open_write(uri) as f:
+            for name, x in arrays.items():
+                parts, shape = (x, (len(x), *x[0].shape) if x else (0,)) if isinstance(x, list) else ([x], x.shape)
+                kind, begin = (parts[0].dtype if parts else np.dtype(np.float32)).str, at
+                for part in parts:
+                    if part.size:
+                        f.write(np.ascontiguousarray(part).data.cast("B"))
+                        at += part.nbytes
+                self.layout[name] = (kind, shape, begin)
+                f.write(b"\0" * (-at % 64))
+                at += -at % 64
+        self.size = at
+
+    def _bytes(self):
+        local = _local(self.uri)
+        if local is not None:
+            with open(local, "rb") as f:
+                try:
+                    return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+                except OSError:  # no file system for it
+                    pass
+        with open_read(self.uri) as f:
+            return f.read()
+
+    def open(self) -> dict:
+        """All arrays by name, not to be written to."""
+        data = self._bytes() if self.size else b""
+        out = {}
+        for name, (kind, shape, begin) in self.layout.items():
+            size = int(np.prod(shape))
+            out[name] = np.frombuffer(data, kind, size, begin).reshape(shape) if size else np.zeros(shape, kind)
+        return out
+
+
 # ---------------------------------------------------------------- memory of Python workers
 
 
@@ -162,7 +208,6 @@ def text_blocks(texts, rows: int = 4000, max_bytes: int = 16 << 20) -> Iterator:
 
 def arrow_units(texts) -> tuple:
     """Lower-cased pieces between white space, inside Arrow: offsets of documents, places of their pieces, distinct pieces. Nulls count as empty."""
-    import numpy as np
     import pyarrow.compute as pc
 
     lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))

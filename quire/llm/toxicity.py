@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_units, materialize, small_batches, spare_name, split_units, table, text_blocks, tidy
+from .common import Arrays, arrow_units, materialize, small_batches, spare_name, split_units, table, text_blocks, tidy, work_path
 from .language_id import held_out
 
 #: Labelled documents in the index, about; neighbours; examples for calibration; examples in a block.
@@ -289,16 +289,16 @@ class Index:
             after[found] += count
         # gathered as plain numbers, which is faster
         self.posts = posts.view(np.int64)
+        self._fresh()
+
+    def _fresh(self) -> None:
+        """What a process changes while it scores."""
         self._query = np.zeros(len(self.vocabulary))
         self._known: dict[bytes, tuple] = {}
 
-    def __getstate__(self) -> dict:
-        derived = ("logs", "lengths", "slot", "posted", "posts", "blocks", "most", "_query", "_known")
-        return {k: v for k, v in self.__dict__.items() if k not in derived}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._derive()
+    def stored(self, uri: str) -> StoredIndex:
+        """A handle on the index, whose arrays go to a file of the shared folder."""
+        return StoredIndex(self, uri)
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray, others: np.ndarray | tuple = ()) -> np.ndarray:
         """Weights of ``terms`` in a vector of length 1 that also has words of no example, ``others`` times each."""
@@ -417,6 +417,36 @@ class Index:
         self.curve = (x, np.maximum.accumulate(y))
 
 
+class StoredIndex:
+    """An index as a small handle to be broadcast; its arrays lie in a file that the workers map (``Arrays``), so none builds or holds a copy."""
+
+    def __init__(self, index: Index, uri: str):
+        state = {k: v for k, v in index.__dict__.items() if k not in ("vocabulary", "blocks", "_query", "_known")}
+        large = {k: v for k, v in state.items() if isinstance(v, np.ndarray)}
+        self.rest = {k: v for k, v in state.items() if k not in large}
+        cut, letters = np.zeros(1, np.int32), np.zeros(0, np.uint8)
+        if len(terms := index.vocabulary):
+            _, offsets, data = terms.buffers()
+            cut = np.frombuffer(offsets, np.int32)[terms.offset : terms.offset + len(terms) + 1]
+            letters, cut = np.frombuffer(data, np.uint8)[cut[0] : cut[-1]], cut - cut[0]
+        self.arrays = Arrays(uri, {**large, "blocks": index.blocks, "term_offsets": cut, "term_letters": letters})
+
+    def __getstate__(self) -> dict:
+        return {"rest": self.rest, "arrays": self.arrays}
+
+    def open(self) -> Index:
+        """The index, once a process."""
+        if not hasattr(self, "_index"):
+            index, found = Index.__new__(Index), self.arrays.open()
+            cut, letters = found.pop("term_offsets"), found.pop("term_letters")
+            index.__dict__.update(self.rest, **found)
+            index.blocks = list(found["blocks"])
+            index.vocabulary = pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), pa.py_buffer(letters))
+            index._fresh()
+            self._index = index
+        return self._index
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS, calibration: int = CALIBRATION) -> Index:
     """Build the index from ``labels`` (doc_id, toxic 0/1) and ``docs``.
 
@@ -514,15 +544,16 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", out: str = "tox
 
     Null, empty and all other texts that share no word with any example get the
     rate of examples without words, and no evidence. Equal texts get equal scores. Other
-    columns pass unchanged. No shuffle; the broadcast holds the bounded index.
+    columns pass unchanged. No shuffle; the bounded index lies in the shared folder and workers map it.
     """
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(index.stored(work_path(spark, "index")))
 
     @F.arrow_udf("score double, evidence array<struct<doc_id:bigint,similarity:double,label:int>>")
     @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own: Index = shared.value
+        own: Index = shared.value.open()
         for texts in batches:
             for block in text_blocks(texts, *TEXT_BLOCK):
                 row, term, n = term_counts(block, own.vocabulary)

@@ -1,9 +1,13 @@
 """Toxicity over all words, against cosines of whole texts."""
 
 import math
+import mmap
+import pickle
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 import corpus_pipeline
@@ -67,3 +71,26 @@ def test_pipeline_drops_the_planted_row(spark, odd_dir):
     known = language(spark, docs, odd_dir)
     planted = "text like 'you pathetic idiot%'"
     assert known.where(planted).count() == 1 and toxic(spark, known, odd_dir).where(planted).count() == 0
+
+
+def test_workers_map_the_index(tmp_path):
+    """The handle that workers get is small, its arrays are a mapped file, and it scores as the index does."""
+    rng = np.random.default_rng(5)
+    examples = [(i, int(rng.random() < 0.3), t.tolist(), rng.integers(1, 5, len(t)).tolist()) for i in range(3000) for t in [np.unique(rng.zipf(1.4, 60) % 3000)]]
+    terms = pa.array(["none", *(f"ä{k}" for k in range(3000))])[1:]
+    index = T.Index(terms, 1 + rng.random(3000), examples, k=9, frequent=64)
+    index.calibrate()
+    handle = pickle.dumps(index.stored(f"file://{tmp_path}/deep/index"))
+    own = pickle.loads(handle).open()
+    assert len(handle) < 40_000 and isinstance(mapped(own.posts), mmap.mmap) and isinstance(mapped(own.blocks[0]), mmap.mmap)
+    assert own.terms == index.terms and set(own.__dict__) == set(index.__dict__)
+    documents = [(t, rng.integers(1, 4, len(t)).astype(float)) for _ in range(300) for t in [np.unique(rng.zipf(1.4, 40) % 3100)]]
+    assert own.score_each(documents) == index.score_each(documents)
+    bare = pickle.loads(pickle.dumps(T.Index([], np.zeros(0), []).stored(f"{tmp_path}/bare"))).open()
+    assert bare.score_each(documents[:1]) == [(0.5, [])]
+
+
+def mapped(x):
+    while isinstance(x, np.ndarray):
+        x = x.base
+    return x.obj if isinstance(x, memoryview) else x
