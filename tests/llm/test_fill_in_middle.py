@@ -1,0 +1,77 @@
+"""Fill-in-middle on odd texts, against its SQL and plain Python."""
+
+import hashlib
+import re
+
+import duckdb
+import pyarrow as pa
+import pytest
+
+from quire.llm.fill_in_middle import check_markers, fill_in_middle, op13_fill_in_middle, oracle, restore_block, restore_texts, transform_block
+
+TEXTS = [None, "", "\n", "\n\n\nx", "one", "a\nb\nc", "ä\nöü\n😀 x\n", "has <P> in it\nx", "<S>", "x<M>", "<\nP>", "a <P\n> b\n", "S>x<", " \r\n\x0b", "é" * 3000 + "\n" + "q" * 5000, "l\n" * 4000]
+
+
+def plain(doc_id, text, seed=7, fim=100, spm=50, markers=("<P>", "<S>", "<M>")):
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[8 * k : 8 * k + 8], 16) for k in range(4))
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    x, y, z = markers
+    if not text or any(q in text for q in markers) or h3 % 100 >= fim:
+        return len(units), "plain", None, None, text
+    return (len(units), "spm", len(p), len(m), y + s + x + p + z + m) if h4 % 100 < spm else (len(units), "psm", len(p), len(m), x + p + y + s + z + m)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return [(k, t) for k, t in enumerate(TEXTS)] + [(None, "no\nid"), (3, TEXTS[3]), *((1000 + k, "".join("ab\n"[(k * j) % 3] for j in range(k % 40))) for k in range(400))]
+
+
+@pytest.mark.parametrize(("settings", "markers"), [({}, ("<P>", "<S>", "<M>")), ({"seed": 1, "fim_percent": 40, "spm_percent": 10}, ("[pre]", "{suf}", "\x01"))])
+def test_against_plain(spark, rows, settings, markers):
+    df = spark.createDataFrame([(i, t, "mine", 1) for i, t in rows], "doc_id long, text string, restored string, n int")
+    got = restore_texts(fill_in_middle(df, **settings, markers=markers).select("doc_id", "text", "fim.*", "restored"), markers=markers).collect()
+    short = {"seed": "seed", "fim_percent": "fim", "spm_percent": "spm"}
+    want = [plain(i, t, markers=markers, **{short[k]: v for k, v in settings.items()}) for i, t in rows]
+    assert [tuple(r)[2:7] for r in got] == want
+    assert [r.restored for r in got] == [t or "" for _, t in rows]
+    assert len({r.form for r in got}) == 3
+
+
+def test_query_equals_sql(spark, odd_dir):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{odd_dir}/documents.parquet'")
+    got = op13_fill_in_middle(spark, odd_dir)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.sql(oracle()).fetchall()))
+    assert got.columns == [d[0] for d in con.sql(oracle()).description]
+
+
+def test_sliced_arrays_and_whole_batches():
+    import numpy as np
+
+    texts = pa.array(["skip\nme", *[t or "" for t in TEXTS], "and\nme"]).slice(1, len(TEXTS))
+    draws = [np.arange(len(TEXTS)) * p + 5 for p in (7, 11, 0, 13)]
+    out = transform_block(texts, draws)
+    back = restore_block(out.field("output"), out.field("form"))
+    assert back.to_pylist() == [t or "" for t in TEXTS]
+    assert set(out.field("form").to_pylist()) == {"plain", "psm", "spm"}
+
+
+def test_damaged_outputs_have_no_text():
+    outputs = pa.array(["<P>a<S>b<M>c", "<P>a<S>b<M>c", "x<P>a<S>b<M>c", "<P>a<M>b<S>c", "<P>a<S>b", None, "<P>a<S>b<M>c<M>", "", "<S>b<P>a<M>c", "t"])
+    forms = pa.array(["psm", "spm", "psm", "psm", "psm", "psm", "psm", "psm", "spm", "other"])
+    assert restore_block(outputs, forms).to_pylist() == ["acb", None, None, None, None, None, None, None, "acb", None]
+
+
+@pytest.mark.parametrize("bad", [("<P>", "<P>", "<M>"), ("ab", "bc", "x"), ("a", "xay", "q"), ("", "b", "c"), ("é", "b", "c"), ("aba", "x", "y")])
+def test_markers_that_could_run_together(bad):
+    with pytest.raises(ValueError, match="marker"):
+        check_markers(bad)
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert restore_texts(fill_in_middle(none).select("fim.*")).collect() == []
