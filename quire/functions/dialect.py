@@ -6,11 +6,12 @@ which another engine with another regular-expression library then runs.
 
 Patterns are written with the meaning they have in ECMAScript: white space is
 Unicode white space, word bounds are ASCII, ``$`` is the very end. ``java``
-turns them into what Java's engine needs for that.
+turns them into what Java's engine needs for that, ``re2`` into what DuckDB's needs.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,9 @@ SPACE_NOT_NEWLINE = SPACE.replace("\\n", "")
 _BOUND = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 _NO_WORD_BEFORE, _NO_WORD_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 _ANY = r"[^\n\r\u2028\u2029]"
+SPACE_RE2 = re.sub(r"\\u([0-9A-F]{4})|\\x([0-9A-F]{2})", lambda m: f"\\x{{{m[1] or m[2]}}}", SPACE)
+_SPACE_NOT_NEWLINE_RE2 = SPACE_RE2.replace("\\n", "")
+_ANY_RE2 = r"[^\n\r\x{2028}\x{2029}]"
 
 
 def _alternatives(group: str) -> list[str]:
@@ -118,6 +122,39 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iu)" if ignore_case else "") + "".join(out)
 
 
+def re2(pattern: str, ignore_case: bool = False) -> str:
+    """The pattern for DuckDB's engine, whose own ``\\s`` is ASCII and whose ``.`` leaves out the newline only."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith(("[\\s\\S]", "[^\\S\\n]"), i):
+            whole = pattern.startswith("[\\s\\S]", i)
+            out.append("(?s:.)" if whole else f"[{_SPACE_NOT_NEWLINE_RE2}]")
+            i += 6 if whole else 7
+            continue
+        if c == "\\":
+            pair = pattern[i : i + 2]
+            i += 2
+            if pair == "\\s":
+                out.append(SPACE_RE2 if inside else f"[{SPACE_RE2}]")
+            elif pair == "\\S":
+                if inside:
+                    raise ValueError(f"no form for {pattern!r}")
+                out.append(f"[^{SPACE_RE2}]")
+            else:
+                out.append(pair)
+            continue
+        if c == "[" and not inside:
+            inside = True
+        elif c == "]":
+            inside = False
+        elif c == "." and not inside:
+            c = _ANY_RE2
+        out.append(c)
+        i += 1
+    return ("(?i)" if ignore_case else "") + "".join(out)
+
+
 def any_of(patterns) -> str:
     return patterns if isinstance(patterns, str) else "|".join(f"(?:{p})" for p in patterns)
 
@@ -310,7 +347,7 @@ class SqlOps:
 
     @classmethod
     def match(cls, x, patterns, ignore_case=False):
-        return Sql(f"regexp_matches({x}, {cls.lit(('(?i)' if ignore_case else '') + any_of(patterns))})")
+        return Sql(f"regexp_matches({x}, {cls.lit(re2(any_of(patterns), ignore_case))})")
 
     @classmethod
     def contains(cls, x, part):
@@ -326,11 +363,11 @@ class SqlOps:
 
     @staticmethod
     def trim(x):
-        return Sql(rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')")
+        return Sql(f"trim({x}, {SqlOps.lit(SPACE_CHARACTERS)})")
 
     @classmethod
     def replace(cls, x, pattern, by, ignore_case=False):
-        return Sql(f"regexp_replace({x}, {cls.lit(pattern)}, {cls.lit(by.replace('$', chr(92)))}, '{'gi' if ignore_case else 'g'}')")
+        return Sql(f"regexp_replace({x}, {cls.lit(re2(pattern, ignore_case))}, {cls.lit(by.replace('$', chr(92)))}, 'g')")
 
     @classmethod
     def swap(cls, x, part, by):
@@ -350,7 +387,7 @@ class SqlOps:
 
     @classmethod
     def split(cls, x, pattern):
-        return Sql(f"string_split_regex({x}, {cls.lit(pattern)})")
+        return Sql(f"string_split_regex({x}, {cls.lit(re2(pattern))})")
 
     @classmethod
     def _lambda(cls, f):
@@ -384,7 +421,7 @@ class SqlOps:
 
     @classmethod
     def extract(cls, x, pattern, group, ignore_case=False):
-        p = cls.lit(("(?i)" if ignore_case else "") + pattern)
+        p = cls.lit(re2(pattern, ignore_case))
         return Sql(f"case when regexp_matches({x}, {p}) then regexp_extract({x}, {p}, {group}) end")
 
     @classmethod

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 from .dialect import SparkOps, SqlOps
-from .text import decode_entities, decode_named, normalize, normalize_sql, trim_lines
+from .text import decode_entities, decode_entities_sql, normalize, normalize_sql, trim_lines
 
 S = SparkOps
 
@@ -26,17 +26,17 @@ def _tidy(ops, x):
     return ops.trim(trim_lines(ops, x))
 
 
-def html_to_text(html: Column, *, letter_spacing: bool = True, numeric: bool = True) -> Column:
+def html_to_text(html: Column, *, letter_spacing: bool = True) -> Column:
     """Plain text of a chapter's markup, normalised. Null becomes empty.
 
-    Without ``letter_spacing`` spaced letters stay apart, without ``numeric`` only named entities are decoded.
+    Without ``letter_spacing`` spaced letters stay apart.
     """
-    return normalize(_tidy(S, decode_entities(_strip(S, F.coalesce(html, F.lit(""))), numeric)), letter_spacing)
+    return normalize(_tidy(S, decode_entities(_strip(S, F.coalesce(html, F.lit(""))))), letter_spacing)
 
 
 def html_to_text_sql(html) -> str:
-    """The same as SQL, without letter spacing and numeric entities."""
-    return normalize_sql(_tidy(SqlOps, decode_named(SqlOps, _strip(SqlOps, SqlOps.coalesce(html, "")))))
+    """The same as SQL, without letter spacing."""
+    return normalize_sql(_tidy(SqlOps, decode_entities_sql(_strip(SqlOps, SqlOps.coalesce(html, "")))))
 
 
 def clean_title(raw: Column) -> Column:
@@ -44,6 +44,11 @@ def clean_title(raw: Column) -> Column:
     return decode_entities(_bare_title(S, raw))
 
 
+def clean_title_sql(raw) -> str:
+    """The same as SQL."""
+    return decode_entities_sql(_bare_title(SqlOps, raw))
+
+
 def _bare_title(ops, raw):
     return ops.trim(ops.replace(ops.replace(raw, r"<[^>]+>", " "), r"\s+", " "))
 
@@ -88,4 +93,4 @@ def chapter_title(html: Column, text: Column, path: Column, number: Column) -> C
 
 def chapter_title_sql(html, text, path, number) -> str:
     html, text, path = (SqlOps.coalesce(c, "") for c in (html, text, path))
-    return SqlOps.coalesce(*title_candidates(SqlOps, html, text, path, number, lambda x: decode_named(SqlOps, x)))
+    return SqlOps.coalesce(*title_candidates(SqlOps, html, text, path, number, decode_entities_sql))

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .dialect import SPACE, SPACE_NOT_NEWLINE, SparkOps, SqlOps, let
+from .dialect import SPACE, SPACE_NOT_NEWLINE, SPACE_RE2, SparkOps, SqlOps, java, let
 
 S = SparkOps
 _CLOSED = f"(?=[{SPACE}.,;:!?\"'„‚“”‘’«»‹›)\\]—–…]|\\z)"
@@ -63,12 +63,27 @@ def _numeric(x: Column, mark: str, digits: str, base: int) -> Column:
     return F.array_join(F.transform(F.split(x, f"(?={mark}{digits}+;)", -1), put), "")
 
 
-def decode_entities(x: Column, numeric: bool = True) -> Column:
-    """Named entities, then decimal, then hexadecimal references; without ``numeric`` named ones only."""
+def decode_entities(x: Column) -> Column:
+    """Named entities, then decimal, then hexadecimal references."""
     number = lambda y: _numeric(_numeric(y, "&#", "[0-9]", 10), "&#x", "[0-9a-fA-F]", 16)
     marked = lambda y, mark, decoded: F.when(F.contains(y, F.lit(mark)), decoded).otherwise(y)
     named = let(x, lambda y: marked(y, "&", decode_named(S, y)))
-    return let(named, lambda y: marked(y, "&#", number(y))) if numeric else named
+    return let(named, lambda y: marked(y, "&#", number(y)))
+
+
+def _numeric_sql(x, mark: str, digits: str, value: str):
+    """The same as SQL: ``value`` turns the digits of reference ``p`` into a number."""
+    code = f"try_cast({value} as bigint)"
+    good = f"{code} between 1 and {0x10FFFF - 1} and not {code} between {0xD800} and {0xDFFF}"
+    char = f"case when regexp_matches(p, '^{mark}{digits}+;') then case when {good} then chr(cast({code} as int)) else '' end else p end"
+    return type(x)(f"array_to_string(list_transform(regexp_extract_all({x}, '{mark}{digits}+;|[^&]+|&'), lambda p: {char}), '')")
+
+
+def decode_entities_sql(x):
+    """``decode_entities`` as SQL."""
+    named = decode_named(SqlOps, x)
+    decimal = _numeric_sql(named, "&#", "[0-9]", "regexp_extract(p, '[0-9]+')")
+    return _numeric_sql(decimal, "&#x", "[0-9a-fA-F]", "('0x' || regexp_extract(p, '^&#x0*([0-9a-fA-F]+);', 1))")
 
 
 # ------------------------------------------------------------------ normal forms
@@ -84,8 +99,7 @@ def _clean(ops, x, spacing):
     x = ops.replace(x, P.WIDE_SPACE, " ")
     x = ops.swap(x, P.NO_BREAK_SPACE, " ")
     x = spacing(x)
-    wide = f"[{SPACE_NOT_NEWLINE}]{{2,}}" if ops is SparkOps else r"[^\S\n]{2,}"
-    x = ops.replace(x, wide, " ")
+    x = ops.replace(x, f"[{SPACE_NOT_NEWLINE}]{{2,}}" if ops is SparkOps else r"[^\S\n]{2,}", " ")
     x = trim_lines(ops, x)
     x = ops.replace(x, r"\n{3,}", "\n\n")
     return ops.trim(x)
@@ -109,7 +123,19 @@ def normalize_for_export(x: Column, letter_spacing: bool = True) -> Column:
 
 def _break_words(x: Column) -> Column:
     """A space after every 40 characters of words of 80 or more: the first 40 of such a word, then each 40 right behind."""
-    return F.regexp_replace(x, r"(?:(?<!\S)(?=\S{80})|\G(?!\A)(?<=\S))(\S{40})", "$1 ")
+    return F.regexp_replace(x, java(r"(?:(?<!\S)(?=\S{80})|\G(?!\A)(?<=\S))(\S{40})"), "$1 ")
+
+
+def _break_words_sql(x):
+    """The same as SQL, word by word."""
+    words = f"regexp_extract_all({x}, '[{SPACE_RE2}]+|[^{SPACE_RE2}]+')"
+    broken = f"case when length(w) >= 80 and regexp_matches(w, '^[^{SPACE_RE2}]') then regexp_replace(w, '((?s:.){{40}})', '\\1 ', 'g') else w end"
+    return type(x)(f"array_to_string(list_transform({words}, lambda w: {broken}), '')")
+
+
+def normalize_for_export_sql(x) -> str:
+    """``normalize_for_export`` as SQL, without letter spacing."""
+    return _export_marks(SqlOps, _break_words_sql(normalize_sql(x)))
 
 
 def _export_marks(ops, x):

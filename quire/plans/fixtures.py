@@ -94,6 +94,51 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (file name, markup) of chapter files, one or more for each source of a title.
+NAMES = (
+    ("ch1.xhtml", "<p class='x dedication'>a</p>"),
+    ("x.html", "<section epub:type='frontmatter copyright-page'>b</section>"),
+    ("about_author.xhtml", "c"),
+    ("a/my-foreword_2.html", "d"),
+    ("t.html", "<title>Untitled</title>e\nf"),
+    ("t.html", "<title>Real &amp; Good</title>"),
+    ("y.html", "<h2> <b>A</b>\n B</h2>"),
+    ("z.html", ""),
+    ("toc.html", "<p class='intro'>g"),
+    ("q.html", "l" * 130 + "\nshort"),
+)
+
+
+def pick(pool, number):
+    """The pool's entries in turn."""
+    return F.element_at(F.array(*[F.lit(x) for x in pool]), (number % len(pool) + 1).cast("int"))
+
+
+def pick_sql(pool, number: str) -> str:
+    return f"{_list(pool)}[cast({number} % {len(pool)} + 1 as int)]"
+
+
+TITLE_SOURCES_SQL = f"""select page_id as id, {pick_sql([n for n, _ in NAMES], 'page_id')} as path,
+  {pick_sql([h for _, h in NAMES], 'page_id')} || '<p>' || coalesce(url, '') || '</p>' as html from pages"""
+
+
+def title_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages under the file names of the list, the markup of the list before their addresses."""
+    k = F.col("page_id")
+    html = F.concat(pick([h for _, h in NAMES], k), F.lit("<p>"), F.coalesce("url", F.lit("")), F.lit("</p>"))
+    return t(spark, sf_dir, "pages").select(k.alias("id"), pick([n for n, _ in NAMES], k).alias("path"), html.alias("html"))
+
+
+PAGE_PATHS_SQL = f"select page_id, case when page_id % 2 = 0 then coalesce(url, '') || '/' else '' end || {pick_sql(PATHS, 'page_id')} as path from pages"
+
+
+def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of the list, every other one below a page's address."""
+    k = F.col("page_id")
+    lead = F.when(k % 2 == 0, F.concat(F.coalesce("url", F.lit("")), F.lit("/"))).otherwise("")
+    return t(spark, sf_dir, "pages").select(k.alias("page_id"), F.concat(lead, pick(PATHS, k)).alias("path"))
+
+
 # ------------------------------------------------------------------ chapters
 
 CHAPTERS_SQL = f"""select source as book_id, row_number() over (partition by source order by doc_id) - 1 as chapter_idx,
@@ -107,27 +152,47 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), (F.row_number().over(order) - 1).cast("bigint").alias("chapter_idx"), F.element_at(pool, (F.col("doc_id") % len(TITLES) + 1).cast("int")).alias("title"), F.col("text").alias("content"))
 
 
-def golden_rows() -> list[tuple]:
-    """Each golden chapter in a book of ten, at its place among plain chapters."""
-    rows = []
-    for k, (place, title, content, _) in enumerate(GOLDEN):
-        at = {"start": 0, "middle": 5, "end": 9}[place]
-        rows += [(f"g{k:02d}", i, title, content) if i == at else (f"g{k:02d}", i, f"Part {i}", _PROSE) for i in range(10)]
-    return rows
+_PLACE = {"start": 0, "middle": 5, "end": 9}
+
+
+def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of ten documents each; one of the ten is a golden chapter at its place, in turn."""
+    docs, k = t(spark, sf_dir, "documents"), F.col("doc_id")
+    book, at = F.floor(k / 10).cast("bigint"), k % 10
+    here = at == pick([_PLACE[p] for p, *_ in GOLDEN], book)
+    title = F.when(here, pick([x[1] for x in GOLDEN], book)).otherwise(F.concat(F.lit("Part "), at.cast("string")))
+    content = F.when(here, pick([x[2] for x in GOLDEN], book)).otherwise(F.col("text"))
+    return docs.select(book.alias("book_id"), at.alias("chapter_idx"), title.alias("title"), content.alias("content"))
+
+
+_BOOK = "(doc_id // 10)"
+_HERE = f"doc_id % 10 = [{', '.join(str(_PLACE[p]) for p, *_ in GOLDEN)}][cast({_BOOK} % {len(GOLDEN)} + 1 as int)]"
+GOLDEN_SQL = f"""select {_BOOK} as book_id, doc_id % 10 as chapter_idx,
+  case when {_HERE} then {pick_sql([x[1] for x in GOLDEN], _BOOK)} else 'Part ' || doc_id % 10 end as title,
+  case when {_HERE} then {pick_sql([x[2] for x in GOLDEN], _BOOK)} else text end as content from documents"""
 
+_PAGE_HREF = "regexp_replace(coalesce(url, ''), '[<>\"%]', '', 'g')"
+PACKAGES_SQL = f"""select page_id as book_id, {pick_sql([b for _, b, _ in PACKAGES], 'page_id')} as base,
+  '<dc:title>' || {_PAGE_HREF} || ' &#8212; page</dc:title>' || {pick_sql([o for *_, o in PACKAGES], 'page_id')}
+  || '<item id="page" href="' || {_PAGE_HREF} || '"/><itemref idref="page"/>' as opf from pages"""
 
-def golden(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(golden_rows(), "book_id string, chapter_idx bigint, title string, content string")
 
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Package documents around the pages' addresses: a title, the elements of the list in turn, an item."""
+    k = F.col("page_id")
+    href = F.regexp_replace(F.coalesce("url", F.lit("")), '[<>"%]', "")
+    opf = F.concat(F.lit("<dc:title>"), href, F.lit(" &#8212; page</dc:title>"), pick([o for *_, o in PACKAGES], k), F.lit('<item id="page" href="'), href, F.lit('"/><itemref idref="page"/>'))
+    return t(spark, sf_dir, "pages").select(k.alias("book_id"), pick([b for _, b, _ in PACKAGES], k).alias("base"), opf.alias("opf"))
 
-GOLDEN_SQL = f"select * from ({values(golden_rows())}) as g(book_id, chapter_idx, title, content)"
 
+FAILURES_SQL = f"select event_id, {pick_sql(ERRORS, 'event_id')} || ' ' || event_type as message, cast(event_id % 4 as int) as attempt from events"
 
-def packages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PACKAGES), "book_id string, base string, opf string")
 
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as failed requests, the messages of the list in turn."""
+    k = F.col("event_id")
+    return t(spark, sf_dir, "events").select(k.alias("event_id"), F.concat(pick(ERRORS, k), F.lit(" "), F.col("event_type")).alias("message"), (k % 4).cast("int").alias("attempt"))
 
-PACKAGES_SQL = f"select * from ({values(PACKAGES)}) as p(book_id, base, opf)"
 
 # ------------------------------------------------------------------ library tables
 

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.dialect import SparkOps, Sql, SqlOps
-from ..functions.html import chapter_title, chapter_title_sql, clean_title, html_to_text, html_to_text_sql
-from ..functions.text import _export_marks, compare_key, decode_named, fix_letter_spacing, normalize, normalize_for_export, normalize_sql
+from ..functions.dialect import SparkOps, Sql, SqlOps, re2
+from ..functions.html import chapter_title, chapter_title_sql, clean_title, clean_title_sql, html_to_text, html_to_text_sql
+from ..functions.text import compare_key, decode_named, fix_letter_spacing, normalize, normalize_for_export, normalize_for_export_sql, normalize_sql
 from ..operators import catalog as K
 from ..operators import chapters as C
 from ..operators import export as E
@@ -56,13 +56,14 @@ def classified_chapters(spark, sf_dir):
 
 @query(classify_sql(X.GOLDEN_SQL) + "select book_id, chapter_idx, position, filter_reason from classified")
 def golden_rules(spark, sf_dir):
-    return C.filter_chapters(X.golden(spark)).select("book_id", "chapter_idx", "position", "filter_reason")
+    """Documents in books of ten, each with one golden chapter at its place."""
+    return C.filter_chapters(X.golden(spark, sf_dir)).select("book_id", "chapter_idx", "position", "filter_reason")
 
 
 _FLAGS = list(predicates(SqlOps, Sql("''")))
 
 
-@query(f"select doc_id, {', '.join(_FLAGS)} from ({predicates_sql('select doc_id, text from documents', chr(39) * 2, 'text')})")
+@query(f"select doc_id, {', '.join(_FLAGS)} from ({predicates_sql('select doc_id, text from documents', chr(39) * 2, SqlOps.coalesce(Sql('text'), ''))})")
 def content_predicates(spark, sf_dir):
     docs = X.t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return with_predicates(docs, F.lit(""), F.col("text")).select("doc_id", *_FLAGS)
@@ -80,7 +81,7 @@ def filter_stats(spark, sf_dir):
     return C.filter_stats(C.filter_chapters(X.chapters(spark, sf_dir)))
 
 
-@query(_DONE + f"select book_id, md5(v) as digest, length(v) as n from (select book_id, {SqlOps.trim(Sql('string_agg(content, chr(10) || chr(10) order by chapter_idx)'))} as v from classified where filter_reason is null group by book_id)")
+@query(_DONE + f"select book_id, md5(v) as digest, length(v) as n from (select book_id, {SqlOps.trim(Sql("string_agg(coalesce(content, ''), chr(10) || chr(10) order by chapter_idx)"))} as v from classified where filter_reason is null group by book_id)")
 def kept_content(spark, sf_dir):
     got = C.joined_content(C.kept(C.filter_chapters(X.chapters(spark, sf_dir))))
     return got.select("book_id", _digest(F.col("content")).alias("digest"), F.length("content").alias("n"))
@@ -110,8 +111,8 @@ def chapter_numbers(spark, sf_dir):
     return C.drop_blank(docs.union(blank)).select("book_id", "doc_id", F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id")).alias("number_in_book"))
 
 
-@query(_DONE + """, passed as (select book_id, row_number() over (partition by book_id order by chapter_idx) - 1 as index, title, content from classified where filter_reason is null)
-select book_id, index, case when title is null or title = '' then 'Chapter ' || (index + 1) else title end as title, length(content) as char_count from passed""")
+@query(_DONE + f""", passed as (select book_id, row_number() over (partition by book_id order by chapter_idx) - 1 as index, title, content from classified where filter_reason is null)
+select book_id, index, case when title is null or title = '' then 'Chapter ' || (index + 1) else title end as title, {_SIZE} as char_count from passed""")
 def work_items(spark, sf_dir):
     stored = C.nest_chapters(X.chapters(spark, sf_dir)).select("book_id", F.col("chapters").alias("all_chapters"), F.array().cast("array<struct<title:string,content:string>>").alias("chapters"), F.lit("").alias("title"), F.lit("").alias("content"))
     return C.work_items(stored).select("book_id", F.col("index").cast("bigint").alias("index"), "title", "char_count")
@@ -124,43 +125,43 @@ _HTML = html_to_text_sql(Sql("html"))
 
 @query(f"select page_id, md5(v) as digest, length(v) as n from (select page_id, {_HTML} as v from pages)")
 def page_text(spark, sf_dir):
-    pages = X.t(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html"), letter_spacing=False, numeric=False).alias("v"))
+    pages = X.t(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html"), letter_spacing=False).alias("v"))
     return pages.select("page_id", _digest(F.col("v")).alias("digest"), F.length("v").alias("n"))
 
 
 @query()
 def normalized_pages(spark, sf_dir):
-    """The whole chain of ``page_text``, letter spacing and numeric entities too, for which the oracle has no expression; tested against a plain version."""
+    """The whole chain of ``page_text``, letter spacing too, for which the oracle has no expression; tested against a plain version."""
     pages = X.t(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("v"))
     return pages.select("page_id", _digest(F.col("v")).alias("digest"), F.length("v").alias("n"))
 
 
 @query(f"select page_id, {chapter_title_sql(Sql('html'), Sql('v'), Sql('url'), Sql('page_id'))} as title from (select page_id, url, html, {_HTML} as v from pages)")
 def page_title(spark, sf_dir):
-    pages = X.t(spark, sf_dir, "pages").withColumn("v", html_to_text(F.col("html")))
+    pages = X.t(spark, sf_dir, "pages").withColumn("v", html_to_text(F.col("html"), letter_spacing=False))
     return pages.select("page_id", chapter_title(F.col("html"), F.col("v"), F.col("url"), F.col("page_id")).alias("title"))
 
 
-_NAMES = [("ch1.xhtml", "<p class='x dedication'>a</p>"), ("x.html", "<section epub:type='frontmatter copyright-page'>b</section>"), ("about_author.xhtml", "c"), ("a/my-foreword_2.html", "d"), ("t.html", "<title>Untitled</title>e\nf"), ("t.html", "<title>Real &amp; Good</title>"), ("y.html", "<h2> <b>A</b>\n B</h2>"), ("z.html", ""), ("toc.html", "<p class='intro'>g"), ("q.html", "l" * 130 + "\nshort")]
-_NAMES_SQL = f"select * from ({X.values([(k, n, h) for k, (n, h) in enumerate(_NAMES)])}) as v(id, path, html)"
-
-
-@query(f"select id, {chapter_title_sql(Sql('html'), Sql('v'), Sql('path'), Sql('id'))} as title from (select id, path, html, {_HTML} as v from ({_NAMES_SQL}))")
-def title_sources(spark, sf_dir):
-    rows = spark.createDataFrame([(k, n, h) for k, (n, h) in enumerate(_NAMES)], "id int, path string, html string").withColumn("v", html_to_text(F.col("html")))
-    return rows.select("id", chapter_title(F.col("html"), F.col("v"), F.col("path"), F.col("id")).alias("title"))
-
-
-_RAW_HEADING = SqlOps.coalesce(SqlOps.extract(Sql("html"), P.HEADING, 1, True), "")
-_BARE_HEADING = SqlOps.trim(SqlOps.replace(SqlOps.replace(_RAW_HEADING, "<[^>]+>", " "), r"\s+", " "))
+@query()
+def normalized_titles(spark, sf_dir):
+    """The whole chain of ``page_title``: text with letter spacing; tested against a plain version."""
+    pages = X.t(spark, sf_dir, "pages").withColumn("v", html_to_text(F.col("html")))
+    return pages.select("page_id", chapter_title(F.col("html"), F.col("v"), F.col("url"), F.col("page_id")).alias("title"))
 
 
-@query(f"select page_id, {decode_named(SqlOps, _BARE_HEADING)} as heading from pages")
+@query(f"select page_id, {clean_title_sql(SqlOps.coalesce(SqlOps.extract(Sql('html'), P.HEADING, 1, True), ''))} as heading from pages")
 def page_headings(spark, sf_dir):
     raw = F.coalesce(S.extract(F.col("html"), P.HEADING, 1, True), F.lit(""))
     return X.t(spark, sf_dir, "pages").select("page_id", clean_title(raw).alias("heading"))
 
 
+@query(f"select id, {chapter_title_sql(Sql('html'), Sql('v'), Sql('path'), Sql('id'))} as title from (select id, path, html, {_HTML} as v from ({X.TITLE_SOURCES_SQL}))")
+def title_sources(spark, sf_dir):
+    """Every source of a title in turn, in markup around the pages' addresses."""
+    rows = X.title_sources(spark, sf_dir).withColumn("v", html_to_text(F.col("html"), letter_spacing=False))
+    return rows.select("id", chapter_title(F.col("html"), F.col("v"), F.col("path"), F.col("id")).alias("title"))
+
+
 @query(f"select page_id, md5({decode_named(SqlOps, Sql('html'))}) as digest from pages")
 def entity_decode(spark, sf_dir):
     return X.t(spark, sf_dir, "pages").select("page_id", _digest(decode_named(S, F.col("html"))).alias("digest"))
@@ -171,9 +172,9 @@ def contains_html(spark, sf_dir):
     return X.t(spark, sf_dir, "pages").select("page_id", T.contains_html(F.col("html")).alias("has_html"), T.contains_html(F.col("url")).alias("url_has_html"))
 
 
-@query(f"select path, {skip_reason(SqlOps, Sql('path'))} as skip_reason from (select unnest({X._list(X.PATHS)}) as path)")
+@query(f"select page_id, path, {skip_reason(SqlOps, Sql('path'))} as skip_reason from ({X.PAGE_PATHS_SQL})")
 def filename_skip(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in X.PATHS], "path string").select("path", C.filename_skip_reason(F.col("path")).alias("skip_reason"))
+    return X.page_paths(spark, sf_dir).select("page_id", "path", C.filename_skip_reason(F.col("path")).alias("skip_reason"))
 
 
 @query(f"select page_id, {skip_reason(SqlOps, Sql('url'))} as skip_reason from pages")
@@ -189,7 +190,7 @@ def normalize_text(spark, sf_dir):
     return X.t(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text"), letter_spacing=False).alias("v")).select("doc_id", _digest(F.col("v")).alias("digest"), F.length("v").alias("n"))
 
 
-@query(f"select doc_id, md5({_export_marks(SqlOps, Sql('v'))}) as digest from (select doc_id, {_NORMAL} as v from documents)")
+@query(f"select doc_id, md5({normalize_for_export_sql(Sql('text'))}) as digest from documents")
 def export_text(spark, sf_dir):
     return X.t(spark, sf_dir, "documents").select("doc_id", _digest(normalize_for_export(F.col("text"), letter_spacing=False)).alias("digest"))
 
@@ -246,21 +247,20 @@ def title_echo(spark, sf_dir):
 # ------------------------------------------------------------------ packages
 
 
-@query(
-    r"""with raw as (select book_id, regexp_extract(opf, '<dc:title[^>]*>([^<]+)</dc:title>', 1) as t, regexp_extract(opf, '<dc:creator[^>]*>([^<]+)</dc:creator>', 1) as a,
-  regexp_extract(opf, '<dc:language[^>]*>([^<]+)</dc:language>', 1) as l from ("""
-    + X.PACKAGES_SQL
-    + f""")) select book_id, case when t = '' then 'Unknown Title' else {decode_named(SqlOps, SqlOps.trim(Sql('t')))} end as title,
-  case when a = '' then 'Unknown Author' else {decode_named(SqlOps, SqlOps.trim(Sql('a')))} end as author, case when l = '' then 'en' else l end as language from raw"""
-)
+def _element(tag, default, decode=False):
+    raw = SqlOps.trim(SqlOps.extract(Sql("opf"), P.PACKAGE_ELEMENT.format(tag, tag), 1))
+    return SqlOps.coalesce(clean_title_sql(raw) if decode else raw, default)
+
+
+@query(f"select book_id, {_element('title', 'Unknown Title', True)} as title, {_element('creator', 'Unknown Author', True)} as author, {_element('language', 'en')} as language from ({X.PACKAGES_SQL})")
 def package_metadata(spark, sf_dir):
-    return C.package_metadata(X.packages(spark)).select("book_id", "title", "author", "language")
+    return C.package_metadata(X.packages(spark, sf_dir)).select("book_id", "title", "author", "language")
 
 
 _MANIFEST = f"""with e as (
-  select book_id, 0 as turn, generate_subscripts(h, 1) as pos, unnest(i) as id, unnest(h) as href from (select book_id, regexp_extract_all(opf, '{P.MANIFEST_ID_FIRST}', 1) as i, regexp_extract_all(opf, '{P.MANIFEST_ID_FIRST}', 2) as h from ({X.PACKAGES_SQL}))
+  select book_id, 0 as turn, generate_subscripts(h, 1) as pos, unnest(i) as id, unnest(h) as href from (select book_id, regexp_extract_all(opf, '{re2(P.MANIFEST_ID_FIRST)}', 1) as i, regexp_extract_all(opf, '{re2(P.MANIFEST_ID_FIRST)}', 2) as h from ({X.PACKAGES_SQL}))
   union all
-  select book_id, 1, generate_subscripts(h, 1), unnest(i), unnest(h) from (select book_id, regexp_extract_all(opf, '{P.MANIFEST_HREF_FIRST}', 2) as i, regexp_extract_all(opf, '{P.MANIFEST_HREF_FIRST}', 1) as h from ({X.PACKAGES_SQL}))),
+  select book_id, 1, generate_subscripts(h, 1), unnest(i), unnest(h) from (select book_id, regexp_extract_all(opf, '{re2(P.MANIFEST_HREF_FIRST)}', 2) as i, regexp_extract_all(opf, '{re2(P.MANIFEST_HREF_FIRST)}', 1) as h from ({X.PACKAGES_SQL}))),
 manifest as (select book_id, id, arg_max(href, turn * 1000 + pos) as href from e group by book_id, id),
 spine as (select book_id, base, generate_subscripts(r, 1) - 1 as pos, unnest(r) as idref from (select book_id, base, regexp_extract_all(opf, '<itemref[^>]+idref="([^"]+)"[^>]*>', 1) as r from ({X.PACKAGES_SQL})))
 """
@@ -268,12 +268,12 @@ spine as (select book_id, base, generate_subscripts(r, 1) - 1 as pos, unnest(r)
 
 @query(_MANIFEST + "select book_id, id, href from manifest")
 def manifest_items(spark, sf_dir):
-    return C.manifest_items(X.packages(spark))
+    return C.manifest_items(X.packages(spark, sf_dir))
 
 
 @query(_MANIFEST + f"select book_id, pos, idref, path, {skip_reason(SqlOps, Sql('path'))} as skip_reason from (select book_id, cast(pos as int) as pos, idref, coalesce(base, '') || url_decode(replace(href, '+', '%2B')) as path from spine join manifest using (book_id) where idref = id)")
 def spine_paths(spark, sf_dir):
-    rows = X.packages(spark)
+    rows = X.packages(spark, sf_dir)
     spine = C.spine_items(rows).join(rows.select("book_id", "base"), "book_id")
     return C.spine_paths(spine, C.manifest_items(rows))
 
@@ -315,12 +315,12 @@ _QUOTA_SQL = " or ".join(f"contains(lower(message), '{x}')" for x in P.QUOTA_ERR
 _SERVER_SQL = f"regexp_matches(message, '{P.SERVER_ERROR}') or " + " or ".join(f"contains(lower(message), '{x}')" for x in P.NETWORK_ERRORS)
 
 
-@query(f"""select message, attempt, quota, server, case when quota or (contains(message, 'HTTP 4') and not server) or attempt >= 2 then -1 else cast(least(1000 * 2 ** attempt, 6000) as int) end as wait_ms
-from (select message, cast(attempt as int) as attempt, {_QUOTA_SQL} as quota, {_SERVER_SQL} as server from (select unnest({X._list(X.ERRORS)}) as message), range(3) as r(attempt))""")
+@query(f"""select event_id, message, attempt, quota, server, case when quota or (contains(message, 'HTTP 4') and not server) or attempt >= 2 then -1 else cast(least(1000 * 2 ** attempt, 6000) as int) end as wait_ms
+from (select *, {_QUOTA_SQL} as quota, {_SERVER_SQL} as server from ({X.FAILURES_SQL}))""")
 def error_actions(spark, sf_dir):
-    rows = spark.createDataFrame([(m, a) for m in X.ERRORS for a in range(3)], "message string, attempt int")
+    """Events as failed requests."""
     m = F.col("message")
-    return rows.select("message", "attempt", T.is_quota_error(m).alias("quota"), T.is_server_error(m).alias("server"), T.retry_action(m, F.col("attempt")).alias("wait_ms"))
+    return X.failures(spark, sf_dir).select("event_id", "message", "attempt", T.is_quota_error(m).alias("quota"), T.is_server_error(m).alias("server"), T.retry_action(m, F.col("attempt")).alias("wait_ms"))
 
 
 @query()
@@ -517,7 +517,7 @@ def fallback_paths(spark, sf_dir):
     return C.fallback_paths(entries)
 
 
-@query("select page_id as pos, md5(html) as digest from pages")
+@query("select page_id as pos, md5(html) as digest from pages where html is not null")
 def joined_entries(spark, sf_dir):
     """Every page found under its path, odd ones by the percent-encoded one; a path without entry per page is gone."""
     pages = X.t(spark, sf_dir, "pages")

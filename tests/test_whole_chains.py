@@ -54,3 +54,12 @@ def test_pages(spark, tmp_path):
     got = {r.page_id: (r.digest, r.n) for r in QUERIES["normalized_pages"](spark, str(tmp_path)).collect()}
     assert got == {k: (md5(page(t).encode()).hexdigest(), len(page(t))) for k, t in enumerate(PAGES)}
     assert got[0] != dict((k, v) for k, *v in want)[0]
+
+
+def test_titles(spark, tmp_path):
+    """``normalized_titles`` closes spaced letters of the text, ``page_title`` does not."""
+    pages = pa.table({"page_id": [1, 2, 3], "html": ["<p>f l a c h e n   S t e i n e</p>", "<h1>A &#8364;</h1>", None], "url": ["x", "y", None]})
+    pq.write_table(pages, tmp_path / "pages.parquet")
+    titles = lambda name: {r.page_id: r.title for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert titles("normalized_titles") == {1: "flachenSteine", 2: "A €", 3: "Chapter 3"}
+    assert titles("page_title")[1] == "f l a c h e n S t e i n e"
