@@ -48,6 +48,11 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     return left.join(right.hint("merge"), on, how)
 
 
+def least_hashes(wanted: int, known: int) -> int:
+    """The bound below which lie about ``wanted`` of ``known`` evenly spread signed 64-bit hashes, for any numbers; all of them if there are no more."""
+    return (1 << 63) - 1 if wanted >= known else (wanted << 64) // known - (1 << 63)
+
+
 # ---------------------------------------------------------------- files in the shared folder
 
 

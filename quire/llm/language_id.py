@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize, small_batches, spare_name, table, text_blocks, tidy
+from .common import least_hashes, lookup_join, materialize, small_batches, spare_name, table, text_blocks, tidy
 
 PROFILE = 300
+#: Distinct n-grams of a language that a task holds before it passes their counts on.
+HELD = 1 << 20
 #: Labelled documents per language that a profile is learned from, about.
 MAX_DOCS = 3000
 UNKNOWN = "und"
@@ -93,10 +95,10 @@ def _labelled(docs: DataFrame, text_col: str, lang_col: str, id_col: str, max_do
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1_000_000, max_docs * 1_000_000 // r["count"] + 1)) for r in counts], "lang string, share long")
+    share = docs.sparkSession.createDataFrame([(r["lang"], least_hashes(max_docs, r["count"])) for r in counts], "lang string, most long")
     # one row a language
     rows = lookup_join(rows, share, "lang", "inner", len(counts))
-    return rows.where(F.pmod(F.xxhash64("i", "lang"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
+    return rows.where(F.xxhash64("i", "lang") <= F.col("most")).select("lang", "text")
 
 
 def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, size: int = PROFILE, max_docs: int | None = MAX_DOCS) -> Profiles:
@@ -111,6 +113,12 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     if rows is None:
         return Profiles({}, size)
 
+    def flush(lang, parts):
+        keys, n = _sum(parts)
+        for at in range(0, len(keys), 50_000):
+            k = keys[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n[at : at + 50_000])], names=["lang", "gram", "n"])
+
     def count(batches):
         held: dict[str, list] = {}
         for batch in batches:
@@ -118,11 +126,10 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                 held.setdefault(lang, []).append(grams(text))
                 if len(held[lang]) >= 200:
                     held[lang] = [_sum(held[lang])]
+                    if len(held[lang][0][0]) > HELD:  # the shuffle sums what is sent twice
+                        yield from flush(lang, held.pop(lang))
         for lang, parts in held.items():
-            keys, n = _sum(parts)
-            for at in range(0, len(keys), 50_000):
-                k = keys[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n[at : at + 50_000])], names=["lang", "gram", "n"])
+            yield from flush(lang, parts)
 
     totals = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -216,9 +223,13 @@ def quantile(values: DataFrame, share: float) -> float | None:
 
 def distance_limit(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> float:
     """Distance beyond which a document of ``ENOUGH`` n-grams is no known language: from the distances of all labelled documents."""
-    rows = _labelled(docs, text_col, lang_col, id_col, None)
-    near = identify(rows, profiles, out="found").where(F.col("found.n_grams") >= ENOUGH)
-    high = quantile(materialize(near.select("found.distance"), "distances"), QUANTILE)
+    near = identify(_labelled(docs, text_col, lang_col, id_col, None), profiles, out="found")
+    return limit_of(materialize(near.select("found.distance", "found.n_grams"), "distances"))
+
+
+def limit_of(found: DataFrame) -> float:
+    """The same from the labelled documents' (distance, n_grams), read twice."""
+    high = quantile(found.where(F.col("n_grams") >= ENOUGH).select("distance"), QUANTILE)
     return MAX_DISTANCE if high is None else min(MAX_DISTANCE, high + MARGIN)
 
 
@@ -226,12 +237,15 @@ def keep_known_languages(spark, docs, sf_dir):
     """Pipeline stage: drop documents without letters and those far from every profile.
 
     Far is ``MAX_DISTANCE`` for short documents, for others ``distance_limit``.
-    Profiles and limit come from all labelled documents.
+    Profiles and limit come from all labelled documents; documents are
+    identified once, for the limit and for the decision. Null texts go, null
+    identifiers and labels stay but are not learned from; repeated rows are
+    decided alike; columns pass unchanged, whatever their names.
     """
-    labelled = docs.where(~held_out(F.col("doc_id"), 4, 2) & F.col("doc_id").isNotNull())
-    profiles = learn_profiles(labelled, max_docs=None)
-    limit = distance_limit(labelled, profiles)
+    labelled = ~held_out(F.col("doc_id"), 4, 2) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    profiles = learn_profiles(docs.where(labelled), max_docs=None)
     own = spare_name(docs, "language")
-    found = identify(docs, profiles, out=own)
+    found = materialize(identify(docs, profiles, out=own), "languages")
+    limit = limit_of(found.where(labelled).select(f"{own}.distance", f"{own}.n_grams"))
     far = F.when(F.col(f"{own}.n_grams") < ENOUGH, MAX_DISTANCE).otherwise(limit)
     return found.where((F.col(f"{own}.lang") != UNKNOWN) & (F.col(f"{own}.distance") <= far)).drop(own)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Arrays, arrow_units, materialize, small_batches, spare_name, split_units, table, text_blocks, tidy, work_path
+from .common import Arrays, arrow_units, least_hashes, materialize, small_batches, spare_name, split_units, table, text_blocks, tidy, work_path
 from .language_id import held_out
 
 #: Labelled documents in the index, about; neighbours; examples for calibration; examples in a block.
@@ -463,8 +463,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    share = min(1.0, max_examples / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumnRenamed("doc_id", "i")
+    chosen = known.where(F.xxhash64("doc_id") <= least_hashes(max_examples, known.count())).withColumnRenamed("doc_id", "i")
     # the chosen labels are bounded by ``max_examples``, so they are broadcast and documents stay where they are
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     sample = rows.join(F.broadcast(chosen), "i").where("t is not null")

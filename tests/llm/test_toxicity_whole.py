@@ -94,3 +94,20 @@ def mapped(x):
     while isinstance(x, np.ndarray):
         x = x.base
     return x.obj if isinstance(x, memoryview) else x
+
+
+def test_share_of_labels_at_any_number():
+    """Samples of evenly spread 64-bit hashes keep their size from a few labels to far beyond what a share in millionths could say."""
+    import numpy as np
+
+    from quire.llm.common import least_hashes
+
+    hashes = np.sort(np.random.default_rng(7).integers(-(2**63), 2**63 - 1, 2_000_000))
+    for known in (10**6, 10**9, 10**10, 10**11, 10**12, 10**15):
+        most = least_hashes(20_000, known)
+        assert -(2**63) <= most < 2**63
+        share = (most + 2**63) / 2**64  # of all hashes
+        assert abs(share * known - 20_000) < 1
+        if known == 10**6:
+            assert abs((hashes <= most).mean() - 0.02) < 0.001
+    assert least_hashes(20_000, 20_000) == least_hashes(20_000, 3) == least_hashes(1, 0) == 2**63 - 1
