@@ -71,7 +71,7 @@ def test_mobi(packed):
 
 
 def test_palmdoc_copies():
-    from quire.sources.containers import _palmdoc
+    from quire.sources.mobi import palmdoc as _palmdoc
 
     pair = 0x8000 | 3 << 3 | 4  # three back, seven bytes
     assert _palmdoc(b"abc" + struct.pack(">H", pair) + b"\xe4") == b"abc" + b"abcabca" + b" d"
