@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.dialect import SparkOps, either
+from ..functions.dialect import SPACE_CHARACTERS, SparkOps, either
 from ..functions.html import chapter_title, clean_title, html_to_text
 from ..schema import DEFAULT_METADATA, FAILED, NO_CONTENT
 from ..storage import materialize
@@ -59,25 +59,34 @@ def removed(classified: DataFrame) -> DataFrame:
     return classified.where("filter_reason is not null")
 
 
-def filter_stats(classified: DataFrame) -> DataFrame:
-    """Per book: chapters in total, kept, removed; characters (UTF-16 units, untrimmed) before, after, saved; percent saved."""
+def _sums() -> list[Column]:
+    """Aggregates of classified chapters that ``filter_stats`` is made of."""
     stay = F.col("filter_reason").isNull()
     size = S.length(F.coalesce("content", F.lit("")))
-    sums = classified.groupBy("book_id").agg(
+    return [
         F.count("*").alias("total_chapters"),
         F.count_if(stay).alias("kept_chapters"),
         F.count_if(~stay).alias("removed_chapters"),
         F.sum(size).alias("original_chars"),
         F.coalesce(F.sum(F.when(stay, size)), F.lit(0)).cast("bigint").alias("filtered_chars"),
-    )
+    ]
+
+
+def _savings() -> list[Column]:
     saved = F.col("original_chars") - F.col("filtered_chars")
     percent = F.when(F.col("original_chars") > 0, F.floor(saved.cast("double") / F.col("original_chars") * 100 + 0.5)).otherwise(0)
-    return sums.select("*", saved.alias("saved_chars"), percent.cast("int").alias("saved_percent"))
+    return [saved.alias("saved_chars"), percent.cast("int").alias("saved_percent")]
 
 
-def in_order(value: Column, index: str = "chapter_idx") -> Column:
-    """Aggregate: values of a group as an array, by index."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), value.alias("v")))), lambda x: x["v"])
+def filter_stats(classified: DataFrame) -> DataFrame:
+    """Per book: chapters in total, kept, removed; characters (UTF-16 units, untrimmed) before, after, saved; percent saved."""
+    return classified.groupBy("book_id").agg(*_sums()).select("*", *_savings())
+
+
+def in_order(value: Column, index: str = "chapter_idx", where: Column | None = None) -> Column:
+    """Aggregate: values of a group as an array, by index; only those that meet a condition, if there is one."""
+    pair = F.struct(F.col(index).alias("i"), value.alias("v"))
+    return F.transform(F.array_sort(F.collect_list(pair if where is None else F.when(where, pair))), lambda x: x["v"])
 
 
 def joined_content(chapters: DataFrame, trim: bool = True, placeholder: str | None = None) -> DataFrame:
@@ -91,8 +100,11 @@ def joined_content(chapters: DataFrame, trim: bool = True, placeholder: str | No
 
 def removed_titles(classified: DataFrame) -> DataFrame:
     """Per book ``title (reason)`` of its removed chapters, in order."""
-    label = F.concat("title", F.lit(" ("), "filter_reason", F.lit(")"))
-    return removed(classified).groupBy("book_id").agg(in_order(label).alias("removed_titles"))
+    return removed(classified).groupBy("book_id").agg(in_order(_label()).alias("removed_titles"))
+
+
+def _label() -> Column:
+    return F.concat("title", F.lit(" ("), "filter_reason", F.lit(")"))
 
 
 def nest_chapters(chapters: DataFrame) -> DataFrame:
@@ -108,24 +120,29 @@ def book_documents(files: DataFrame, kind: str = "epub", mode: str = "compat") -
     """One row per book: metadata, content of kept chapters, kept and all chapters, statistics.
 
     A book that could not be read has the default metadata, a fixed message as
-    content and no chapters; one without kept chapters a placeholder.
+    content and no chapters; one without kept chapters a placeholder. A single
+    entry that could not be read is only missing.
     """
     name = kind.upper()
-    books = files.groupBy("book_id").agg(F.first("file_title", True).alias("title"), F.first("author", True).alias("author"), F.first("language", True).alias("language"), F.max("parse_error").alias("parse_error"))
-    # written once each: five readers follow, and markup and rules are the costly steps
-    every = materialize(read_chapters(files, kind), "chapters")
-    done = materialize(filter_chapters(every, mode), "classified")
-    parts = nest_chapters(every).withColumnRenamed("chapters", "all_chapters").join(nest_chapters(kept(done)), "book_id", "left").join(joined_content(kept(done)), "book_id", "left").join(filter_stats(done), "book_id", "left").join(removed_titles(done), "book_id", "left")
+    books = files.groupBy("book_id").agg(F.first("file_title", True).alias("title"), F.first("author", True).alias("author"), F.first("language", True).alias("language"), F.max(F.when(F.col("path").isNull(), F.col("parse_error"))).alias("parse_error"))
+    # written once: positions read it twice, and markup is the costly step
+    done = filter_chapters(materialize(read_chapters(files, kind), "chapters"), mode)
+    stay, chapter = F.col("filter_reason").isNull(), F.struct("title", "content")
+    parts = done.groupBy("book_id").agg(
+        in_order(chapter, where=stay).alias("chapters"), in_order(chapter).alias("all_chapters"), in_order(_label(), where=~stay).alias("removed_titles"), *_sums()
+    )
     failed = F.col("parse_error").isNotNull()
-    out = books.join(parts, "book_id", "left")
-    content = F.when(failed, FAILED.format(name)).otherwise(F.coalesce(F.when(F.col("content") != "", F.col("content")), F.lit(NO_CONTENT.format(name))))
+    out = books.join(parts.select("*", *_savings()), "book_id", "left")
+    content = F.trim(F.array_join(F.transform("chapters", lambda c: F.coalesce(c["content"], F.lit(""))), "\n\n"), F.lit(SPACE_CHARACTERS))
+    content = F.when(failed, FAILED.format(name)).otherwise(F.coalesce(F.when(content != "", content), F.lit(NO_CONTENT.format(name))))
     meta = {c: F.when(failed, d).otherwise(F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(d))) for c, d in DEFAULT_METADATA.items()}
     none = F.array().cast("array<struct<title:string,content:string>>")
+    unless_failed = lambda c, default: F.coalesce(F.when(~failed, F.col(c)), default).alias(c)
     return out.select(
         "book_id", *[v.alias(c) for c, v in meta.items()], content.alias("content"), "parse_error",
-        F.coalesce("chapters", none).alias("chapters"), F.coalesce("all_chapters", none).alias("all_chapters"),
-        "total_chapters", "kept_chapters", "removed_chapters", "saved_chars", "saved_percent",
-        F.coalesce("removed_titles", F.array().cast("array<string>")).alias("removed_titles"),
+        unless_failed("chapters", none), unless_failed("all_chapters", none),
+        *[F.when(~failed, F.col(c)).alias(c) for c in ("total_chapters", "kept_chapters", "removed_chapters", "saved_chars", "saved_percent")],
+        unless_failed("removed_titles", F.array().cast("array<string>")),
     )
 
 

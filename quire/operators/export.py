@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -15,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.dialect import SparkOps, let
 from ..functions.text import compare_key, normalize_for_export
+from ..sinks.documents import listed_documents, save_documents
 
 S = SparkOps
 
@@ -203,26 +201,6 @@ def render(books: DataFrame, *, form: str = "pdf") -> DataFrame:
 
 
 def write_documents(rendered: DataFrame, folder: str, suffix: str = ".pdf") -> DataFrame:
-    """Write each document as a file into a folder that all executors share; returns (book_id, path, n_bytes) when read.
-
-    An identifier that is no plain file name gets its digest behind what is left of it, so no two share a file.
-    """
-    safe = re.compile(r"[^A-Za-z0-9_.-]")
-
-    def run(batches):
-        from pyarrow import fs
-
-        out, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        out.create_dir(base, recursive=True)
-        for batch in batches:
-            for book, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name = safe.sub("_", str(book))
-                name = name if name == str(book) and len(name) <= 100 else f"{name[-100:]}-{hashlib.sha256(str(book).encode()).hexdigest()[:32]}"
-                path = f"{base}/{name}{suffix}"
-                tmp = f"{path}.{uuid.uuid4().hex}"
-                with out.open_output_stream(tmp) as f:
-                    f.write(body)
-                out.move(tmp, path)
-                yield pa.RecordBatch.from_arrays([pa.array([str(book)]), pa.array([path]), pa.array([len(body)], pa.int64())], names=["book_id", "path", "n_bytes"])
-
-    return rendered.select("book_id", "document").mapInArrow(run, "book_id string, path string, n_bytes bigint")
+    """Write each document as a file below a folder that all executors share, at once and all or none; returns (book_id, path, n_bytes) of the folder's documents."""
+    save_documents(rendered, folder, suffix)
+    return listed_documents(rendered.sparkSession, folder)

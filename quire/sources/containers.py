@@ -11,6 +11,7 @@ import re
 import urllib.parse
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..functions import patterns as P
 from ..schema import CHAPTER_FILES
 from .mobi import read_mobi_parts
 
-_SCHEMA = pa.schema([("book_id", pa.string()), ("file_title", pa.string()), ("author", pa.string()), ("language", pa.string()), ("chapter_idx", pa.int32()), ("path", pa.string()), ("html", pa.string()), ("listed_title", pa.string()), ("parse_error", pa.string())])
+SCHEMA = pa.schema([("book_id", pa.string()), ("file_title", pa.string()), ("author", pa.string()), ("language", pa.string()), ("chapter_idx", pa.int32()), ("path", pa.string()), ("html", pa.string()), ("listed_title", pa.string()), ("parse_error", pa.string())])
 
 
 def file_is_skipped(path: str) -> str | None:
@@ -75,15 +76,29 @@ class Package:
         return (path for path in listed if not file_is_skipped(path))
 
 
+class EntryTooLarge(ValueError):
+    """An entry of an archive that unpacks to more than is allowed."""
+
+
 class Archive:
-    """Named entries of an EPUB file, unpacked one by one when they are read."""
+    """Named entries of an EPUB file, unpacked one by one when they are read, piece by piece and up to ``most`` bytes."""
 
-    def __init__(self, data: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(data))
+    def __init__(self, file: BinaryIO, most: int | None = None):
+        self.zip, self.most = zipfile.ZipFile(file), most
         self.names = dict.fromkeys(self.zip.namelist())
 
+    def packed_size(self, name: str) -> int:
+        return self.zip.getinfo(name).compress_size
+
     def text(self, name: str) -> str:
-        return self.zip.read(name).decode("utf-8", "replace")
+        parts, size = [], 0
+        with self.zip.open(name) as f:
+            while part := f.read(1 << 20):
+                size += len(part)
+                if self.most is not None and size > self.most:  # whatever size the archive claims
+                    raise EntryTooLarge(f"{name} is larger than {self.most} bytes")
+                parts.append(part)
+        return b"".join(parts).decode("utf-8", "replace")
 
     def package(self) -> Package | None:
         """The package that the container file names, else the first one by suffix."""
@@ -101,14 +116,19 @@ class Archive:
         """The name of an entry as it is, or percent-encoded."""
         return next((n for n in (path, urllib.parse.quote(path, safe="/;,?:@&=+$#!'()*~")) if n in self.names), None)
 
+    def chapters(self) -> tuple[dict, list[tuple[str, str]]]:
+        """Metadata, and (path, entry) of the chapter files in reading order; skipped ones stay packed."""
+        package = self.package()
+        paths = list(package.paths()) if package else []
+        entries = ((path, self.entry(path)) for path in paths or self.loose_paths())
+        return package.metadata() if package else {}, [(path, name) for path, name in entries if name is not None]
+
 
 def read_epub(data: bytes) -> tuple[dict, list[tuple[str, str]]]:
-    """Metadata and (path, markup) of an archive's chapter files in reading order, skipped ones left packed."""
-    archive = Archive(data)
-    package = archive.package()
-    paths = list(package.paths()) if package else []
-    entries = ((path, archive.entry(path)) for path in paths or archive.loose_paths())
-    return package.metadata() if package else {}, [(path, archive.text(name)) for path, name in entries if name is not None]
+    """Metadata and (path, markup) of an archive's chapter files in reading order."""
+    archive = Archive(io.BytesIO(data))
+    meta, chapters = archive.chapters()
+    return meta, [(path, archive.text(name)) for path, name in chapters]
 
 
 # ------------------------------------------------------------------ MOBI
@@ -124,20 +144,30 @@ def read_mobi(data: bytes) -> tuple[dict, list[tuple[str, str]]]:
 
 
 def chapter_files(files: DataFrame, kind: str) -> DataFrame:
-    """(path, content) rows of ``binaryFile`` to chapter files; a file that cannot be read gives one row with parse_error."""
-    reader = {"epub": read_epub, "mobi": read_mobi}[kind]
+    """(path, content) rows of ``binaryFile``, also of a stream, to chapter files; a file that cannot be read gives one row with parse_error.
+
+    A row holds a whole file here; ``read_books`` reads archives of any size.
+    """
+    if kind not in ("epub", "mobi"):
+        raise ValueError("kind is epub or mobi")
+
+    def parts_of(data: bytes) -> tuple[dict, list[tuple]]:
+        if kind == "mobi":
+            return read_mobi_parts(data)
+        meta, parts = read_epub(data)
+        return meta, [(*p, None) for p in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for book, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    meta, parts = reader(data.as_py())
+                    meta, parts = parts_of(data.as_py())
                     error = None
                 except Exception as e:  # any defect of the file makes an error book
                     meta, parts, error = {}, [], f"{type(e).__name__}: {e}"
                 common = {"book_id": book, "file_title": meta.get("title"), "author": meta.get("author"), "language": meta.get("language"), "parse_error": error}
-                rows = [{**common, "chapter_idx": k, "path": p, "html": h} for k, (p, h) in enumerate(parts)] or [common]
-                yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                rows = [{**common, "chapter_idx": k, "path": p, "html": h, "listed_title": t} for k, (p, h, t) in enumerate(parts)] or [common]
+                yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
     return files.select("path", "content").mapInArrow(run, CHAPTER_FILES)
 
@@ -147,10 +177,12 @@ def file_glob(kind: str) -> str:
     return "*." + "".join(f"[{c}{c.upper()}]" for c in kind)
 
 
-def read_books(spark: SparkSession, folder: str, kind: str = "epub") -> DataFrame:
-    """Chapter files of all books of a kind under a folder; the extension counts in any case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file_glob(kind)).load(folder)
-    return chapter_files(files, kind)
+def read_books(spark: SparkSession, folder: str, kind: str = "epub", **options) -> DataFrame:
+    """Chapter files of all books of a kind under a folder, by the data source of ``books``; the extension counts in any case."""
+    from .books import FORMAT, BookSource
+
+    spark.dataSource.register(BookSource)
+    return spark.read.format(FORMAT).options(kind=kind, **options).load(folder)
 
 
 def upload_kind(name):
