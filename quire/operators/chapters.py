@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import patterns as P
 from ..functions.dialect import SPACE_CHARACTERS, SparkOps, either
@@ -11,6 +16,7 @@ from ..functions.html import chapter_title, clean_title, html_to_text
 from ..schema import DEFAULT_METADATA, FAILED, NO_CONTENT
 from ..storage import materialize
 from .classify import classify, skip_reason, with_position
+from .scan import numbered, running_sums
 
 S = SparkOps
 
@@ -32,8 +38,7 @@ def read_chapters(files: DataFrame, kind: str = "epub") -> DataFrame:
     where a title listed in the file or its first heading comes first.
     """
     rows = drop_blank(files.where("html is not null").withColumn("content", html_to_text(F.col("html"))))
-    order = Window.partitionBy("book_id").orderBy("chapter_idx")
-    rows = rows.withColumn("_n", F.row_number().over(order))
+    rows = _with_number(rows, "_n")
     if kind == "mobi":
         heading = S.trim(S.replace(S.extract(F.col("html"), P.HEADING, 1, True), r"<[^>]+>", ""))
         listed = F.when(F.col("listed_title") != "", F.col("listed_title"))
@@ -48,11 +53,21 @@ def filter_chapters(chapters: DataFrame, mode: str = "compat") -> DataFrame:
     return classify(with_position(chapters), mode=mode)
 
 
+def _with_number(chapters: DataFrame, name: str) -> DataFrame:
+    """Chapters with their number from 1 in their book.
+
+    Written once with a row number; the narrow rows are numbered by a scan and
+    joined back, so that no task holds a book and equal indexes do not multiply.
+    """
+    rows = materialize(chapters.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    numbers = numbered(rows.select("book_id", "chapter_idx", "_row"), ["book_id"], ["chapter_idx"], name)
+    return rows.join(numbers.select("_row", name), "_row").drop("_row")
+
+
 def kept(classified: DataFrame) -> DataFrame:
     """Kept chapters, indexed anew from 0 in order."""
-    order = Window.partitionBy("book_id").orderBy("chapter_idx")
-    rows = classified.where("filter_reason is null")
-    return rows.withColumn("chapter_idx", F.row_number().over(order) - 1)
+    rows = _with_number(classified.where("filter_reason is null"), "_n")
+    return rows.withColumn("chapter_idx", (F.col("_n") - 1).cast("int")).drop("_n")
 
 
 def removed(classified: DataFrame) -> DataFrame:
@@ -98,12 +113,77 @@ def joined_content(chapters: DataFrame, trim: bool = True, placeholder: str | No
     return chapters.groupBy("book_id").agg(text.alias("content"))
 
 
+def content_segments(chapters: DataFrame, value: Column | None = None, *, gap: str = "\n\n", trim: bool = True) -> DataFrame:
+    """Each book's text as ordered segments (book_id, segment, offset, text), one a chapter: what ``joined_content`` puts into one row, for books of any size.
+
+    Put one behind the other by ``segment``, the texts are the book; ``offset``
+    counts the characters before. All but the first begin with the gap. With
+    ``trim`` the white space around the whole book is gone; a book of white
+    space alone has no segment then.
+    """
+    text, space = F.coalesce("content" if value is None else value, F.lit("")), F.lit(SPACE_CHARACTERS)
+    rows = chapters.select("book_id", "chapter_idx", text.alias("text"), F.monotonically_increasing_id().alias("_row"))
+    sizes = {"n": F.length("text"), "n_left": F.length(F.ltrim("text", space)), "n_right": F.length(F.rtrim("text", space)), "n_both": F.length(S.trim(F.col("text")))} if trim else {"n": F.length("text")}
+    rows = materialize(rows.withColumns(sizes), "segments")
+    narrow = rows.drop("text")
+    if trim:
+        here = F.struct("chapter_idx", "_row")
+        place = F.when(F.col("n_both") > 0, here)
+        ends = narrow.groupBy("book_id").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first is not null").withColumnRenamed("book_id", "_book")
+        inside = narrow.join(ends, F.col("book_id").eqNullSafe(F.col("_book"))).where((here >= F.col("first")) & (here <= F.col("last")))
+        opens, closes = here == F.col("first"), here == F.col("last")
+        n = F.when(opens & closes, F.col("n_both")).when(opens, F.col("n_left")).when(closes, F.col("n_right")).otherwise(F.col("n"))
+        narrow = inside.select("book_id", "chapter_idx", "_row", n.alias("n"), opens.alias("opens"), closes.alias("closes"))
+    else:
+        narrow = narrow.withColumns({"opens": F.lit(False), "closes": F.lit(False)})
+    order = ["chapter_idx", "_row"]
+    places = running_sums(narrow, ["book_id"], order, segment=F.lit(1), end=F.col("n") + len(gap))
+    out = rows.select("_row", "text").join(places, "_row")
+    text = F.when(F.col("opens"), F.ltrim("text", space)).otherwise(F.col("text"))
+    text = F.when(F.col("closes"), F.rtrim(text, space)).otherwise(text)
+    lead = F.when(F.col("segment") > 1, gap).otherwise("")
+    start = F.greatest(F.col("end") - F.col("n") - 2 * len(gap), F.lit(0))
+    return out.select("book_id", (F.col("segment") - 1).alias("segment"), start.alias("offset"), F.concat(lead, text).alias("text"))
+
+
+def segment_digests(segments: DataFrame) -> DataFrame:
+    """(book_id, digest, n): MD5 and characters of each book's whole text from its segments.
+
+    A digest takes its bytes in order, so the segments of a book stream through
+    one task; it holds one batch of them, not the book.
+    """
+    kind = segments.schema["book_id"].dataType
+    schema = pa.schema([("book_id", to_arrow_type(kind)), ("digest", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, held, out = None, None, []
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held is None or name != book:
+                    if held:
+                        out.append((book, held[0].hexdigest(), held[1]))
+                    book, held = name, [hashlib.md5(usedforsecurity=False), 0]
+                text = text.as_py()
+                held[0].update(text.encode())
+                held[1] += len(text)
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out = []
+        if held:
+            out.append((book, held[0].hexdigest(), held[1]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    ordered = segments.repartition("book_id").sortWithinPartitions("book_id", "segment").select("book_id", "text")
+    return ordered.mapInArrow(run, f"book_id {kind.simpleString()}, digest string, n bigint")
+
+
 def removed_titles(classified: DataFrame) -> DataFrame:
     """Per book ``title (reason)`` of its removed chapters, in order."""
-    return removed(classified).groupBy("book_id").agg(in_order(_label()).alias("removed_titles"))
+    return removed(classified).groupBy("book_id").agg(in_order(removed_label()).alias("removed_titles"))
 
 
-def _label() -> Column:
+def removed_label() -> Column:
     return F.concat("title", F.lit(" ("), "filter_reason", F.lit(")"))
 
 
@@ -129,7 +209,7 @@ def book_documents(files: DataFrame, kind: str = "epub", mode: str = "compat") -
     done = filter_chapters(materialize(read_chapters(files, kind), "chapters"), mode)
     stay, chapter = F.col("filter_reason").isNull(), F.struct("title", "content")
     parts = done.groupBy("book_id").agg(
-        in_order(chapter, where=stay).alias("chapters"), in_order(chapter).alias("all_chapters"), in_order(_label(), where=~stay).alias("removed_titles"), *_sums()
+        in_order(chapter, where=stay).alias("chapters"), in_order(chapter).alias("all_chapters"), in_order(removed_label(), where=~stay).alias("removed_titles"), *_sums()
     )
     failed = F.col("parse_error").isNotNull()
     out = books.join(parts.select("*", *_savings()), "book_id", "left")
@@ -158,14 +238,22 @@ def work_items(books: DataFrame, mode: str = "compat") -> DataFrame:
     chapters; if there are none either, the whole content as one chapter under
     the book's title or "Full content". Empty titles become "Chapter n".
     """
-    picked = source_chapters(books)
-    flat = unnest_chapters(picked.select("book_id", F.col("source").alias("chapters")))
-    passed = kept(filter_chapters(flat, mode)).select("book_id", "chapter_idx", "title", "content")
-    rest = books.join(passed.select("book_id").distinct(), "book_id", "left_anti")
+    flat = unnest_chapters(source_chapters(books).select("book_id", F.col("source").alias("chapters")))
     has = F.size(F.coalesce("chapters", F.array().cast("array<struct<title:string,content:string>>"))) > 0
-    stored = unnest_chapters(rest.where(has).select("book_id", "chapters"))
-    single = rest.where(~has).select("book_id", F.lit(0).alias("chapter_idx"), F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("Full content")).alias("title"), "content")
-    items = passed.unionByName(stored).unionByName(single)
+    return flat_work_items(books.select("book_id", "title", "content"), flat, unnest_chapters(books.where(has).select("book_id", "chapters")), mode)
+
+
+def flat_work_items(books: DataFrame, source: DataFrame, stored: DataFrame, mode: str = "compat") -> DataFrame:
+    """``work_items`` of books whose chapters lie in rows (book_id, chapter_idx, title, content): those a run starts from, and the stored kept ones.
+
+    Nothing is gathered by book, so books may have any number of chapters.
+    """
+    passed = kept(filter_chapters(source, mode)).select("book_id", "chapter_idx", "title", "content")
+    rest = books.join(passed.select("book_id").distinct(), "book_id", "left_anti")
+    kept_before = stored.join(rest.select("book_id"), "book_id", "left_semi").select("book_id", "chapter_idx", "title", "content")
+    single = rest.join(stored.select("book_id").distinct(), "book_id", "left_anti")
+    single = single.select("book_id", F.lit(0).alias("chapter_idx"), F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("Full content")).alias("title"), "content")
+    items = passed.unionByName(kept_before).unionByName(single)
     title = F.when(F.coalesce("title", F.lit("")) == "", F.concat(F.lit("Chapter "), (F.col("chapter_idx") + 1).cast("string"))).otherwise(F.col("title"))
     return items.select("book_id", F.col("chapter_idx").alias("index"), title.alias("title"), "content", S.length(F.coalesce("content", F.lit(""))).alias("char_count"))
 
@@ -209,8 +297,7 @@ def fallback_paths(entries: DataFrame) -> DataFrame:
     """Chapter files of an archive without usable spine: (book_id, pos, path) by code order."""
     path = F.col("path")
     good = either([path.endswith(x) for x in P.CHAPTER_SUFFIXES]) & ~either([path.contains(x) for x in P.NO_CHAPTER_PARTS]) & filename_skip_reason(path).isNull()
-    order = Window.partitionBy("book_id").orderBy("path")
-    return entries.where(good).select("book_id", (F.row_number().over(order) - 1).alias("pos"), "path")
+    return numbered(entries.where(good).select("book_id", "path"), ["book_id"], ["path"], "n").select("book_id", (F.col("n") - 1).cast("int").alias("pos"), "path")
 
 
 def join_entries(paths: DataFrame, entries: DataFrame) -> DataFrame:

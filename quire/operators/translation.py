@@ -16,12 +16,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.dialect import SparkOps, either
 from ..functions.text import normalize
+from .scan import running_sums
 
 S = SparkOps
 MAX_CHUNK = {"deepl": 4500, "google": 3000}
@@ -153,15 +154,13 @@ def plan_providers(items: DataFrame, remaining: int | None, *, has_key: bool = T
     Tasks share no state, so the moment the quota ends is planned: books follow
     each other by identifier, and items go to the first provider while the
     account's running sum fits ``remaining``. Unknown remaining (None) puts no
-    bound. The sum runs within each book; what the books before it spend comes
-    from their totals, one row a book, not from a window over all items.
+    bound. The sum is a scan over all items (``scan.running_sums``), for which
+    they travel without their texts; items of equal book and order are spent together.
     """
-    frame = Window.partitionBy(book).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = items.groupBy(F.col(book).alias("_book")).agg(F.sum(F.coalesce(size, F.lit(0))).alias("_total"))
-    earlier = Window.orderBy("_book").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_book", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
-    within = items.withColumn("spent", F.sum(F.coalesce(size, F.lit(0))).over(frame))
-    rows = within.join(totals, F.col(book).eqNullSafe(F.col("_book"))).withColumn("spent", F.col("spent") + F.col("_before")).drop("_book", "_before")
+    keys = [book, *order]
+    narrow = items.groupBy(*keys).agg(F.sum(F.coalesce(size, F.lit(0))).alias("_size"))
+    spent = running_sums(narrow, [], keys, spent=F.col("_size")).select(F.struct(*keys).alias("_key"), "spent")
+    rows = items.join(spent, F.struct(*keys).eqNullSafe(F.col("_key"))).drop("_key")
     fits = F.lit(True) if remaining is None else F.col("spent") <= F.lit(remaining)
     return rows.withColumn("provider", F.when(F.lit(has_key) & fits, "deepl").otherwise("google"))
 

@@ -5,9 +5,11 @@ Each binding exists as a DataFrame and as SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import numbered
+
 #: Titles that synthetic chapters bear in turn: one or more for each title rule, and near misses.
 TITLES = (
     "Chapter 1", "Table of Contents", "Contents and more", "Inhaltsverzeichnis", "Copyright 2020", "Legal Notice", "Impressum", "Colophon",
@@ -90,8 +92,15 @@ def values(rows) -> str:
     return "values " + ", ".join("(" + ", ".join(one(v) for v in r) + ")" for r in rows)
 
 
+#: Tables of whole texts and the key by which their rows are spread.
+_TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts cost far more to work on than to move, so a table of texts in fewer splits than there are cores is spread over them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, _TEXTS[name]) if name in _TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 #: (file name, markup) of chapter files, one or more for each source of a title.
@@ -146,10 +155,11 @@ CHAPTERS_SQL = f"""select source as book_id, row_number() over (partition by sou
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chapters: a source is a book, titles in turn from the list."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    pool = F.array(*[F.lit(x) for x in TITLES])
-    return t(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), (F.row_number().over(order) - 1).cast("bigint").alias("chapter_idx"), F.element_at(pool, (F.col("doc_id") % len(TITLES) + 1).cast("int")).alias("title"), F.col("text").alias("content"))
+    """Documents as chapters: a source is a book, titles in turn from the list. Texts do not travel by source: numbers are joined to them."""
+    docs = t(spark, sf_dir, "documents")
+    numbers = numbered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id"), ["source"], ["doc_id"], "n").select(F.col("doc_id").alias("_id"), (F.col("n") - 1).alias("chapter_idx"))
+    rows = docs.join(numbers, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return rows.select(F.col("source").alias("book_id"), "chapter_idx", pick(TITLES, F.col("doc_id")).alias("title"), F.col("text").alias("content"))
 
 
 _PLACE = {"start": 0, "middle": 5, "end": 9}

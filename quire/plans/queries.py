@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -14,6 +13,7 @@ from ..operators import chapters as C
 from ..operators import export as E
 from ..operators import translation as T
 from ..operators.classify import classify_sql, predicates, predicates_sql, skip_reason, with_position, with_predicates
+from ..operators.scan import numbered
 from . import fixtures as X
 
 S = SparkOps
@@ -83,19 +83,20 @@ def filter_stats(spark, sf_dir):
 
 @query(_DONE + f"select book_id, md5(v) as digest, length(v) as n from (select book_id, {SqlOps.trim(Sql("string_agg(coalesce(content, ''), chr(10) || chr(10) order by chapter_idx)"))} as v from classified where filter_reason is null group by book_id)")
 def kept_content(spark, sf_dir):
-    got = C.joined_content(C.kept(C.filter_chapters(X.chapters(spark, sf_dir))))
-    return got.select("book_id", _digest(F.col("content")).alias("digest"), F.length("content").alias("n"))
+    stay = C.filter_chapters(X.chapters(spark, sf_dir)).where("filter_reason is null")
+    return C.segment_digests(C.content_segments(stay))
 
 
 @query(_DONE + "select book_id, row_number() over (partition by book_id order by chapter_idx) - 1 as chapter_idx, title from classified where filter_reason is null")
 def kept_chapters(spark, sf_dir):
-    return C.kept(C.filter_chapters(X.chapters(spark, sf_dir))).select("book_id", F.col("chapter_idx").cast("bigint").alias("chapter_idx"), "title")
+    return C.kept(C.filter_chapters(X.chapters(spark, sf_dir)).drop("content")).select("book_id", F.col("chapter_idx").cast("bigint").alias("chapter_idx"), "title")
 
 
 @query(_DONE + "select book_id, md5(string_agg(title || ' (' || filter_reason || ')', '; ' order by chapter_idx)) as digest, count(*) as n from classified where filter_reason is not null group by book_id")
 def removed_titles(spark, sf_dir):
-    got = C.removed_titles(C.filter_chapters(X.chapters(spark, sf_dir)))
-    return got.select("book_id", _digest(F.array_join("removed_titles", "; ")).alias("digest"), F.size("removed_titles").cast("bigint").alias("n"))
+    gone = C.removed(C.filter_chapters(X.chapters(spark, sf_dir))).select("book_id", "chapter_idx", C.removed_label().alias("content"))
+    n = gone.groupBy("book_id").agg(F.count("*").alias("n"))
+    return C.segment_digests(C.content_segments(gone, gap="; ", trim=False)).drop("n").join(n, "book_id")
 
 
 @query(_DONE + "select filter_reason, position, count(*) as n from classified group by filter_reason, position")
@@ -108,14 +109,15 @@ def chapter_numbers(spark, sf_dir):
     """All documents, and blank chapters between them that get no number."""
     docs = X.t(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", F.col("text").alias("content"))
     blank = docs.select("book_id", "doc_id", F.lit(" \n\t").alias("content"))
-    return C.drop_blank(docs.union(blank)).select("book_id", "doc_id", F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id")).alias("number_in_book"))
+    return numbered(C.drop_blank(docs.union(blank)).select("book_id", "doc_id"), ["book_id"], ["doc_id"], "number_in_book")
 
 
 @query(_DONE + f""", passed as (select book_id, row_number() over (partition by book_id order by chapter_idx) - 1 as index, title, content from classified where filter_reason is null)
 select book_id, index, case when title is null or title = '' then 'Chapter ' || (index + 1) else title end as title, {_SIZE} as char_count from passed""")
 def work_items(spark, sf_dir):
-    stored = C.nest_chapters(X.chapters(spark, sf_dir)).select("book_id", F.col("chapters").alias("all_chapters"), F.array().cast("array<struct<title:string,content:string>>").alias("chapters"), F.lit("").alias("title"), F.lit("").alias("content"))
-    return C.work_items(stored).select("book_id", F.col("index").cast("bigint").alias("index"), "title", "char_count")
+    source = X.chapters(spark, sf_dir)
+    books = source.select("book_id").distinct().select("book_id", F.lit("").alias("title"), F.lit("").alias("content"))
+    return C.flat_work_items(books, source, source.limit(0)).select("book_id", F.col("index").cast("bigint").alias("index"), "title", "char_count")
 
 
 # ------------------------------------------------------------------ markup and text
@@ -345,7 +347,7 @@ def translated_books(spark, sf_dir):
 def translated_content(spark, sf_dir):
     rows = X.items(spark, sf_dir).withColumnRenamed("index", "chapter_idx")
     n = rows.groupBy("book_id").agg(F.count("*").alias("n"))
-    return C.joined_content(rows, trim=False).join(n, "book_id").select("book_id", _digest(F.col("content")).alias("digest"), "n")
+    return C.segment_digests(C.content_segments(rows, trim=False)).drop("n").join(n, "book_id")
 
 
 # ------------------------------------------------------------------ library
@@ -382,7 +384,8 @@ def folder_counts(spark, sf_dir):
 
 @query(f"select id, name, row_number() over (order by name nulls last, id) as place from ({X.FOLDERS_SQL})")
 def folder_order(spark, sf_dir):
-    return K.folder_listing(X.folders(spark, sf_dir)).select("id", "name", F.row_number().over(Window.orderBy(F.asc_nulls_last("name"), "id")).alias("place"))
+    rows = X.folders(spark, sf_dir).select("id", "name", F.col("name").isNull().alias("unnamed"))
+    return numbered(rows, [], ["unnamed", "name", "id"], "place").drop("unnamed")
 
 
 @query(f"select id, upload_date from ({X.BOOKS_SQL}) order by upload_date desc nulls first, id limit 400")
