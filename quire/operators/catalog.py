@@ -22,10 +22,12 @@ def scoped(df: DataFrame, user_id: str, column: str = "user_id") -> DataFrame:
 
 
 def point(df: DataFrame, **keys) -> DataFrame:
-    """The row with given keys."""
+    """The row with given keys, or none. Two rows with these keys are an error of the query: whoever reads it must not get either."""
     for k, v in keys.items():
         df = df.where(F.col(k) == v)
-    return df
+    two = F.when(F.col("_rows") > 1, F.raise_error(F.lit(f"more than one row with {', '.join(keys)}"))).otherwise(F.lit(True))
+    # at most two rows are counted, whatever the table holds
+    return df.limit(2).withColumn("_rows", F.count("*").over(Window.partitionBy(F.lit(0)))).where(two).drop("_rows")
 
 
 # ------------------------------------------------------------------ listings
@@ -48,7 +50,7 @@ def latest_per_key(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
 
 
 def latest_translation(translations: DataFrame, book_id: str, user_id: str) -> DataFrame:
-    return point(translations, epub_file_id=book_id, user_id=user_id).orderBy(F.desc_nulls_first("created_at"), F.desc("id")).limit(1)
+    return translations.where((F.col("epub_file_id") == book_id) & (F.col("user_id") == user_id)).orderBy(F.desc_nulls_first("created_at"), F.desc("id")).limit(1)
 
 
 def translation_flags(books: DataFrame, translations: DataFrame, key: str = "epub_file_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Chunking, providers, quota planning, and the map over chapters.
 
-A provider is a plain object with ``name``, ``max_chunk`` and
-``translate(list of texts) -> list of texts``. Provider calls need a network
+A provider is a plain object with a name, ``translate(list of texts) -> list of
+texts`` and the way its requests go. Provider calls need a network
 and are not part of this package; ``Provider`` is the interface, and
 ``UpperCase`` a deterministic stand-in.
 """
@@ -13,6 +13,7 @@ import re
 import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,8 +27,6 @@ from .scan import running_sums
 
 S = SparkOps
 MAX_CHUNK = {"deepl": 4500, "google": 3000}
-#: Chunks in one request; larger chapters go in several.
-BATCH_CHUNKS = 50
 #: Attempts and backoff of one request, in seconds.
 ATTEMPTS, BACKOFF, BACKOFF_MAX = 3, 1.0, 6.0
 
@@ -184,27 +183,77 @@ class QuotaError(Exception):
 
 
 class RequestError(Exception):
-    """A request failed in a way that trying again does not mend."""
+    """A request failed for good. ``server``: on the provider's side or on the way there, so another provider may help."""
+
+    def __init__(self, message: str = "", server: bool | None = None):
+        super().__init__(message)
+        self.server = _is_server(message) if server is None else server
+
+
+def _is_quota(message: str) -> bool:
+    return any(x in message.lower() for x in P.QUOTA_ERRORS)
+
+
+def _is_server(message: str) -> bool:
+    return re.search(P.SERVER_ERROR, message) is not None or any(x in message.lower() for x in P.NETWORK_ERRORS)
 
 
 @dataclass
 class Provider:
-    """A named function from texts to texts; raise ``QuotaError`` or ``RequestError`` to fail at once."""
+    """A named function from texts to texts.
+
+    ``batch``: texts of one request, at most; a text in more chunks, and every
+    text where it is 0, goes chunk by chunk, ``in_flight`` requests at a time,
+    ``delay`` seconds between such windows. Requests that fail raise any
+    exception; what follows depends on its message (``call``).
+    """
 
     name: str
     translate: Callable[[list[str]], list[str]]
     max_chunk: int = 4500
+    batch: int = 50
+    in_flight: int = 5
+    delay: float = 0.0
+
+
+#: How requests go to each provider.
+REQUESTS = {"deepl": {"max_chunk": 4500, "batch": 50, "in_flight": 5, "delay": 0.0}, "google": {"max_chunk": 3000, "batch": 0, "in_flight": 3, "delay": 0.25}}
 
 
-def UpperCase(name: str = "deepl", max_chunk: int = 4500) -> Provider:
-    """Deterministic stand-in: upper-cases each text."""
-    return Provider(name, lambda texts: [t.upper() for t in texts], max_chunk)
+def UpperCase(name: str = "deepl", max_chunk: int | None = None) -> Provider:
+    """Deterministic stand-in: upper-cases each text. Requests go as those to the provider of that name, without its delay."""
+    settings = REQUESTS.get(name, REQUESTS["deepl"]) | {"delay": 0.0} | ({"max_chunk": max_chunk} if max_chunk else {})
+    return Provider(name, lambda texts: [t.upper() for t in texts], **settings)
 
 
-def call(provider: Provider, texts: list[str], sleep=time.sleep) -> list[str]:
-    """One request with retries; results must match the texts in number."""
+class Pace:
+    """Requests begin at least ``1 / rate`` seconds apart, whichever thread makes them; None puts no bound."""
+
+    def __init__(self, rate: float | None = None, clock=time.monotonic, sleep=time.sleep):
+        self.gap, self.clock, self.sleep = 1 / rate if rate else 0.0, clock, sleep
+        self.next, self.lock = 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if self.gap:
+            with self.lock:
+                now = self.clock()
+                at = max(now, self.next)
+                self.next = at + self.gap
+            if at > now:
+                self.sleep(at - now)
+
+
+def call(provider: Provider, texts: list[str], sleep=time.sleep, pace: Pace | None = None) -> list[str]:
+    """One request with retries; results must match the texts in number.
+
+    An error's message decides: a used-up quota ends in ``QuotaError`` at once, a
+    refused request ("HTTP 4..") in ``RequestError`` at once; failures of the
+    provider or the network and all others are tried again, three times in all.
+    """
     for attempt in range(ATTEMPTS):
         try:
+            if pace:
+                pace.wait()
             out = provider.translate(texts)
             if len(out) != len(texts):
                 raise RequestError(f"{len(out)} results for {len(texts)} texts")
@@ -212,29 +261,46 @@ def call(provider: Provider, texts: list[str], sleep=time.sleep) -> list[str]:
         except (QuotaError, RequestError):
             raise
         except Exception as e:
+            message = str(e)
+            if _is_quota(message):
+                raise QuotaError(message) from e
+            if "HTTP 4" in message and not _is_server(message):
+                raise RequestError(message) from e
             if attempt == ATTEMPTS - 1:
-                raise RequestError(f"failed after {ATTEMPTS} attempts: {e}") from e
+                raise RequestError(f"failed after {ATTEMPTS} attempts: {e}", _is_server(message)) from e
             sleep(min(BACKOFF * 2**attempt, BACKOFF_MAX))
     raise AssertionError
 
 
-def translate_chapter(title: str, content: str, provider: Provider, sleep=time.sleep) -> tuple[str, str]:
-    """Title and content together if the content is one chunk, else the content in batches; chunks are joined by a space."""
-    parts = chunk_text(content, provider.max_chunk) if content.strip() else []
-    texts = [title] if title.strip() else []
-    if len(parts) <= 1:
-        done = iter(call(provider, texts + parts, sleep) if texts + parts else [])
-        return next(done) if texts else "", next(done) if parts else ""
-    done_title = call(provider, texts, sleep)[0] if texts else ""
+def _windows(parts: list[str], provider: Provider, sleep, pace: Pace | None) -> list[str]:
+    """Results of single-chunk requests in order, a window of them at a time; the first failure ends the text."""
     out: list[str] = []
-    for at in range(0, len(parts), BATCH_CHUNKS):
-        out += call(provider, parts[at : at + BATCH_CHUNKS], sleep)
-    return done_title, " ".join(out)
-
-
-def translate_text(text: str, provider: Provider, sleep=time.sleep) -> str:
-    """One text without a title."""
-    return translate_chapter("", text, provider, sleep)[1]
+    with ThreadPoolExecutor(provider.in_flight) as pool:
+        for at in range(0, len(parts), provider.in_flight):
+            if at and provider.delay:
+                sleep(provider.delay)
+            out += [x for done in pool.map(lambda part: call(provider, [part], sleep, pace), parts[at : at + provider.in_flight]) for x in done]
+    return out
+
+
+def translate_text(text: str, provider: Provider, sleep=time.sleep, pace: Pace | None = None) -> str:
+    """One text: all chunks in one request if the provider takes as many, else in windows; joined by a space."""
+    if not text.strip():
+        return ""
+    parts = chunk_text(text, provider.max_chunk)
+    return " ".join(call(provider, parts, sleep, pace) if len(parts) <= provider.batch else _windows(parts, provider, sleep, pace))
+
+
+def translate_chapter(title: str, content: str, provider: Provider, sleep=time.sleep, pace: Pace | None = None) -> tuple[str, str]:
+    """Title and content: in one request if the provider takes several texts and the content is one chunk, else side by side."""
+    texts = [title if title.strip() else "", content if content.strip() else ""]
+    if provider.batch > 1 and len(chunk_text(texts[1], provider.max_chunk)) <= 1:
+        done = iter(call(provider, [x for x in texts if x], sleep, pace) if any(texts) else [])
+        title, content = (next(done) if x else "" for x in texts)
+        return title, content
+    with ThreadPoolExecutor(2) as pool:
+        title, content = pool.map(lambda x: translate_text(x, provider, sleep, pace), texts)
+    return title, content
 
 
 def translate_book(content: str, chapters: list[tuple[str, str]], translate: Callable[[str, str], tuple[str, str, str]]) -> dict:
@@ -255,31 +321,41 @@ def translate_book(content: str, chapters: list[tuple[str, str]], translate: Cal
     }
 
 
-def translate_items(items: DataFrame, providers: dict[str, Provider], *, fallback_on_error: bool = False, partitions: int | None = None) -> DataFrame:
+def translate_items(items: DataFrame, providers: dict[str, Provider], *, fallback_on_error: bool = False, partitions: int | None = None, rate: float | None = None) -> DataFrame:
     """Translate (book_id, index, title, content, provider): adds translated_title, translated_content, used provider, duration_ms.
 
-    Texts are normalised first. If a chapter's provider is out of quota, or
-    fails and ``fallback_on_error`` is set, the chapter goes to "google"; other
-    errors fail the task, which Spark retries. Chapters are dealt evenly by book
-    and index, so a long book is shared by all tasks.
+    Texts are normalised first. When a provider's quota is used up, the chapter
+    and all later ones of the task go to "google"; with ``fallback_on_error`` a
+    chapter also goes there whose provider fails on its side (5xx, network).
+    Other errors fail the task, which Spark retries. Chapters are dealt evenly
+    by book and index, so a long book is shared by all tasks. ``rate`` bounds
+    the account's requests a second: tasks that may run at once share it evenly.
     """
     rows = items.select("book_id", "index", normalize(F.col("title")).alias("title"), normalize(F.col("content")).alias("content"), "provider")
     rows = rows.repartition(partitions, "book_id", "index") if partitions else rows.repartition("book_id", "index")
     kinds = dict(items.dtypes)
     ddl = f"book_id {kinds['book_id']}, index {kinds['index']}, translated_title string, translated_content string, provider string, duration_ms bigint"
+    at_once = min(partitions or 1 << 30, items.sparkSession.sparkContext.defaultParallelism)
+    share = rate / at_once if rate else None
 
     def run(batches):
+        used_up: set[str] = set()
+        pace = Pace(share)
         for batch in batches:
             out = []
             for title, content, name in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
                 began = time.monotonic()
+                name = "google" if name in used_up else name
                 try:
-                    got = translate_chapter(title, content, providers[name])
+                    got = translate_chapter(title, content, providers[name], pace=pace)
                 except (QuotaError, RequestError) as e:
-                    if name == "google" or not (isinstance(e, QuotaError) or fallback_on_error):
+                    quota = isinstance(e, QuotaError)
+                    if name == "google" or not (quota or (fallback_on_error and e.server)):
                         raise
+                    if quota:
+                        used_up.add(name)
                     name = "google"
-                    got = translate_chapter(title, content, providers[name])
+                    got = translate_chapter(title, content, providers[name], pace=pace)
                 out.append((*got, name, int((time.monotonic() - began) * 1000)))
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             types = (pa.string(), pa.string(), pa.string(), pa.int64())

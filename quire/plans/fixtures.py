@@ -156,9 +156,10 @@ CHAPTERS_SQL = f"""select source as book_id, row_number() over (partition by sou
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chapters: a source is a book, titles in turn from the list. Texts do not travel by source: numbers are joined to them."""
-    docs = t(spark, sf_dir, "documents")
-    numbers = numbered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id"), ["source"], ["doc_id"], "n").select(F.col("doc_id").alias("_id"), (F.col("n") - 1).alias("chapter_idx"))
-    rows = docs.join(numbers, F.col("doc_id").eqNullSafe(F.col("_id")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    numbers = numbered(docs.select("source", "doc_id"), ["source"], ["doc_id"], "n").select(F.col("doc_id").alias("_id"), (F.col("n") - 1).alias("chapter_idx"))
+    # a merge: small tables of texts would otherwise be broadcast, to be worked on wherever the few numbers lie
+    rows = docs.join(numbers.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return rows.select(F.col("source").alias("book_id"), "chapter_idx", pick(TITLES, F.col("doc_id")).alias("title"), F.col("text").alias("content"))
 
 
