@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import SparkOps
+from ..storage import materialize
+from .scan import numbered
 
 S = SparkOps
 LISTED = ("id", "title", "author", "original_filename", "file_size", "upload_date", "source_language", "translation_status", "folder_id")
@@ -207,6 +209,23 @@ def fold_status(events: DataFrame, key: str = "book_id", kind: str = "kind", at:
     return known.groupBy(key).agg(F.max_by(status, F.struct(at, tie)).alias("translation_status"))
 
 
+def status_steps(events: DataFrame, key: str = "book_id", kind: str = "kind", at: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Every start, complete, cancel and fail event with ``refused`` and the status after it.
+
+    A start is refused while the book is translating: when the event before it
+    is a start, refused or not. ``streaming.status`` gives the same of a stream.
+    Events are numbered by a scan and each is joined to the one before, so a
+    book with most of the events is shared by all tasks.
+    """
+    known = events.where(F.col(kind).isin("start", "complete", "cancel", "fail"))
+    rows = materialize(numbered(known.select(key, at, tie, kind), [key], [at, tie], "_n"), "events")
+    before = rows.select(F.col(key).alias("_key"), (F.col("_n") + 1).alias("_next"), F.col(kind).alias("_before"))
+    joined = rows.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("_next")), "left")
+    start = F.col(kind) == "start"
+    status = F.when(start, "translating").when(F.col(kind) == "complete", "completed").otherwise("none")
+    return joined.select(key, tie, at, kind, (start & F.coalesce(F.col("_before") == "start", F.lit(False))).alias("refused"), status.alias("translation_status"))
+
+
 def download_name(ops, title, translated: bool):
     """File name of an export: word characters, white space, dots and dashes stay."""
     name = ops.trim(ops.replace(title, r"[^A-Za-z0-9_\s.-]", "_"))

@@ -428,6 +428,13 @@ def status_fold(spark, sf_dir):
     return K.fold_status(X.events(spark, sf_dir))
 
 
+@query(f"""select event_id, book_id, kind, kind = 'start' and coalesce(lag(kind) over (partition by book_id order by ts, event_id) = 'start', false) as refused,
+  case kind when 'start' then 'translating' when 'complete' then 'completed' else 'none' end as translation_status from ({X.EVENTS_SQL}) where kind in ('start', 'complete', 'cancel', 'fail')""")
+def status_steps(spark, sf_dir):
+    """Starts of books that are being translated are refused."""
+    return K.status_steps(X.events(spark, sf_dir)).select("event_id", "book_id", "kind", "refused", "translation_status")
+
+
 @query(f"select id, user_id, translation_status from (select id, user_id, case when id = 42 and user_id = (select user_id from ({X.BOOKS_SQL}) where id = 42) then 'completed' else translation_status end as translation_status from ({X.BOOKS_SQL}))")
 def status_update(spark, sf_dir):
     b = X.books(spark, sf_dir)
