@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import metrics
 from ..functions import patterns as P
 from ..functions.dialect import SparkOps, let
 from ..functions.text import compare_key, normalize_for_export
@@ -93,33 +94,24 @@ def strip_title_echoes(content: Column, title: Column) -> Column:
 
 #: Fixed values of the page: millimetres of an A4 sheet, its margin, and (font points, line height) of each kind of line.
 WIDTH, HEIGHT, MARGIN, FOOT = 210, 297, 20, 30
-SIZES = {"body": (11, 6), "heading": (18, 9), "title": (24, 12), "author": (14, 8), "meta": (10, 6)}
+SIZES = {"body": (11, 6), "heading": (18, 9), "title": (24, 12), "author": (14, 8), "meta": (10, 6), "note": (11, 6)}
 EMPTY = "(No content available)"
-#: Mean width of a character as a share of its font size; lines are cut by count, without font metrics.
-MEAN_WIDTH = 0.5
+#: Which face each kind of line has; lines of the title page are centred.
+FACE_OF = {"title": "bold", "heading": "bold", "author": "italic"}
+CENTRED = ("title", "author", "meta", "note")
 _MM = 72 / 25.4
 
 
-def wrap(text: str, size: int) -> list[str]:
-    """Lines of whole words that fit the page; longer words are cut."""
-    room = int((WIDTH - 2 * MARGIN) * _MM / (size * MEAN_WIDTH))
-    out = []
-    for line in text.split("\n"):
-        current = ""
-        for word in line.split():
-            while len(word) > room:
-                if current:
-                    out.append(current)
-                    current = ""
-                out.append(word[:room])
-                word = word[room:]
-            if current and len(current) + 1 + len(word) > room:
-                out.append(current)
-                current = word
-            else:
-                current = f"{current} {word}" if current else word
-        out.append(current)
-    return out
+def wrap(text: str, kind: str) -> list[str]:
+    """Lines of a kind that fit between the margins, by the widths of its face."""
+    return metrics.wrap(text, (WIDTH - 2 * MARGIN) * _MM, SIZES[kind][0], FACE_OF.get(kind, "regular"))
+
+
+def left_edge(kind: str, line: str) -> float:
+    """Where a line begins, in points."""
+    if kind not in CENTRED:
+        return MARGIN * _MM
+    return (WIDTH * _MM - metrics.text_width(line, SIZES[kind][0], FACE_OF.get(kind, "regular"))) / 2
 
 
 def layout(title: str, author: str, chapters: list[tuple[str, str]], language: str = "", note: str = "") -> list[list[tuple[float, str, str]]]:
@@ -127,19 +119,19 @@ def layout(title: str, author: str, chapters: list[tuple[str, str]], language: s
 
     The title page names the language if there is one; without chapters, ``note`` has a page of its own.
     """
-    titles, authors = wrap(title[:500], 24), wrap(author[:200], 14)
+    titles, authors = wrap(title[:500], "title"), wrap(author[:200], "author")
     below = HEIGHT / 3 + 16 + (len(titles) - 1) * SIZES["title"][1]
     pages = [[(HEIGHT / 3 + k * SIZES["title"][1], "title", x) for k, x in enumerate(titles)] + [(below + k * SIZES["author"][1], "author", x) for k, x in enumerate(authors)]]
     if language:
         pages[0].append((below + len(authors) * SIZES["author"][1] + SIZES["title"][1], "meta", f"Language: {language}"))
     if note and not chapters:
-        pages.append([(HEIGHT / 2, "body", note)])
+        pages.append([(HEIGHT / 2, "note", note)])
     for head, content in chapters:
         y, page = float(MARGIN), []
         pages.append(page)
         for kind, text in (("heading", head), ("body", content)):
-            size, step = SIZES[kind]
-            for line in wrap(text, size) if text else []:
+            step = SIZES[kind][1]
+            for line in wrap(text, kind) if text else []:
                 if y + step > HEIGHT - FOOT:
                     y, page = float(MARGIN), []
                     pages.append(page)
@@ -156,18 +148,21 @@ def text_pages(pages: list[list[tuple[float, str, str]]]) -> list[str]:
 
 
 def pdf(pages: list[list[tuple[float, str, str]]]) -> bytes:
-    """A PDF of the pages in a standard font; the same input gives the same bytes."""
-    objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    """A PDF of the pages in three standard faces; the same input gives the same bytes."""
+    faces = {"regular": b"Helvetica", "bold": b"Helvetica-Bold", "italic": b"Helvetica-Oblique"}
+    objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", *[b"<< /Type /Font /Subtype /Type1 /BaseFont /%s /Encoding /WinAnsiEncoding >>" % name for name in faces.values()]]
+    fonts = b" ".join(b"/F%d %d 0 R" % (k, k + 2) for k in (1, 2, 3))
+    number = {face: k for k, face in enumerate(faces, 1)}
     kids = []
     for n, page in enumerate(pages, 1):
         parts = []
         for y, kind, line in [*page, (HEIGHT - 12, "foot", str(n))]:
             size = SIZES.get(kind, (9, 0))[0]
             raw = line.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
-            parts.append(b"BT /F1 %d Tf %.2f %.2f Td (%s) Tj ET" % (size, MARGIN * _MM, (HEIGHT - y) * _MM, raw))
+            parts.append(b"BT /F%d %d Tf %.2f %.2f Td (%s) Tj ET" % (number[FACE_OF.get(kind, "regular")], size, left_edge(kind, line), (HEIGHT - y) * _MM, raw))
         data = zlib.compress(b"\n".join(parts))
         objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(data), data))
-        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %.2f %.2f] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (WIDTH * _MM, HEIGHT * _MM, len(objects)))
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %.2f %.2f] /Resources << /Font << %s >> >> /Contents %d 0 R >>" % (WIDTH * _MM, HEIGHT * _MM, fonts, len(objects)))
         kids.append(len(objects))
     objects[1] = b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids))
     out, places = bytearray(b"%PDF-1.4\n"), []
