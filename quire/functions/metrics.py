@@ -47,7 +47,7 @@ def wrap(text: str, room: float, size: float, face: str = "regular") -> list[str
     """Lines of whole words that are no wider than ``room`` points, as many words in each as fit; words that are wider are cut."""
     most, space, out = room * 1000 / size, width(" ", face), []
     for paragraph in text.split("\n"):
-        line, used = "", 0
+        line, used, begin = "", 0, len(out)
         for word in paragraph.split():
             wide = sum(width(c, face) for c in word)
             if line and used + space + wide <= most:
@@ -63,5 +63,6 @@ def wrap(text: str, room: float, size: float, face: str = "regular") -> list[str
                 out.append(word[:end])
                 word, wide = word[end:], wide - held
             line, used = word, wide
-        out.append(line)
+        if line or len(out) == begin:
+            out.append(line)
     return out
