@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ DC_COUNTS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 DC_SYMBOLS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)
 #: Blocks a side of a frame may have: 65,535 samples at most.
 MAX_SIDE = 8191
+#: Blocks coded at once, and coded bytes decoded at once, at most (one row or interval may be longer): large images go in bands.
+BAND, CODED = 1 << 16, 6 << 20
 #: Begins the comment of the images that ``encode_samples`` writes; the number of their samples follows.
 MAGIC = b"quire samples "
 #: What a damaged file may raise while it is read.
@@ -107,13 +110,12 @@ def _head(rows: int, cols: int, stored: int) -> bytes:
     )
 
 
-def _image(samples: np.ndarray, cols: int) -> bytes:
-    stored = len(samples)
-    rows = -(-stored // cols)
+def _band(samples: np.ndarray, cols: int, first: int) -> bytes:
+    """Coded rows of blocks, ``first`` the number of the first one; each is a restart interval of its own and begins on a byte, so rows go band by band."""
+    rows = -(-len(samples) // cols)
     grid = np.full(rows * cols, 127, np.int64)
-    grid[:stored] = samples.astype(np.int64) - 128
-    grid = grid.reshape(rows, cols)
-    diff = np.diff(grid, axis=1, prepend=0)
+    grid[: len(samples)] = samples.astype(np.int64) - 128
+    diff = np.diff(grid.reshape(rows, cols), axis=1, prepend=0)
     word, bits = _WORD[diff + 255], _BITS[diff + 255]
     ends = np.cumsum(bits, axis=1)
     size = (ends[:, -1] + 7) // 8
@@ -125,11 +127,20 @@ def _image(samples: np.ndarray, cols: int) -> bytes:
     out = np.bincount(np.concatenate([byte, byte + 1, byte + 2]), np.concatenate([value >> 16, value >> 8 & 255, value & 255]), n + 2)[:n].astype(np.uint8)
     out[start[1:] - 1] |= ((1 << (size * 8 - ends[:, -1])) - 1).astype(np.uint8)
     full = np.flatnonzero(out == 255) + 1
-    marks = np.repeat(start[1:-1], 2)
+    marked = np.arange(first == 0, rows)  # rows with a mark before them: all but the image's first
+    marks = np.repeat(start[marked], 2)
     signs = np.empty(len(marks), np.uint8)
-    signs[0::2], signs[1::2] = 255, 0xD0 + np.arange(rows - 1) % 8
-    out = np.insert(out, np.concatenate([full, marks]), np.concatenate([np.zeros(len(full), np.uint8), signs]))
-    return _head(rows, cols, stored) + out.tobytes() + b"\xff\xd9"
+    signs[0::2], signs[1::2] = 255, 0xD0 + (first + marked - 1) % 8
+    # a stuffed byte belongs to the row before a mark at the same place
+    return np.insert(out, np.concatenate([full, marks]), np.concatenate([np.zeros(len(full), np.uint8), signs])).tobytes()
+
+
+def _image(samples: np.ndarray, cols: int) -> list[bytes]:
+    """The parts of an image."""
+    step = max(1, BAND // cols)
+    rows = -(-len(samples) // cols)
+    bands = [_band(samples[r * cols : (r + step) * cols], cols, r) for r in range(0, rows, step)]
+    return [_head(rows, cols, len(samples)), *bands, b"\xff\xd9"]
 
 
 def _columns(n: int) -> int:
@@ -145,7 +156,8 @@ def encode_samples(data: bytes) -> bytes:
         raise ValueError("no samples")
     samples = np.frombuffer(data, np.uint8)
     most = MAX_SIDE * (MAX_SIDE // UNIT * UNIT)
-    return b"".join(_image(part, _columns(len(part))) for part in (samples[i : i + most] for i in range(0, len(samples), most)))
+    images = (samples[i : i + most] for i in range(0, len(samples), most))
+    return b"".join(x for part in images for x in _image(part, _columns(len(part))))
 
 
 # ---------------------------------------------------------------- reading
@@ -230,12 +242,12 @@ def _scan(frame: Frame, data: bytes, at: int, scan: list) -> int:
     if any(c == 0 for c, _, _ in scan) and not frame.scan:
         full, after = full[full < end], after[full < end]
         marks = full[after != 0]
+        gone = np.concatenate([full[after == 0] + 1, marks, marks + 1])
+        gone.sort()
         keep = np.ones(end, bool)
-        keep[full[after == 0] + 1] = False
-        keep[marks] = keep[marks + 1] = False
-        place = np.cumsum(keep)
+        keep[gone] = False
         frame.scan, frame.coded = scan, raw[:end][keep]
-        frame.intervals = [0, *place[marks].tolist()]
+        frame.intervals = [0, *(marks + 1 - np.searchsorted(gone, marks, "right")).tolist()]
     return at + end
 
 
@@ -248,8 +260,8 @@ def dc_thumbnails(frames: list[Frame]) -> list[np.ndarray]:
         groups.setdefault((tuple(pattern), used, f.restart), []).append(i)
     out: list[np.ndarray] = [np.zeros((0, 0), np.uint8)] * len(frames)
     for (pattern, used, _), members in groups.items():
-        for i, levels in zip(members, _decode([frames[i] for i in members], pattern, dict(used)), strict=True):
-            out[i] = _grid(frames[i], levels)
+        for i, samples in zip(members, _decode([frames[i] for i in members], pattern, dict(used)), strict=True):
+            out[i] = _grid(frames[i], samples)
     return out
 
 
@@ -274,8 +286,22 @@ def _table(key) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _decode(frames: list[Frame], pattern: tuple, tables: dict) -> list[np.ndarray]:
-    """DC levels of the first component, in coded order, of frames with the same tables."""
-    pieces, starts, stops, counts, owner, at = [], [], [], [], [], 0
+    """Samples of the first component, in coded order, of frames with the same tables: ``CODED`` bytes of intervals at a time."""
+    out, filled, batch, size = [], [0] * len(frames), [], 0
+
+    def flush():
+        nonlocal batch, size
+        for i, levels in zip(*_levels(frames, batch, pattern, tables), strict=True):
+            f = frames[i]
+            levels *= f.quantisers[f.components[0][3]]
+            levels += 4
+            levels >>= 3
+            levels += 128
+            np.clip(levels, 0, 255, out=levels)
+            out[i][filled[i] : filled[i] + len(levels)] = levels
+            filled[i] += len(levels)
+        batch, size = [], 0
+
     for i, f in enumerate(frames):
         rows, cols = _mcus(f)
         total, each = rows * cols, f.restart or rows * cols
@@ -283,12 +309,29 @@ def _decode(frames: list[Frame], pattern: tuple, tables: dict) -> list[np.ndarra
             raise ValueError("restart intervals do not match the frame")
         if total * len(pattern) > 4 * len(f.coded):  # a block takes two bits at least
             raise ValueError("scan is too short for the frame")
-        starts += [at + x for x in f.intervals]
-        stops += [at + x for x in [*f.intervals[1:], len(f.coded)]]
-        counts += [each] * (len(f.intervals) - 1) + [total - each * (len(f.intervals) - 1)]
-        owner += [i] * len(f.intervals)
-        pieces += [f.coded, np.full(8, 255, np.uint8)]
-        at += len(f.coded) + 8
+        out.append(np.empty(total * sum(c == 0 for c, _, _ in pattern), np.uint8))
+        last = len(f.intervals) - 1
+        for k, (begin, end) in enumerate(zip(f.intervals, [*f.intervals[1:], len(f.coded)], strict=True)):
+            if batch and size + end - begin > CODED:
+                flush()
+            batch.append((i, begin, end, each if k < last else total - each * last))
+            size += end - begin
+    if batch:
+        flush()
+    return out
+
+
+def _levels(frames: list[Frame], intervals: list[tuple], pattern: tuple, tables: dict) -> tuple[list[int], list[np.ndarray]]:
+    """DC levels of intervals (frame, begin, end, units), decoded in step; joined for each frame, with the frames' places."""
+    pieces, starts, stops, at = [], [], [], 0
+    counts = [x[3] for x in intervals]
+    runs = [list(g) for _, g in groupby(intervals, lambda x: x[0])]
+    for run in runs:
+        begin, end = run[0][1], run[-1][2]
+        starts += [at + x[1] - begin for x in run]
+        stops += [at + x[2] - begin for x in run]
+        pieces += [frames[run[0][0]].coded[begin:end], np.full(8, 255, np.uint8)]
+        at += end - begin + 8
     data = np.concatenate(pieces).astype(np.uint32)
     window = data[:-2] << 16
     window |= data[1:-1] << 8
@@ -349,16 +392,13 @@ def _decode(frames: list[Frame], pattern: tuple, tables: dict) -> list[np.ndarra
         raise ValueError("damaged scan")
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    out: list[list[np.ndarray]] = [[] for _ in frames]
-    for j, i in enumerate(owner):
-        out[i].append(levels[back[j], : counts[j] * width])
-    return [np.concatenate(x) for x in out]
+    each = iter([levels[back[j], : counts[j] * width] for j in range(len(counts))])
+    return [run[0][0] for run in runs], [np.concatenate([next(each) for _ in run]) for run in runs]
 
 
-def _grid(f: Frame, levels: np.ndarray) -> np.ndarray:
+def _grid(f: Frame, samples: np.ndarray) -> np.ndarray:
     rows, cols = _mcus(f)
-    _, h, v, q = f.components[0]
-    samples = np.clip((levels * f.quantisers[q] + 4 >> 3) + 128, 0, 255).astype(np.uint8)
+    _, h, v, _ = f.components[0]
     if len(f.scan) == 1:
         return samples.reshape(rows, cols)
     grid = samples.reshape(rows, cols, v, h).transpose(0, 2, 1, 3).reshape(rows * v, cols * h)
@@ -368,13 +408,14 @@ def _grid(f: Frame, levels: np.ndarray) -> np.ndarray:
 
 def decode_samples(frames: list[Frame], thumbs: list[np.ndarray]) -> bytes:
     """The bytes that ``encode_samples`` stored."""
-    return b"".join(t.ravel()[: struct.unpack(">Q", f.comment[len(MAGIC) :])[0]].tobytes() for f, t in zip(frames, thumbs, strict=True))
+    parts = [t.ravel()[: struct.unpack(">Q", f.comment[len(MAGIC) :])[0]] for f, t in zip(frames, thumbs, strict=True)]
+    return parts[0].tobytes() if len(parts) == 1 else b"".join(x.tobytes() for x in parts)
 
 
 def difference_hash(thumb: np.ndarray) -> str:
     """64 bits in hex: whether area means of an 8 x 9 grid grow from left to right."""
     rows, cols = np.linspace(0, thumb.shape[0], 9).astype(int)[:-1], np.linspace(0, thumb.shape[1], 10).astype(int)[:-1]
-    sums = np.add.reduceat(np.add.reduceat(thumb.astype(np.int64), rows, 0), cols, 1)
+    sums = np.add.reduceat(np.add.reduceat(thumb, rows, 0, dtype=np.int64), cols, 1)
     sizes = np.maximum(np.diff(np.append(rows, thumb.shape[0])), 1)[:, None] * np.maximum(np.diff(np.append(cols, thumb.shape[1])), 1)[None]
     mean = sums * 1_000_000 // sizes
     return np.packbits((mean[:, 1:] > mean[:, :-1]).ravel()).tobytes().hex()

@@ -134,3 +134,33 @@ def test_query(spark, odd_dir, documents, empty_dir):
         own = (r.media_bytes, r.media_sha256, r.feature)
         assert r.feature and texts.setdefault((d["text"] or "") if d["doc_id"] != 1 else None, own) == own or d["doc_id"] == 1
     assert J.op8_jpeg_media(spark, empty_dir).collect() == []
+
+
+def test_bands_leave_the_bytes_alone(monkeypatch):
+    """The same images whatever the bands, and the same samples from them."""
+    rng = np.random.default_rng(4)
+    for n in (1, 577, 30_000, 24 * 8191 + 5):
+        data = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        monkeypatch.setattr(J, "BAND", 1 << 40)
+        whole = J.encode_samples(data)
+        for band, coded in ((1, 1), (700, 5000), (1 << 16, 1 << 20)):
+            monkeypatch.setattr(J, "BAND", band)
+            monkeypatch.setattr(J, "CODED", coded)
+            assert J.encode_samples(data) == whole
+            frames = J.parse(whole)
+            assert J.decode_samples(frames, J.dc_thumbnails(frames)) == data
+
+
+def test_a_very_long_text_in_bounded_memory():
+    """20 MB: coding takes a fraction of what whole-image arrays of 8 bytes a sample would."""
+    import tracemalloc
+
+    data = b"a text without an end, or nearly so. " * (20 * (1 << 20) // 37)
+    tracemalloc.start()
+    media = J.encode_samples(data)
+    assert tracemalloc.get_traced_memory()[1] < 90 << 20
+    tracemalloc.reset_peak()
+    back = J.describe([media])[0]["payload"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back == data and peak < 450 << 20
