@@ -1,7 +1,8 @@
 """Near-duplicate documents: fast similarity sketches, banding, exact verification.
 
-A document's set holds the hashes of its word shingles. Documents with equal
-sets are one class from the start. A sketch of ``COORDINATES`` values is filled
+A document's set holds the hashes of its word shingles. Equal texts are one
+class from the start, and so are equal sets in other texts, once their full sets
+are confirmed to be equal. A sketch of ``COORDINATES`` values is filled
 by rounds of hashed bin placement: each round throws every element into one
 bin, a bin keeps its least value of the first round that reached it, and after
 as many rounds as bins each bin draws from all elements, so no coordinate
@@ -93,12 +94,12 @@ def band_keys(values: np.ndarray) -> np.ndarray:
         return _mix(_mix(rows.sum(axis=1, dtype=np.uint64)) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether 100 * intersection >= PERCENT * union, on full sets."""
-    if min(len(a), len(b)) * 100 < PERCENT * max(len(a), len(b)):
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether 100 * intersection >= percent * union, on full sets."""
+    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 _SIGNATURE = pa.struct([("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -119,7 +120,7 @@ def _signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield pa.array(rows, _SIGNATURE)
 
 
-def _compare(rows: DataFrame) -> DataFrame:
+def _compare(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among rows (a, chunk, role, id, text): in each (a, chunk), the text of role 0 against all of role 1."""
 
     def run(batches):
@@ -134,7 +135,7 @@ def _compare(rows: DataFrame) -> DataFrame:
                 s = shingles(text)
                 if role == 0:
                     leaders.append(s)
-                elif any(similar(x, s) for x in leaders):
+                elif any(similar(x, s, percent) for x in leaders):
                     found.append((a, other))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
@@ -143,13 +144,13 @@ def _compare(rows: DataFrame) -> DataFrame:
     return rows.repartition("a", "chunk").sortWithinPartitions(*order).select("a", "chunk", "role", "id", "text").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links among pairs (a, b, n): ``n``, about the number of pairs with the same ``a``, decides into how many chunks they go."""
+def _verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links among pairs (a, b, n), sets that reach ``percent``: ``n``, about the number of pairs with the same ``a``, decides into how many chunks they go."""
     pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n"))
     pairs = materialize(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("chunk")), "pairs")
     leaders = pairs.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("id"))
     rows = pairs.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("id")).union(leaders)
-    return materialize(_compare(rows.join(texts.hint("merge"), "id")), "links")
+    return materialize(_compare(rows.join(texts.hint("merge"), "id"), percent), "links")
 
 
 def _compare_blocks(rows: DataFrame) -> DataFrame:
@@ -214,18 +215,27 @@ def duplicate_classes(docs: DataFrame, text_col: str = "text", id_col: str = "do
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     small_batches(docs.sparkSession)
     signature = F.arrow_udf(_signature, "n bigint, f1 bigint, f2 bigint, bands array<bigint>")
-    signed = rows.withColumn("s", signature("text")).select("id", "s.n", "s.f1", "s.f2", "s.bands")
+    signed = rows.withColumn("s", signature("text")).select("id", "s.n", "s.f1", "s.f2", "s.bands", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("d"))
     signed = materialize(signed, "signatures")
 
-    # equal sets: one class under its smallest identifier
+    # equal texts: one class under its smallest identifier
     full = signed.where("id is not null and n > 0")
-    copies = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
+    copies = full.groupBy("d").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
     copies = materialize(copies, "copies")
     n_copies = copies.count()
-    keys = ["n", "f1", "f2"]
-    members = lookup_join(signed.select("id", *keys), copies, keys, rows=n_copies).select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
+    members = lookup_join(signed.select("id", "n", "d"), copies, "d", rows=n_copies).select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     members = materialize(members, "members")
-    singles = lookup_join(full, copies, keys, rows=n_copies).where("rep is null or rep = id").select("id", F.explode("bands").alias("key"))
+    firsts = materialize(lookup_join(full, copies, "d", rows=n_copies).where("rep is null or rep = id").select("id", "n", "f1", "f2", "bands"), "firsts")
+
+    # what looks like the same set in another text: confirmed on full sets, then under the smallest identifier too
+    keys = ["n", "f1", "f2"]
+    alike = firsts.groupBy(*keys).agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count("*").alias("n_alike")).where("a < last")
+    pairs = materialize(lookup_join(firsts.select("id", *keys), materialize(alike.drop("last"), "alike"), keys, "inner").where("id <> a"), "alike-pairs")
+    same = pairs.select(F.col("a").alias("id")).union(pairs.select("id")).distinct()
+    equal = _verify(pairs.select("a", F.col("id").alias("b"), F.col("n_alike").alias("n")), materialize(rows.join(materialize(same, "wanted").hint("merge"), "id", "left_semi"), "texts"), 100)
+    known = components(equal)
+    merged = pairs.join(equal.withColumnRenamed("b", "id"), ["a", "id"]).select("id", *keys).distinct()
+    singles = firsts.join(merged.hint("merge"), ["id", *keys], "left_anti").select("id", F.explode("bands").alias("key"))
     singles = materialize(singles, "bands")
 
     # buckets of more than one class, each with its smallest member
@@ -237,7 +247,7 @@ def duplicate_classes(docs: DataFrame, text_col: str = "text", id_col: str = "do
 
     pairs = buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"), "n")
     links = _verify(pairs, texts)
-    parents = components(links)
+    parents = components(links, known)
 
     apart = _apart(buckets, parents)
     small = apart.where(F.col("n") <= SMALL)

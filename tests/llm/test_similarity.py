@@ -278,3 +278,27 @@ def test_language_of_odd_documents(spark, odd_dir, empty_dir, documents):
 def test_distance_by_hand():
     p = L.Profiles({"a": [10, 20, 30], "b": [30, 40, 50]}, 3)
     assert np.allclose(p.distances(np.array([20, 10, 99])), [(1 + 1 + 3) / 9, 1.0])
+
+
+def test_equal_sums_are_no_proof(spark, odd_dir, documents, monkeypatch):
+    """Sets that only look equal are not linked, and keep their own links."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    words = [f"w{k}" for k in range(40)]
+    docs = [{"doc_id": k, "text": " ".join(words[k % 3 :][:20])} for k in range(9)] + [{"doc_id": 20 + k, "text": " ".join(words[k:][:20]).upper() + "\n" * k} for k in range(4)] + [{"doc_id": 21, "text": "other text " + " ".join(words[22:40])}]
+    df = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string")
+    want = Counter(map(tuple, N.duplicate_classes(df).collect()))
+    plain = N._signature
+
+    def without_sums(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """All sets of a size look equal."""
+        for out in plain(batches):
+            n = out.field("n")
+            zero = pa.array([0] * len(n), pa.int64())
+            yield pa.StructArray.from_arrays([n, zero, zero, out.field("bands")], ["n", "f1", "f2", "bands"])
+
+    monkeypatch.setattr(N, "_signature", without_sums)
+    assert Counter(map(tuple, N.duplicate_classes(df).collect())) == want
+    assert Counter(map(tuple, N.op6_near_duplicates(spark, odd_dir).collect())) == brute_components(documents)
