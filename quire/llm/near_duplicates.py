@@ -232,7 +232,7 @@ def duplicate_classes(docs: DataFrame, text_col: str = "text", id_col: str = "do
     alike = firsts.groupBy(*keys).agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count("*").alias("n_alike")).where("a < last")
     pairs = materialize(lookup_join(firsts.select("id", *keys), materialize(alike.drop("last"), "alike"), keys, "inner").where("id <> a"), "alike-pairs")
     same = pairs.select(F.col("a").alias("id")).union(pairs.select("id")).distinct()
-    equal = _verify(pairs.select("a", F.col("id").alias("b"), F.col("n_alike").alias("n")), materialize(rows.join(materialize(same, "wanted").hint("merge"), "id", "left_semi"), "texts"), 100)
+    equal = _verify(pairs.select("a", F.col("id").alias("b"), F.col("n_alike").alias("n")), materialize(lookup_join(rows, materialize(same, "wanted"), "id", "left_semi"), "texts"), 100)
     known = components(equal)
     merged = pairs.join(equal.withColumnRenamed("b", "id"), ["a", "id"]).select("id", *keys).distinct()
     singles = firsts.join(merged.hint("merge"), ["id", *keys], "left_anti").select("id", F.explode("bands").alias("key"))
