@@ -233,7 +233,6 @@ def duplicate_classes(docs: DataFrame, text_col: str = "text", id_col: str = "do
     pairs = materialize(lookup_join(firsts.select("id", *keys), materialize(alike.drop("last"), "alike"), keys, "inner").where("id <> a"), "alike-pairs")
     same = pairs.select(F.col("a").alias("id")).union(pairs.select("id")).distinct()
     equal = _verify(pairs.select("a", F.col("id").alias("b"), F.col("n_alike").alias("n")), materialize(lookup_join(rows, materialize(same, "wanted"), "id", "left_semi"), "texts"), 100)
-    known = components(equal)
     merged = pairs.join(equal.withColumnRenamed("b", "id"), ["a", "id"]).select("id", *keys).distinct()
     singles = firsts.join(merged.hint("merge"), ["id", *keys], "left_anti").select("id", F.explode("bands").alias("key"))
     singles = materialize(singles, "bands")
@@ -247,7 +246,7 @@ def duplicate_classes(docs: DataFrame, text_col: str = "text", id_col: str = "do
 
     pairs = buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"), "n")
     links = _verify(pairs, texts)
-    parents = components(links, known)
+    parents = components(links.union(equal))
 
     apart = _apart(buckets, parents)
     small = apart.where(F.col("n") <= SMALL)
