@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import PreTokenizer, WordCache, gather, odd_texts, state_key
-from .common import materialize, open_read, open_write, table, text_blocks, work_path
+from .common import materialize, open_read, open_write, small_batches, table, text_blocks, tidy, work_path
 
 MAGIC = b"QSST0001"
 #: index offset, index bytes, filter offset, filter bytes, entries, id width, Bloom hashes, magic
@@ -49,6 +49,8 @@ _FOOTER = struct.Struct("<QQQQQII8s")
 BLOCK_BYTES = 64 << 10
 #: A shard ends with the document that reaches either.
 SHARD_BYTES, SHARD_ENTRIES = 64 << 20, 1 << 20
+#: Texts and bytes that are encoded at once, about.
+TEXT_BLOCK = (2000, 4 << 20)
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 
 
@@ -267,6 +269,7 @@ def write_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     across white space, and single words, which give the same ids, elsewhere. One shuffle, of the two columns only.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = path or work_path(spark, "tables")
     with open(tokenizer_path, encoding="utf-8") as f:
         raw = f.read()
@@ -293,7 +296,7 @@ def write_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         try:
             for batch in batches:
                 keys, at = batch.column(0).to_pylist(), 0
-                for block in text_blocks(batch.column(1), rows=4000, max_bytes=16 << 20):
+                for block in text_blocks(batch.column(1), *TEXT_BLOCK):
                     for value in encoder.block(block):
                         if writer is None:
                             target = f"{path}/part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.sst"
@@ -314,7 +317,7 @@ def write_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _MANIFEST.split(", ")])
 
-    return materialize(rows.mapInArrow(run, _MANIFEST), "manifest")
+    return materialize(rows.mapInArrow(tidy(run), _MANIFEST), "manifest")
 
 
 def read_tables(manifest: DataFrame) -> DataFrame:
@@ -344,7 +347,7 @@ def read_tables(manifest: DataFrame) -> DataFrame:
                     if docs:
                         yield _rows(docs, starts, values)
 
-    return shards.mapInArrow(run, "doc_id bigint, start bigint, ids binary")
+    return shards.mapInArrow(tidy(run), "doc_id bigint, start bigint, ids binary")
 
 
 def _rows(docs, starts, values):

@@ -137,3 +137,19 @@ def test_cache_is_bounded_and_right():
 def test_empty_tables(spark, empty_dir):
     for query in (op1_token_counts, op5_sorted_tables, op10_bpe_codec):
         assert query(spark, empty_dir).collect() == []
+
+
+def test_tables_are_written_from_small_batches(spark, library):
+    """Whole texts reach a worker by few rows and bytes at once, whatever the session's limits; ids stay those of the library."""
+    limits = {f"spark.sql.execution.arrow.max{x}PerBatch": spark.conf.get(f"spark.sql.execution.arrow.max{x}PerBatch") for x in ("Records", "Bytes")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20))
+        docs = spark.range(5000).selectExpr("id as doc_id", "concat('word ', id) as text")
+        rows = sstable.read_tables(sstable.write_tables(docs, tokenizer_path=PATH, end_id=2)).orderBy("doc_id").collect()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+        assert int(str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).removesuffix("b")) <= 8 << 20
+    finally:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in rows] == [[*library.encode(f"word {k}", add_special_tokens=False).ids, 2] for k in range(5000)]
