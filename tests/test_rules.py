@@ -133,3 +133,19 @@ def test_hazards(spark):
     assert match("übook", r"\bbook") and not match("abook", r"\bbook")
     assert not match("toc\n", r"^toc$") and match("ÜBER", "über", True) and match("a b", r"a\sb")
     assert unicodedata.name("€") == "EURO SIGN"
+
+
+def test_removed_titles_classifies_once_and_keeps_books_without_a_name(spark, tmp_path):
+    """The count is taken from the labels that are digested, and a book of null is a book as in the SQL."""
+    import duckdb
+
+    from quire.plans.queries import ORACLES, QUERIES
+
+    docs = spark.range(120).selectExpr("id as doc_id", "concat('text ', id) as text", "case when id % 3 > 0 then concat('s', id % 3) end as source")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["removed_titles"](spark, str(tmp_path))
+    assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
+    db = duckdb.connect()
+    db.execute(f"create view documents as from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = db.execute(ORACLES["removed_titles"]).fetchall()
+    assert len(expected) == 3 and {tuple(r) for r in found.collect()} == set(expected)
